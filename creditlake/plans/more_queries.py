@@ -1,7 +1,164 @@
-"""Profiling, preparation, scoring and evaluation queries (registered on import)."""
+"""Profiling, preparation, scoring, evaluation and model queries
+(registered on import)."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..operators import prep as PR
+from ..operators import profile as P
+from . import sources as S
+from .queries import register
+
+
+def _u(spark, sf_dir):
+    return S.unified(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- profile
+@register("dataset_overview")
+def q_dataset_overview(spark, sf_dir):
+    """A8."""
+    return P.dataset_overview(_u(spark, sf_dir))
+
+
+@register("source_counts")
+def q_source_counts(spark, sf_dir):
+    """A9 (+A10 by source)."""
+    return P.source_counts(_u(spark, sf_dir))
+
+
+@register("default_rate_by_key")
+def q_default_rate_by_key(spark, sf_dir):
+    """A10 over all profile keys in one pass (grouping sets)."""
+    return P.default_rate_by_key(_u(spark, sf_dir))
+
+
+@register("missing_rates")
+def q_missing_rates(spark, sf_dir):
+    """A11 + A13."""
+    return P.missing_rates(_u(spark, sf_dir))
+
+
+@register("top_missing")
+def q_top_missing(spark, sf_dir):
+    """T1 (top-k is the feature)."""
+    return P.top_missing(_u(spark, sf_dir), 30)
+
+
+@register("coverage_by_source")
+def q_coverage(spark, sf_dir):
+    """A12."""
+    return P.coverage_by_source(_u(spark, sf_dir))
+
+
+@register("class_balance")
+def q_class_balance(spark, sf_dir):
+    """A14 + A23."""
+    return P.class_balance(_u(spark, sf_dir))
+
+
+@register("cohort_rates")
+def q_cohort_rates(spark, sf_dir):
+    """A15."""
+    return P.cohort_rates(_u(spark, sf_dir))
+
+
+@register("corr_matrix")
+def q_corr(spark, sf_dir):
+    """A16."""
+    return P.corr_matrix(_u(spark, sf_dir))
+
+
+@register("label_correlations")
+def q_label_corr(spark, sf_dir):
+    """T6."""
+    return P.label_correlations(_u(spark, sf_dir))
+
+
+@register("quantiles")
+def q_quantiles(spark, sf_dir):
+    """A18 (exact, interpolated)."""
+    return P.quantiles(_u(spark, sf_dir))
+
+
+@register("key_stats")
+def q_key_stats(spark, sf_dir):
+    """A21 (+A19 medians)."""
+    return P.key_stats(_u(spark, sf_dir))
+
+
+@register("class_histogram")
+def q_class_histogram(spark, sf_dir):
+    """A17."""
+    return P.class_histogram(_u(spark, sf_dir))
+
+
+# ------------------------------------------------------------------- prep
+def _cleaned(spark, sf_dir):
+    return PR.clean(_u(spark, sf_dir))
+
+
+def _winsorized(spark, sf_dir):
+    c = _cleaned(spark, sf_dir)
+    bounds = [r.asDict() for r in PR.winsor_bounds(c).collect()]
+    return PR.apply_winsor(c, bounds)
+
+
+def _imputed(spark, sf_dir):
+    w = _winsorized(spark, sf_dir)
+    fills = [r.asDict() for r in PR.impute_params(w).collect()]
+    return PR.apply_impute(w, fills)
+
+
+@register("dedup_keep_first")
+def q_dedup(spark, sf_dir):
+    """M1 = F2 + U2."""
+    return _cleaned(spark, sf_dir)
+
+
+@register("winsorize")
+def q_winsorize(spark, sf_dir):
+    """M2: bounds and clip counts per feature."""
+    c = _cleaned(spark, sf_dir)
+    return PR.winsor_report(c, PR.winsor_bounds(c))
+
+
+@register("impute_median")
+def q_impute(spark, sf_dir):
+    """M3: fill plan per feature (fitted on winsorized data)."""
+    return PR.impute_params(_winsorized(spark, sf_dir))
+
+
+@register("anova_f")
+def q_anova(spark, sf_dir):
+    """A20 on the features not forced in by group."""
+    imp = _imputed(spark, sf_dir)
+    avail = P.features_of(imp)
+    forced = PR.forced_features(avail)
+    return PR.anova_f(imp, [f for f in avail if f not in forced])
+
+
+@register("select_topk")
+def q_select(spark, sf_dir):
+    """M4 + T2."""
+    return PR.select_features(_imputed(spark, sf_dir))
+
+
+@register("robust_scale")
+def q_scale(spark, sf_dir):
+    """M5: centre and scale of each selected feature."""
+    imp = _imputed(spark, sf_dir)
+    sel = [r["feature"] for r in PR.select_features(imp).collect()]
+    return PR.robust_params(imp, sel)
+
 
 def oracles() -> dict[str, str]:
-    return {}
+    from .oracle_prep import prep_oracles, profile_oracles
+    out = {}
+    out.update(profile_oracles())
+    out.update(prep_oracles())
+    return out
+
+
+_ = F  # keep import for registrations added below

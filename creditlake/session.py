@@ -29,6 +29,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            # local mode runs everything in the driver JVM
+            b = b.config("spark.driver.memory", os.environ.get("CREDITLAKE_DRIVER_MEMORY", "16g"))
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
     if shuffle_partitions:
