@@ -5,8 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import evaluate as EV
 from ..operators import prep as PR
 from ..operators import profile as P
+from ..operators import score as SC
 from . import sources as S
 from .queries import register
 
@@ -153,12 +155,92 @@ def q_scale(spark, sf_dir):
     return PR.robust_params(imp, sel)
 
 
+# ---------------------------------------------------------------- scoring
+def _requests(spark, sf_dir):
+    from ..sources import driver_roles as DR
+    return DR.score_requests(spark, sf_dir)
+
+
+def scored_requests(spark, sf_dir):
+    """Requests scored with the fixed linear stand-in model (P24 -> P27-P29)."""
+    req = _requests(spark, sf_dir)
+    feats = SC.applicant_features(req)
+    with_p = req.select("request_id", SC.linear_probability(feats).alias("p"))
+    return SC.score_outputs(with_p, F.col("p"), status=F.lit("success"))
+
+
+def labelled_scores(spark, sf_dir):
+    from ..sources import driver_roles as DR
+    lab = DR.read(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("request_id"), (F.col("c_acctbal") < 0).cast("int").alias("TARGET"))
+    return scored_requests(spark, sf_dir).select("request_id", "p").join(lab, "request_id")
+
+
+@register("applicant_features")
+def q_applicant_features(spark, sf_dir):
+    """Request fields -> 84 catalogue features."""
+    return SC.build_applicant_features(_requests(spark, sf_dir))
+
+
+@register("score_from_prob")
+def q_score(spark, sf_dir):
+    """P27-P29 + M15: probability -> score, band, recommendation, status."""
+    return scored_requests(spark, sf_dir).select(
+        "request_id", "p", "credit_score", "score_band", "default_probability_pct", "recommendation", "status")
+
+
+@register("tips_and_metrics")
+def q_tips(spark, sf_dir):
+    """Improvement tips, key metrics and their health flags."""
+    req = _requests(spark, sf_dir)
+    km = SC.key_metrics(req)
+    return req.select("request_id", SC.improvement_tips(req).alias("improvement_tips"),
+                      *[v.alias(k) for k, v in km.items()])
+
+
+@register("batch_summary")
+def q_batch_summary(spark, sf_dir):
+    """A22 + U3 summary line."""
+    return SC.batch_summary(scored_requests(spark, sf_dir))
+
+
+# ------------------------------------------------------------- evaluation
+@register("roc_auc")
+def q_auc(spark, sf_dir):
+    """E1 + E2."""
+    return EV.roc_auc(labelled_scores(spark, sf_dir))
+
+
+@register("roc_curve")
+def q_roc(spark, sf_dir):
+    """E3."""
+    return EV.roc_table(labelled_scores(spark, sf_dir)).select("threshold", "tpr", "fpr")
+
+
+@register("ks_stat")
+def q_ks(spark, sf_dir):
+    """E4."""
+    return EV.ks_statistic(labelled_scores(spark, sf_dir))
+
+
+@register("confusion")
+def q_confusion(spark, sf_dir):
+    """E5 + E6."""
+    return EV.confusion(labelled_scores(spark, sf_dir))
+
+
+@register("class_report")
+def q_report(spark, sf_dir):
+    """E7."""
+    return EV.class_report(labelled_scores(spark, sf_dir))
+
+
 def oracles() -> dict[str, str]:
     from .oracle_prep import prep_oracles, profile_oracles
+    from .oracle_score import score_oracles
     out = {}
     out.update(profile_oracles())
     out.update(prep_oracles())
+    out.update(score_oracles())
     return out
 
-
-_ = F  # keep import for registrations added below

@@ -175,3 +175,30 @@ def with_roles(*names: str, extra: list[tuple[str, str]] | None = None) -> str:
     parts = [f"{n} AS ({ROLE_SQL[n][0].strip()})" for n in order]
     parts += [f"{n} AS ({s.strip()})" for n, s in (extra or [])]
     return "WITH " + ",\n".join(parts) + "\n" if parts else ""
+
+
+_role("score_requests", ["order_stats"], """
+SELECT c.c_custkey AS request_id, c.c_custkey % 13 = 0 AS is_new_user,
+  s._sum_price / 10 AS annual_income, s._max_price AS loan_amount, s._avg_price / 36 AS monthly_payment,
+  CAST(CASE WHEN s._n_urgent > 2 THEN 60 ELSE 36 END AS INTEGER) AS loan_term,
+  CAST((c.c_nationkey * 3) % 60 AS DOUBLE) AS dti,
+  c.c_custkey % 5 <> 0 AS has_checking, CAST(c.c_nationkey % 5 AS INTEGER) AS checking_tier,
+  c.c_acctbal > 1000 AS has_savings, greatest(c.c_acctbal, 0) * 10 AS savings_amount,
+  CAST(floor(least(greatest(c.c_acctbal, 0) / 2500, 4)) AS INTEGER) AS savings_tier,
+  CAST(21 + c.c_custkey % 50 AS INTEGER) AS age, CAST(1 + c.c_nationkey % 5 AS INTEGER) AS family_size,
+  c.c_custkey % 7 <> 0 AS employed, CAST(c.c_custkey % 15 AS DOUBLE) AS employment_years,
+  CAST(c.c_custkey % 5 AS INTEGER) AS employment_stability,
+  c.c_mktsegment IN ('BUILDING', 'HOUSEHOLD') AS owns_property,
+  CAST(c.c_nationkey % 3 + 1 AS INTEGER) AS region_rating,
+  s._n_urgent > 2 AS high_risk_purpose, c.c_custkey % 9 = 0 AS has_guarantor,
+  CAST(s._n_open AS INTEGER) AS existing_credits,
+  CAST(c.c_custkey % 100 AS DOUBLE) / 100 AS cc_utilization,
+  CAST(s._n_urgent AS INTEGER) AS enquiries,
+  CAST(s._n_med_unfinished AS DOUBLE) / 10 AS late_payment_rate,
+  CAST(CASE WHEN s._n_urgent_partial > 0 THEN 90 WHEN s._n_high_partial > 0 THEN 30 ELSE 0 END AS INTEGER) AS max_days_late,
+  s._n_urgent_partial + s._n_high_partial > 0 AS has_past_delays,
+  CAST(4 - least(s._n_urgent_partial, 4) AS INTEGER) AS credit_history,
+  CAST(c.c_custkey % 11 AS DOUBLE) / 10 AS approval_rate,
+  CAST(s._n_open + s._n_urgent AS INTEGER) AS prev_applications,
+  CAST(c.c_custkey % 10 AS DOUBLE) / 10 AS docs_rate
+FROM customer c LEFT JOIN order_stats s ON s.c_custkey = c.c_custkey""")

@@ -274,3 +274,45 @@ def bank_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bank_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account_id"))
+
+
+def score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scoring requests (the 30 request fields), one per customer."""
+    cu = read(spark, sf_dir, "customer")
+    s = _order_stats(spark, sf_dir)
+    d = cu.join(s, "c_custkey", "left")
+    ck, nk, bal = "c_custkey", "c_nationkey", F.col("c_acctbal")
+    n_urg, n_up, n_hp = F.col("_n_urgent"), F.col("_n_urgent_partial"), F.col("_n_high_partial")
+    return d.select(
+        F.col(ck).alias("request_id"),
+        (_mod(ck, 13) == 0).alias("is_new_user"),
+        (F.col("_sum_price") / 10).alias("annual_income"),
+        F.col("_max_price").alias("loan_amount"),
+        (F.col("_avg_price") / 36).alias("monthly_payment"),
+        F.when(n_urg > 2, F.lit(60)).otherwise(F.lit(36)).cast("int").alias("loan_term"),
+        F.pmod(F.col(nk) * 3, F.lit(60)).cast("double").alias("dti"),
+        (_mod(ck, 5) != 0).alias("has_checking"),
+        _mod(nk, 5).cast("int").alias("checking_tier"),
+        (bal > 1000).alias("has_savings"),
+        (F.greatest(bal, F.lit(0.0)) * 10).alias("savings_amount"),
+        F.floor(F.least(F.greatest(bal, F.lit(0.0)) / 2500, F.lit(4.0))).cast("int").alias("savings_tier"),
+        (F.lit(21) + _mod(ck, 50)).cast("int").alias("age"),
+        (F.lit(1) + _mod(nk, 5)).cast("int").alias("family_size"),
+        (_mod(ck, 7) != 0).alias("employed"),
+        _mod(ck, 15).cast("double").alias("employment_years"),
+        _mod(ck, 5).cast("int").alias("employment_stability"),
+        F.col("c_mktsegment").isin("BUILDING", "HOUSEHOLD").alias("owns_property"),
+        (_mod(nk, 3) + 1).cast("int").alias("region_rating"),
+        (n_urg > 2).alias("high_risk_purpose"),
+        (_mod(ck, 9) == 0).alias("has_guarantor"),
+        F.col("_n_open").cast("int").alias("existing_credits"),
+        (_mod(ck, 100).cast("double") / 100).alias("cc_utilization"),
+        n_urg.cast("int").alias("enquiries"),
+        (F.col("_n_med_unfinished").cast("double") / 10).alias("late_payment_rate"),
+        F.when(n_up > 0, F.lit(90)).when(n_hp > 0, F.lit(30)).otherwise(F.lit(0)).cast("int").alias("max_days_late"),
+        ((n_up + n_hp) > 0).alias("has_past_delays"),
+        (F.lit(4) - F.least(n_up, F.lit(4))).cast("int").alias("credit_history"),
+        (_mod(ck, 11).cast("double") / 10).alias("approval_rate"),
+        (F.col("_n_open") + n_urg).cast("int").alias("prev_applications"),
+        (_mod(ck, 10).cast("double") / 10).alias("docs_rate"),
+    )
