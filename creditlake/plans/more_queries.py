@@ -235,6 +235,108 @@ def q_report(spark, sf_dir):
     return EV.class_report(labelled_scores(spark, sf_dir))
 
 
+# ------------------------------------------------------------------ model
+@register("interactions")
+def q_interactions(spark, sf_dir):
+    """Interaction features over the unified table."""
+    from ..operators import model as M
+    u = _u(spark, sf_dir)
+    cols = M.interaction_columns(u.columns)
+    return u.select("source_id", *[v.alias(k) for k, v in cols.items()])
+
+
+@register("split_assign")
+def q_split(spark, sf_dir):
+    """M8: rows per split and class (hash-bucket 70/15/15 split)."""
+    from ..operators import model as M
+    s = M.assign_split(_u(spark, sf_dir))
+    return s.groupBy("split", "TARGET").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("gbt_score")
+def q_gbt_score(spark, sf_dir):
+    """M10 + M13 + P27-P29: boosted trees trained on the prepared training
+    split, test split scored (no oracle: a trained model)."""
+    from . import pipeline as PL
+    t = PL.train(spark, sf_dir)
+    pred = PL.test_predictions(t)
+    return SC.score_outputs(pred, F.col("p"), status=F.lit("success"))
+
+
+@register("model_metrics")
+def q_model_metrics(spark, sf_dir):
+    """E1-E4 on the boosted-tree test predictions (no oracle)."""
+    from . import pipeline as PL
+    pred = PL.test_predictions(PL.train(spark, sf_dir))
+    return EV.roc_auc(pred).crossJoin(EV.ks_statistic(pred))
+
+
+@register("blend")
+def q_blend(spark, sf_dir):
+    """M11 + M12: 60/40 blend with a random forest, kept only if better on
+    validation (no oracle)."""
+    from . import pipeline as PL
+    return PL.blend_report(spark, sf_dir)
+
+
+@register("tree_attribution")
+def q_tree_attr(spark, sf_dir):
+    """M14 + T4 + F6 + P34: per-row path attributions of the boosted trees
+    on the test split and the top factors (no oracle)."""
+    from ..operators import explain as X
+    from . import pipeline as PL
+    t = PL.train(spark, sf_dir)
+    att = X.tree_attributions(t.data.filter(F.col("split") == "test"), t.gbt, t.features)
+    total = F.aggregate("attributions", F.lit(0.0), lambda a, b: a + b)
+    return X.factors(att, t.features).select(
+        "source_id", "base", "margin", (F.col("base") + total - F.col("margin")).alias("additivity_error"),
+        "positive_factors", "negative_factors")
+
+
+@register("feature_importance")
+def q_importance(spark, sf_dir):
+    """A25 + T5: mean |attribution| per feature, top 25 (no oracle)."""
+    from ..operators import explain as X
+    from . import pipeline as PL
+    t = PL.train(spark, sf_dir)
+    att = X.tree_attributions(t.data.filter(F.col("split") == "test"), t.gbt, t.features)
+    return X.mean_abs_attribution(att, t.features).orderBy(F.desc("mean_abs_attribution"), "feature").limit(25)
+
+
+@register("linear_attribution")
+def q_linear_attr(spark, sf_dir):
+    """M14 (linear model): coefficient x (value - mean) per feature."""
+    from ..operators import explain as X
+    from ..operators import model as M
+    from . import pipeline as PL
+    t = PL.train(spark, sf_dir)
+    tr = t.data.filter(F.col("split") == "train")
+    lm = M.linear_pipeline(t.features).fit(tr)
+    means = tr.agg(*[F.avg(f).alias(f) for f in t.features]).first().asDict()
+    att = X.linear_attributions(t.data.filter(F.col("split") == "test"), lm, t.features, means)
+    return X.factors(att, t.features).select("source_id", "base", "margin", "positive_factors", "negative_factors")
+
+
+@register("stream_score")
+def q_stream(spark, sf_dir):
+    """ST1: requests dropped as files, scored by a Structured Streaming query
+    (availableNow) into a parquet sink; returns the sink (no oracle)."""
+    import os
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..streaming.scorer import start_stream
+    base = os.path.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
+    src, sink, ck = (os.path.join(base, x) for x in ("in", "out", "ckpt"))
+    req = _requests(spark, sf_dir)
+    req.write.mode("overwrite").parquet(src)
+    q = start_stream(spark, src, req.schema, sink, ck)
+    q.awaitTermination()
+    return spark.read.parquet(sink).select(
+        "request_id", "p", "credit_score", "score_band", "default_probability_pct", "recommendation",
+        "status", "improvement_tips")
+
+
 def oracles() -> dict[str, str]:
     from .oracle_prep import prep_oracles, profile_oracles
     from .oracle_score import score_oracles
@@ -242,5 +344,27 @@ def oracles() -> dict[str, str]:
     out.update(profile_oracles())
     out.update(prep_oracles())
     out.update(score_oracles())
+    out.update(model_oracles())
     return out
 
+
+def model_oracles() -> dict[str, str]:
+    from ..functions import catalog as K
+    from .oracle_features import round_sql, unified_sql
+    exprs = []
+    for name, kind, a, b in K.INTERACTIONS:
+        e = {"mul": f"{a} * {b}",
+             "div": f"{a} / (CASE WHEN {b} <> 0 THEN {b} END + 1e-6)",
+             "sub": f"{a} - {b}",
+             "scaled_mul": f"{a} * {b} / 100",
+             "ratio1": f"CASE WHEN {b} + 1 = 0 THEN NULL ELSE {a} / ({b} + 1) END"}[kind]
+        exprs.append(f"CAST({e} AS DOUBLE) AS {name}")
+    u = f"WITH u AS ({unified_sql()})\n"
+    bucket = f"CAST(('0x' || substr(md5(CAST(source_id AS VARCHAR) || '{K.RANDOM_STATE}'), 1, 8)) AS BIGINT) % 100"
+    return {
+        "interactions": round_sql(u + "SELECT source_id, " + ", ".join(exprs) + " FROM u",
+                                  [n for n, *_ in K.INTERACTIONS]),
+        "split_assign": u + f"SELECT CASE WHEN {bucket} < 70 THEN 'train' WHEN {bucket} < 85 THEN 'validation' "
+                            "ELSE 'test' END AS split, TARGET, count(*) AS n FROM u GROUP BY ALL",
+    }
+
