@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,24 +155,61 @@ def corr_matrix(df: DataFrame, n_features: int = CORR_FEATURE_COUNT) -> DataFram
     """Pairwise-complete Pearson correlation of the first numeric
     features and the label (upper triangle incl. diagonal).
 
-    Each row is expanded in-task into one (pair, x, y) triple per feature
-    pair (a fixed 31*32/2 fan-out, not data pairs), rows missing either value
-    are dropped, and one grouped aggregate per pair computes r from stable
-    co-moments. The aggregate combines map-side, so the shuffle carries one
-    partial buffer per pair per partition."""
+    Each Arrow batch is reduced in its task to masked co-moment matrices
+    (values shifted by the global column means, so the sums stay well
+    conditioned): pair counts, sums, sums of squares, cross products and the
+    pairwise min / max (exact constant detection). Spark then sums the
+    per-batch partials per pair (one small shuffle of pair-sized rows)."""
     cols = features_of(df)[:n_features] + ["TARGET"]
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    k = len(cols)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
     spark = df.sparkSession
-    names = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)],
-                                  "pair int, feature_a string, feature_b string")
-    triples = F.array(*[F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"),
-                                 F.col(b).cast("double").alias("y")) for i, (a, b) in enumerate(pairs)])
-    lf = (df.select(F.explode(triples).alias("t")).select("t.*")
-          .filter(F.col("x").isNotNull() & F.col("y").isNotNull()))
-    r = lf.groupBy("pair").agg(F.try_divide(F.covar_samp("x", "y"),
-                                            F.stddev_samp("x") * F.stddev_samp("y")).alias("corr"))
-    out = names.join(F.broadcast(r), "pair", "left").select("feature_a", "feature_b", "corr")
-    return out.withColumn("corr", nan_to_null("corr"))
+    x = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    mu_row = x.agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(k)]).first()
+    mu = np.array([mu_row[f"c{i}"] if mu_row[f"c{i}"] is not None else 0.0 for i in range(k)])
+    ii = np.array([p[0] for p in pairs])
+    jj = np.array([p[1] for p in pairs])
+
+    def partials(batches):
+        for pdf in batches:
+            v = pdf.to_numpy(dtype=float, na_value=np.nan)
+            m = ~np.isnan(v)
+            mf = m.astype(float)
+            z = np.where(m, v - mu, 0.0)
+            n = mf.T @ mf
+            sa = z.T @ mf
+            saa = (z * z).T @ mf
+            sab = z.T @ z
+            lo = np.full((k, k), np.inf)
+            hi = np.full((k, k), -np.inf)
+            for a in range(k):
+                both = m & m[:, [a]]          # rows where a and each other column are present
+                va = np.where(both, v[:, [a]], np.nan)
+                if both.any():
+                    lo[a] = np.nanmin(np.where(both, va, np.inf), axis=0)
+                    hi[a] = np.nanmax(np.where(both, va, -np.inf), axis=0)
+            yield pd.DataFrame({
+                "pair": np.arange(len(pairs)), "n": n[ii, jj],
+                "sa": sa[ii, jj], "sb": sa[jj, ii], "saa": saa[ii, jj], "sbb": saa[jj, ii],
+                "sab": sab[ii, jj], "lo_a": lo[ii, jj], "hi_a": hi[ii, jj],
+                "lo_b": lo[jj, ii], "hi_b": hi[jj, ii]})
+
+    schema = ("pair long, n double, sa double, sb double, saa double, sbb double, sab double, "
+              "lo_a double, hi_a double, lo_b double, hi_b double")
+    g = x.mapInPandas(partials, schema).groupBy("pair").agg(
+        *[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")],
+        F.min("lo_a").alias("lo_a"), F.max("hi_a").alias("hi_a"),
+        F.min("lo_b").alias("lo_b"), F.max("hi_b").alias("hi_b"))
+    n = F.col("n")
+    cov = F.col("sab") - F.col("sa") * F.col("sb") / n
+    va = F.col("saa") - F.col("sa") * F.col("sa") / n
+    vb = F.col("sbb") - F.col("sb") * F.col("sb") / n
+    defined = (n >= 2) & (F.col("lo_a") < F.col("hi_a")) & (F.col("lo_b") < F.col("hi_b"))
+    r = F.when(defined, div(cov, F.sqrt(va * vb)))
+    names = spark.createDataFrame([(p, cols[a], cols[b]) for p, (a, b) in enumerate(pairs)],
+                                  "pair long, feature_a string, feature_b string")
+    out = names.join(F.broadcast(g.select("pair", r.alias("corr"))), "pair", "left")
+    return out.select("feature_a", "feature_b", clip("corr", -1.0, 1.0).alias("corr"))
 
 
 def label_correlations(df: DataFrame) -> DataFrame:

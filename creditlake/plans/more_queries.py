@@ -101,8 +101,15 @@ def _cleaned(spark, sf_dir):
     return PR.clean(_u(spark, sf_dir))
 
 
+def _cleaned_ckpt(spark, sf_dir):
+    """Cleaned table written once to the shared checkpoint folder: the fit
+    steps below each run an action over it."""
+    from ..session import cut_lineage
+    return cut_lineage(_cleaned(spark, sf_dir))
+
+
 def _winsorized(spark, sf_dir):
-    c = _cleaned(spark, sf_dir)
+    c = _cleaned_ckpt(spark, sf_dir)
     bounds = [r.asDict() for r in PR.winsor_bounds(c).collect()]
     return PR.apply_winsor(c, bounds)
 
@@ -122,7 +129,7 @@ def q_dedup(spark, sf_dir):
 @register("winsorize")
 def q_winsorize(spark, sf_dir):
     """M2: bounds and clip counts per feature."""
-    c = _cleaned(spark, sf_dir)
+    c = _cleaned_ckpt(spark, sf_dir)
     return PR.winsor_report(c, PR.winsor_bounds(c))
 
 
