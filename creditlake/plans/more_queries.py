@@ -344,6 +344,63 @@ def q_stream(spark, sf_dir):
         "status", "improvement_tips")
 
 
+# ---------------------------------------------------------------- sources
+def _scratch(spark, name):
+    import os
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+@register("source_audit")
+def q_audit(spark, sf_dir):
+    """Rows and columns of every driver table (plus missing columns)."""
+    import os
+
+    from ..sources import readers as RD
+    names = ["customer", "orders", "lineitem", "events", "part", "supplier", "nation", "region"]
+    return RD.audit(spark, {n: os.path.join(sf_dir, f"{n}.parquet") for n in names}).drop("missing_columns")
+
+
+@register("lc_features_csv")
+def q_lc_csv(spark, sf_dir):
+    """S1 + S4 + N12: the peer-lending source written as CSV, read back with
+    the typed CSV reader (missing-value tokens, tolerant column subset),
+    then the lending builder; equals ``lc_features``."""
+    from ..sources import driver_roles as DR
+    from ..sources import readers as RD
+    path = _scratch(spark, "lc-csv")
+    DR.lending(spark, sf_dir).drop("mort_acc").write.option("header", True).csv(path)
+    loans = RD.read_source(spark, "lc", path)
+    from ..operators import features as FE
+    return FE.lending_features(loans)
+
+
+@register("batch_score_csv")
+def q_batch_csv(spark, sf_dir):
+    """S6 + S7 + P25 + M15 + K4: requests uploaded as a CSV with messy
+    headers, read as text, coerced per field, scored; equals
+    ``score_from_prob``."""
+    from ..sources import readers as RD
+    from ..streaming.scorer import score_frame
+    path = _scratch(spark, "batch-csv")
+    req = _requests(spark, sf_dir)
+    req.toDF(*[c if c == "request_id" else f" {c.replace('_', ' ').title()} " for c in req.columns]) \
+        .write.option("header", True).csv(path)
+    up = RD.read_request_batch(spark, path)
+    out = score_frame(up)
+    return out.select(F.col("request_id").cast("long").alias("request_id"), "p", "credit_score", "score_band",
+                      "default_probability_pct", "recommendation", "status")
+
+
+@register("eda_report")
+def q_report_lines(spark, sf_dir):
+    """K3: the profile summary report as text lines (no oracle)."""
+    from ..sources import sinks as SK
+    return SK.report_lines(_u(spark, sf_dir))
+
+
 def oracles() -> dict[str, str]:
     from .oracle_prep import prep_oracles, profile_oracles
     from .oracle_score import score_oracles
@@ -352,9 +409,20 @@ def oracles() -> dict[str, str]:
     out.update(prep_oracles())
     out.update(score_oracles())
     out.update(model_oracles())
+    out.update(source_oracles(out))
     return out
 
 
+def source_oracles(existing: dict[str, str]) -> dict[str, str]:
+    from .oracle_features import feature_oracles
+    names = ["customer", "orders", "lineitem", "events", "part", "supplier", "nation", "region"]
+    audit = "\nUNION ALL\n".join(
+        f"SELECT '{n}' AS table_name, (SELECT count(*) FROM {n}) AS n_rows, "
+        f"(SELECT count(*) FROM (DESCRIBE SELECT * FROM {n})) AS n_columns" for n in names)
+    return {"source_audit": audit, "lc_features_csv": feature_oracles()["lc_features"],
+            "batch_score_csv": existing["score_from_prob"]}
+
+
 def model_oracles() -> dict[str, str]:
     from ..functions import catalog as K
     from .oracle_features import round_sql, unified_sql
