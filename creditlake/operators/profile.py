@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import catalog as K
 from ..functions.expr import clip, div, nan_to_null, right_closed_bin
@@ -221,34 +222,122 @@ def label_correlations(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- A18/A19
 def quantiles(df: DataFrame, features: list[str] | None = None,
-              probs=(0.01, 0.25, 0.5, 0.75, 0.99), accuracy: int | None = None) -> DataFrame:
-    """Per feature interpolated quantiles, long form (work spreads by
-    feature). ``accuracy`` switches to the bounded-memory approximate
-    aggregate for very large inputs."""
+              probs=(0.01, 0.25, 0.5, 0.75, 0.99), accuracy: int | None = None,
+              method: str = "exact", materialize: bool = True) -> DataFrame:
+    """Per feature linearly interpolated quantiles (NULLs skipped),
+    one row per feature with at least one value: (feature, q01, q25, ...).
+
+    ``method='exact'`` (default) is exact and memory-bounded: see
+    ``exact_quantiles``. ``'approx'`` returns the sketch values only (with
+    ``accuracy``); ``'percentile'`` uses Spark's exact aggregate, which keeps
+    all distinct values of a feature in one task (small inputs only)."""
     feats = features or features_of(df)
-    lf = long_form(df, feats).filter(F.col("value").isNotNull())
-    if accuracy:
-        agg = F.percentile_approx("value", list(probs), accuracy)
-    else:
-        agg = F.percentile("value", F.array(*[F.lit(p) for p in probs]))
-    q = lf.groupBy("feature").agg(agg.alias("q"))
-    return q.select("feature", *[F.col("q")[i].alias(_qname(p)) for i, p in enumerate(probs)])
+    spark = df.sparkSession
+    if method in ("approx", "percentile"):
+        lf = long_form(df, feats).filter(F.col("value").isNotNull())
+        agg = (F.percentile_approx("value", list(probs), accuracy or 10000) if method == "approx"
+               else F.percentile("value", F.array(*[F.lit(p) for p in probs])))
+        q = lf.groupBy("feature").agg(agg.alias("q"))
+        return q.select("feature", *[F.col("q")[i].alias(_qname(p)) for i, p in enumerate(probs)])
+    src = df.select(*[F.col(f).cast("double") for f in feats])
+    if materialize:
+        from ..session import cut_lineage
+        src = cut_lineage(src, "quantile-input")  # the passes below re-read it
+    found = exact_quantiles(long_form(src, feats).filter(F.col("value").isNotNull()), probs, accuracy or 10000)
+    rows = [(f, *[found.get((f, i)) for i in range(len(probs))]) for f in feats
+            if any((f, i) in found for i in range(len(probs)))]
+    schema = "feature string, " + ", ".join(f"{_qname(p)} double" for p in probs)
+    return spark.createDataFrame(rows, schema)
+
+
+def exact_quantiles(lf: DataFrame, probs, accuracy: int = 10000) -> dict:
+    """Exact interpolated quantiles of (feature, value) rows in bounded memory.
+
+    1. a sketch pass (``percentile_approx``, fixed-size state per feature)
+       gives, for every requested p, values just below and above the ranks
+       the interpolation needs;
+    2. one pass counts values under each lower bracket end and groups the
+       values inside each bracket into (value, count) pairs — a bracket holds
+       about 2 * widen / accuracy of the rows, so no task holds a whole
+       feature — then a running count inside each bracket finds the order
+       statistics at floor(h) and floor(h)+1, h = p * (n - 1);
+    3. brackets that missed (the sketch bound failed) are widened tenfold and
+       recomputed for those features only, up to the full range.
+    Only per (feature, p) results reach the driver. Returns
+    {(feature, index of p): quantile}."""
+    spark = lf.sparkSession
+    out: dict = {}
+    todo = None
+    widen = 3.0
+    while True:
+        src = lf if todo is None else lf.filter(F.col("feature").isin(todo))
+        d = widen / accuracy
+        full = widen >= accuracy
+        grid = sorted({min(1.0, max(0.0, round(p + s * d, 12))) for p in probs for s in (-1, 1)})
+        sk = src.groupBy("feature").agg(F.percentile_approx("value", grid, accuracy).alias("g"),
+                                        F.count(F.lit(1)).alias("n")).collect()
+        brs = []
+        for r in sk:
+            for i, p in enumerate(probs):
+                lo = r["g"][grid.index(min(1.0, max(0.0, round(p - d, 12))))]
+                hi = r["g"][grid.index(min(1.0, max(0.0, round(p + d, 12))))]
+                if full:
+                    lo, hi = float("-inf"), float("inf")
+                brs.append((r["feature"], i, float(p), int(r["n"]), float(lo), float(hi)))
+        if not brs:
+            return out
+        # one row per feature and quantile: bounded, broadcast
+        br = F.broadcast(spark.createDataFrame(brs, "feature string, qi int, q double, n long, lo double, hi double"))
+        j = src.join(br, "feature")
+        v = F.col("value")
+        below = j.groupBy("feature", "qi").agg(F.count_if(v < F.col("lo")).alias("below"))
+        inside = (j.filter((v >= F.col("lo")) & (v <= F.col("hi")))
+                  .groupBy("feature", "qi", "value").agg(F.count(F.lit(1)).alias("c")))
+        w = Window.partitionBy("feature", "qi").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        x = (inside.withColumn("cum", F.sum("c").over(w))
+             .join(below, ["feature", "qi"]).join(br.select("feature", "qi", "q", "n"), ["feature", "qi"]))
+        h = F.col("q") * (F.col("n") - 1)
+        i0 = F.floor(h)
+        i1 = F.least(i0 + 1, F.col("n") - 1)
+        start = F.col("below") + F.col("cum") - F.col("c")
+        end = F.col("below") + F.col("cum") - 1
+        res = x.groupBy("feature", "qi").agg(
+            F.max(F.when((start <= i0) & (i0 <= end), v)).alias("v0"),
+            F.max(F.when((start <= i1) & (i1 <= end), v)).alias("v1"),
+            F.first(h).alias("h")).collect()
+        got = {(r["feature"], r["qi"]): r for r in res}
+        missed = set()
+        for f, i, *_ in brs:
+            r = got.get((f, i))
+            if r is None or r["v0"] is None or r["v1"] is None:
+                missed.add(f)
+                continue
+            frac = r["h"] - float(int(r["h"]))
+            out[(f, i)] = r["v0"] + frac * (r["v1"] - r["v0"])
+        if not missed or full:
+            return out
+        for f in missed:
+            for i in range(len(probs)):
+                out.pop((f, i), None)
+        todo = sorted(missed)
+        widen *= 10
 
 
 def _qname(p) -> str:
-    return "q" + f"{p:.2f}"[2:]
+    return f"q{round(p * 100):02d}"
 
 
 def key_stats(df: DataFrame, features=KEY_STAT_FEATURES) -> DataFrame:
     """Mean / median / sample std / missing rate of the key features."""
     feats = [f for f in features if f in df.columns]
     lf = long_form(df, feats)
-    return lf.groupBy("feature").agg(
+    st = lf.groupBy("feature").agg(
         F.avg("value").alias("mean"),
-        F.percentile("value", 0.5).alias("median"),
         F.stddev_samp("value").alias("std"),
         F.avg(F.col("value").isNull().cast("double")).alias("missing_rate"),
         F.count("value").alias("n_present"))
+    med = quantiles(df, feats, probs=(0.5,)).withColumnRenamed("q50", "median")
+    return st.join(med, "feature", "left").select("feature", "mean", "median", "std", "missing_rate", "n_present")
 
 
 # ------------------------------------------------------------------- A17
@@ -258,8 +347,8 @@ def class_histogram(df: DataFrame, features=KEY_FEATURES, bins: int = 50,
     feature's 99th percentile; each class gets its own [min, max] range."""
     feats = [f for f in features if f in df.columns]
     lf = long_form(df, feats, keep=["TARGET"]).filter(F.col("value").isNotNull())
-    present = lf.groupBy("feature").agg(F.count(F.lit(1)).alias("_n"),
-                                        F.percentile("value", 0.99).alias("cap"))
+    present = lf.groupBy("feature").agg(F.count(F.lit(1)).alias("_n")).join(
+        quantiles(df, feats, probs=(0.99,)).withColumnRenamed("q99", "cap"), "feature")
     lf = lf.join(F.broadcast(present.filter(F.col("_n") > min_present)), "feature")
     lf = lf.filter(F.col("TARGET").isNotNull()).withColumn("x", F.least("value", "cap"))
     rng = lf.groupBy("feature", "TARGET").agg(F.min("x").alias("lo"), F.max("x").alias("hi"),

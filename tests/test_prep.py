@@ -73,3 +73,18 @@ def test_label_codes_alphabetical(spark):
     df = spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "k string")
     out = sorted((r.k or "<missing>", r.code) for r in FE.label_codes(df, "k", "code").collect())
     assert out == [("<missing>", 2.0), ("a", 0.0), ("b", 1.0), ("b", 1.0)]   # 'nan' sorts after 'b'
+
+
+def test_exact_quantiles_bounded_method(spark):
+    rng = np.random.default_rng(5)
+    vals = np.concatenate([rng.normal(size=3000), np.zeros(1500), rng.integers(0, 5, 500).astype(float)])
+    df = spark.createDataFrame([(float(v), float(v) * 2 if i % 3 else None) for i, v in enumerate(vals)],
+                               "a double, b double")
+    from creditlake.operators import profile as P
+    probs = (0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0)
+    b = np.array([float(v) * 2 for i, v in enumerate(vals) if i % 3])
+    for acc in (20, 10000):
+        got = {r.feature: r for r in P.quantiles(df, ["a", "b"], probs=probs, accuracy=acc).collect()}
+        for p in probs:
+            assert abs(got["a"][P._qname(p)] - np.percentile(vals, p * 100)) < 1e-9, (acc, p)
+            assert abs(got["b"][P._qname(p)] - np.percentile(b, p * 100)) < 1e-9, (acc, p)
