@@ -47,13 +47,14 @@ def source_id(idcol, source: str) -> Column:
 
 def label_codes(df: DataFrame, col: str, out: str) -> DataFrame:
     """P20: label encoding with alphabetically sorted classes, missing values
-    as the class 'nan'. Distinct classes are few (a category column), so the
-    small code table is broadcast back instead of shuffling the rows."""
+    as the class 'nan'. The code table has one row per distinct class of a
+    category column; it is joined back without a hint, so adaptive execution
+    broadcasts it only after measuring its size (and shuffles otherwise)."""
     key = F.coalesce(F.col(col).cast("string"), F.lit("nan"))
     keyed = df.withColumn("_lbl_key", key)
     codes = (keyed.select("_lbl_key").distinct()
              .withColumn(out, (F.dense_rank().over(Window.orderBy("_lbl_key")) - 1).cast("double")))
-    return keyed.join(F.broadcast(codes), "_lbl_key", "left").drop("_lbl_key")
+    return keyed.join(codes, "_lbl_key", "left").drop("_lbl_key")
 
 
 # ---------------------------------------------------------------- applicant

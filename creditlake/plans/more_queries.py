@@ -108,14 +108,14 @@ def _cleaned_ckpt(spark, sf_dir):
     return cut_lineage(_cleaned(spark, sf_dir))
 
 
-def _winsorized(spark, sf_dir):
-    c = _cleaned_ckpt(spark, sf_dir)
+def _winsorized(spark, sf_dir, cleaned=None):
+    c = cleaned if cleaned is not None else _cleaned_ckpt(spark, sf_dir)
     bounds = [r.asDict() for r in PR.winsor_bounds(c).collect()]
     return PR.apply_winsor(c, bounds)
 
 
-def _imputed(spark, sf_dir):
-    w = _winsorized(spark, sf_dir)
+def _imputed(spark, sf_dir, cleaned=None):
+    w = _winsorized(spark, sf_dir, cleaned)
     fills = [r.asDict() for r in PR.impute_params(w).collect()]
     return PR.apply_impute(w, fills)
 
@@ -260,6 +260,28 @@ def q_split(spark, sf_dir):
     return s.groupBy("split", "TARGET").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("tune_gbt")
+def q_tune(spark, sf_dir):
+    """M9: seeded random search of boosted-tree parameters, validation AUC
+    per trial (no oracle)."""
+    from ..operators import model as M
+    from . import pipeline as PL
+    t = PL.train(spark, sf_dir)
+    trials = M.tune_gbt(t.data.filter(F.col("split") == "train"), t.data.filter(F.col("split") == "validation"),
+                        t.features, n_trials=4, max_iter=20)
+    rows = [(i, r["maxDepth"], float(r["stepSize"]), r["minInstancesPerNode"], r["featureSubsetStrategy"],
+             float(r["subsamplingRate"]), float(r["val_auc"])) for i, r in enumerate(trials)]
+    return spark.createDataFrame(rows, "trial int, max_depth int, step_size double, min_instances int, "
+                                       "feature_subset string, subsampling_rate double, val_auc double")
+
+
+@register("missing_before_after")
+def q_missing_before_after(spark, sf_dir):
+    """Missing rate of every feature before and after preparation."""
+    c = _cleaned_ckpt(spark, sf_dir)
+    return P.missing_before_after(c, _imputed(spark, sf_dir, c))
+
+
 @register("gbt_score")
 def q_gbt_score(spark, sf_dir):
     """M10 + M13 + P27-P29: boosted trees trained on the prepared training
@@ -410,9 +432,22 @@ def oracles() -> dict[str, str]:
     out.update(score_oracles())
     out.update(model_oracles())
     out.update(source_oracles(out))
+    out.update(prep_extra_oracles())
     return out
 
 
+def prep_extra_oracles() -> dict[str, str]:
+    from ..functions import catalog as K
+    from .oracle_features import round_sql
+    from .oracle_prep import _prep_ctes
+    feats = list(K.ALL_FEATURES)
+    after = "ma AS (SELECT " + ", ".join(f"avg(CAST({f} IS NULL AS DOUBLE)) AS a_{f}" for f in feats) + " FROM imp)"
+    rows = "\nUNION ALL\n".join(f"SELECT '{f}' AS feature, mr_{f} AS missing_before, a_{f} AS missing_after FROM st, ma"
+                                 for f in feats)
+    return {"missing_before_after": round_sql(_prep_ctes().rstrip("\n") + ",\n" + after + "\n" + rows,
+                                              ["missing_before", "missing_after"])}
+
+
 def source_oracles(existing: dict[str, str]) -> dict[str, str]:
     from .oracle_features import feature_oracles
     names = ["customer", "orders", "lineitem", "events", "part", "supplier", "nation", "region"]
