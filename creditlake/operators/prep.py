@@ -43,10 +43,10 @@ def clean(df: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------- M2
 def winsor_bounds(df: DataFrame, lo: float = K.WINSOR_LOW, hi: float = K.WINSOR_HIGH,
-                  accuracy: int | None = None) -> DataFrame:
+                  accuracy: int | None = None, materialize: bool = True) -> DataFrame:
     """(feature, lo, hi, applied): 1st / 99th percentiles; a feature is
     clipped only when lo < hi."""
-    q = quantiles(df, features_of(df), probs=(lo, hi), accuracy=accuracy)
+    q = quantiles(df, features_of(df), probs=(lo, hi), accuracy=accuracy, materialize=materialize)
     a, b = q.columns[1], q.columns[2]
     return q.select("feature", F.col(a).alias("lo"), F.col(b).alias("hi"),
                     (F.col(a) < F.col(b)).alias("applied"))
@@ -84,12 +84,13 @@ def winsor_report(df: DataFrame, bounds_df: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------- M3
-def impute_params(df: DataFrame, accuracy: int | None = None) -> DataFrame:
+def impute_params(df: DataFrame, accuracy: int | None = None, materialize: bool = True) -> DataFrame:
     """(feature, missing_rate, status, fill_value): empty features -> 0,
     partly missing -> median, complete -> untouched."""
     mr = missing_rates(df)
     partial = [r["feature"] for r in mr.filter(F.col("status") == "partial").select("feature").collect()]
-    med = quantiles(df, partial, probs=(0.5,), accuracy=accuracy).withColumnRenamed("q50", "median") \
+    med = quantiles(df, partial, probs=(0.5,), accuracy=accuracy, materialize=materialize) \
+        .withColumnRenamed("q50", "median") \
         if partial else df.sparkSession.createDataFrame([], "feature string, median double")
     p = mr.join(F.broadcast(med), "feature", "left")
     return p.select("feature", "ordinal", "missing_rate", "status",
@@ -162,10 +163,11 @@ def select_features(df: DataFrame, max_features: int = K.MAX_FEATURES,
 
 
 # --------------------------------------------------------------------- M5
-def robust_params(df: DataFrame, features: list[str], accuracy: int | None = None) -> DataFrame:
+def robust_params(df: DataFrame, features: list[str], accuracy: int | None = None,
+                  materialize: bool = True) -> DataFrame:
     """(feature, center, scale): median and inter-quartile range; an IQR of
     0 scales by 1 (the column is only centred)."""
-    q = quantiles(df, features, probs=(0.25, 0.5, 0.75), accuracy=accuracy)
+    q = quantiles(df, features, probs=(0.25, 0.5, 0.75), accuracy=accuracy, materialize=materialize)
     iqr = F.col("q75") - F.col("q25")
     return q.select("feature", F.col("q50").alias("center"),
                     F.when(iqr == 0, F.lit(1.0)).otherwise(iqr).alias("scale"))
@@ -198,11 +200,12 @@ class PrepModel:
 
 
 def fit_prep(df: DataFrame, accuracy: int | None = None) -> PrepModel:
-    """M2-M5 fitted in order on ``df`` (already cleaned)."""
-    bounds = [r.asDict() for r in winsor_bounds(df, accuracy=accuracy).collect()]
+    """M2-M5 fitted in order on ``df`` (already cleaned and, for large
+    inputs, materialised: every step below is a projection of it)."""
+    bounds = [r.asDict() for r in winsor_bounds(df, accuracy=accuracy, materialize=False).collect()]
     w = apply_winsor(df, bounds)
-    fills = [r.asDict() for r in impute_params(w, accuracy=accuracy).collect()]
+    fills = [r.asDict() for r in impute_params(w, accuracy=accuracy, materialize=False).collect()]
     imp = apply_impute(w, fills)
     sel = [r["feature"] for r in select_features(imp).orderBy("rank").collect()]
-    scales = [r.asDict() for r in robust_params(imp, sel, accuracy=accuracy).collect()]
+    scales = [r.asDict() for r in robust_params(imp, sel, accuracy=accuracy, materialize=False).collect()]
     return PrepModel(bounds, fills, sel, scales)

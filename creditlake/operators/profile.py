@@ -286,16 +286,32 @@ def exact_quantiles(lf: DataFrame, probs, accuracy: int = 10000) -> dict:
                 brs.append((r["feature"], i, float(p), int(r["n"]), float(lo), float(hi)))
         if not brs:
             return out
-        # one row per feature and quantile: bounded, broadcast
-        br = F.broadcast(spark.createDataFrame(brs, "feature string, qi int, q double, n long, lo double, hi double"))
+        k = len(probs)
+        per = {}
+        for f, i, p, n, lo, hi in brs:
+            e = per.setdefault(f, {"n": n, "lo": [0.0] * k, "hi": [0.0] * k})
+            e["lo"][i], e["hi"][i] = lo, hi
+        # one row per feature with its k brackets: bounded, broadcast
+        br = F.broadcast(spark.createDataFrame(
+            [(f, e["n"], e["lo"], e["hi"]) for f, e in per.items()],
+            "feature string, n long, lo array<double>, hi array<double>"))
         j = src.join(br, "feature")
         v = F.col("value")
-        below = j.groupBy("feature", "qi").agg(F.count_if(v < F.col("lo")).alias("below"))
-        inside = (j.filter((v >= F.col("lo")) & (v <= F.col("hi")))
+        # values under each lower bracket end: k counters in one aggregate
+        below_w = j.groupBy("feature").agg(*[F.count_if(v < F.col("lo")[i]).alias(f"b{i}") for i in range(k)])
+        below = below_w.select("feature", F.explode(F.array(*[
+            F.struct(F.lit(i).alias("qi"), F.col(f"b{i}").alias("below")) for i in range(k)])).alias("s")
+        ).select("feature", "s.*")
+        # only rows inside some bracket are expanded, once per bracket holding them
+        hits = F.filter(F.array(*[F.lit(i) for i in range(k)]),
+                        lambda i: (v >= F.element_at("lo", i + 1)) & (v <= F.element_at("hi", i + 1)))
+        inside = (j.select("feature", "value", F.explode(hits).alias("qi"))
                   .groupBy("feature", "qi", "value").agg(F.count(F.lit(1)).alias("c")))
+        qn = spark.createDataFrame([(f, i, float(p), n) for f, i, p, n, _, _ in brs],
+                                   "feature string, qi int, q double, n long")
         w = Window.partitionBy("feature", "qi").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
         x = (inside.withColumn("cum", F.sum("c").over(w))
-             .join(below, ["feature", "qi"]).join(br.select("feature", "qi", "q", "n"), ["feature", "qi"]))
+             .join(below, ["feature", "qi"]).join(F.broadcast(qn), ["feature", "qi"]))
         h = F.col("q") * (F.col("n") - 1)
         i0 = F.floor(h)
         i1 = F.least(i0 + 1, F.col("n") - 1)

@@ -110,13 +110,13 @@ def _cleaned_ckpt(spark, sf_dir):
 
 def _winsorized(spark, sf_dir, cleaned=None):
     c = cleaned if cleaned is not None else _cleaned_ckpt(spark, sf_dir)
-    bounds = [r.asDict() for r in PR.winsor_bounds(c).collect()]
+    bounds = [r.asDict() for r in PR.winsor_bounds(c, materialize=False).collect()]
     return PR.apply_winsor(c, bounds)
 
 
 def _imputed(spark, sf_dir, cleaned=None):
     w = _winsorized(spark, sf_dir, cleaned)
-    fills = [r.asDict() for r in PR.impute_params(w).collect()]
+    fills = [r.asDict() for r in PR.impute_params(w, materialize=False).collect()]
     return PR.apply_impute(w, fills)
 
 
@@ -130,13 +130,13 @@ def q_dedup(spark, sf_dir):
 def q_winsorize(spark, sf_dir):
     """M2: bounds and clip counts per feature."""
     c = _cleaned_ckpt(spark, sf_dir)
-    return PR.winsor_report(c, PR.winsor_bounds(c))
+    return PR.winsor_report(c, PR.winsor_bounds(c, materialize=False))
 
 
 @register("impute_median")
 def q_impute(spark, sf_dir):
     """M3: fill plan per feature (fitted on winsorized data)."""
-    return PR.impute_params(_winsorized(spark, sf_dir))
+    return PR.impute_params(_winsorized(spark, sf_dir), materialize=False)
 
 
 @register("anova_f")
@@ -159,7 +159,7 @@ def q_scale(spark, sf_dir):
     """M5: centre and scale of each selected feature."""
     imp = _imputed(spark, sf_dir)
     sel = [r["feature"] for r in PR.select_features(imp).collect()]
-    return PR.robust_params(imp, sel)
+    return PR.robust_params(imp, sel, materialize=False)
 
 
 # ---------------------------------------------------------------- scoring

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +11,27 @@ from ..operators import features as FE
 from ..sources import driver_roles as DR
 
 
+_PLANS: dict = {}
+
+
+def memo_plan(fn):
+    """Keep the built (lazy, unexecuted) DataFrame per session and input
+    folder: building and analysing the 87-column plan takes seconds of
+    driver time, while running it re-reads the files every time."""
+    @wraps(fn)
+    def wrapper(spark, sf_dir, *args, **kwargs):
+        key = (fn.__name__, id(spark), spark.sparkContext.applicationId, sf_dir, args, tuple(sorted(kwargs.items())))
+        if key not in _PLANS:
+            _PLANS[key] = fn(spark, sf_dir, *args, **kwargs)
+        return _PLANS[key]
+    return wrapper
+
+
 def applicant_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DR.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("SK_ID_CURR"))
 
 
+@memo_plan
 def hc_features(spark, sf_dir) -> DataFrame:
     return FE.home_credit_features(
         DR.applicants(spark, sf_dir), DR.bureau(spark, sf_dir), DR.bureau_balance(spark, sf_dir),
@@ -20,18 +39,22 @@ def hc_features(spark, sf_dir) -> DataFrame:
         DR.previous_application(spark, sf_dir))
 
 
+@memo_plan
 def gm_features(spark, sf_dir) -> DataFrame:
     return FE.survey_features(DR.survey(spark, sf_dir))
 
 
+@memo_plan
 def lc_features(spark, sf_dir, reference_compat: bool = False) -> DataFrame:
     return FE.lending_features(DR.lending(spark, sf_dir), reference_compat=reference_compat)
 
 
+@memo_plan
 def cz_features(spark, sf_dir) -> DataFrame:
     return FE.bank_features(DR.bank_loans(spark, sf_dir), DR.bank_transactions(spark, sf_dir))
 
 
+@memo_plan
 def unified(spark, sf_dir) -> DataFrame:
     return FE.unify([hc_features(spark, sf_dir), gm_features(spark, sf_dir),
                      lc_features(spark, sf_dir), cz_features(spark, sf_dir)])
