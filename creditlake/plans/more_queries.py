@@ -110,13 +110,13 @@ def _cleaned_ckpt(spark, sf_dir):
 
 def _winsorized(spark, sf_dir, cleaned=None):
     c = cleaned if cleaned is not None else _cleaned_ckpt(spark, sf_dir)
-    bounds = [r.asDict() for r in PR.winsor_bounds(c, materialize=False).collect()]
+    bounds = [r.asDict() for r in PR.winsor_bounds(c, materialize=False).collect()]  # one row per feature
     return PR.apply_winsor(c, bounds)
 
 
 def _imputed(spark, sf_dir, cleaned=None):
     w = _winsorized(spark, sf_dir, cleaned)
-    fills = [r.asDict() for r in PR.impute_params(w, materialize=False).collect()]
+    fills = [r.asDict() for r in PR.impute_params(w, materialize=False).collect()]  # one row per feature
     return PR.apply_impute(w, fills)
 
 
@@ -158,7 +158,7 @@ def q_select(spark, sf_dir):
 def q_scale(spark, sf_dir):
     """M5: centre and scale of each selected feature."""
     imp = _imputed(spark, sf_dir)
-    sel = [r["feature"] for r in PR.select_features(imp).collect()]
+    sel = [r["feature"] for r in PR.select_features(imp).collect()]  # one row per feature
     return PR.robust_params(imp, sel, materialize=False)
 
 
@@ -297,7 +297,8 @@ def q_model_metrics(spark, sf_dir):
     """E1-E4 on the boosted-tree test predictions (no oracle)."""
     from . import pipeline as PL
     pred = PL.test_predictions(PL.train(spark, sf_dir))
-    return EV.roc_auc(pred).crossJoin(EV.ks_statistic(pred))
+    ks = EV.ks_statistic(pred).first()["ks"]  # one number
+    return EV.roc_auc(pred).withColumn("ks", F.lit(ks))
 
 
 @register("blend")
