@@ -264,3 +264,45 @@ def append_summary_row(scored: DataFrame, summary: DataFrame) -> DataFrame:
          F.col("summary_probability") if c == "default_probability_pct" else
          F.col("summary_recommendations") if c == "recommendation" else F.lit("")).alias(c) for c in cols])
     return body.unionByName(srow)
+
+
+# -------------------------------------------------------------- P33 / P35
+# Input domains of the scoring form (fixed values): field -> (min, max) or
+# the allowed set; fractions are on the 0-1 scale the scorer uses.
+INPUT_RANGES = [
+    ("annual_income", 0, None), ("loan_amount", 0, None), ("monthly_payment", 0, None),
+    ("dti", 0, 80), ("savings_amount", 0, None), ("age", 18, 75), ("family_size", 1, 15),
+    ("employment_years", 0, 40), ("cc_utilization", 0, 1), ("existing_credits", 0, 20),
+    ("enquiries", 0, 20), ("docs_rate", 0, 1), ("late_payment_rate", 0, 0.5),
+    ("approval_rate", 0, 1), ("prev_applications", 0, 20),
+    ("checking_tier", 0, 4), ("savings_tier", 0, 4), ("employment_stability", 0, 4), ("region_rating", 1, 3),
+]
+INPUT_SETS = [("loan_term", [12, 24, 36, 48, 60])]
+PERCENT_FIELDS = ["cc_utilization", "late_payment_rate", "approval_rate", "docs_rate"]
+
+
+def rule_name(field: str, lo, hi) -> str:
+    return f"{field} outside [{'' if lo is None else lo}, {'' if hi is None else hi}]"
+
+
+def input_rule_violations(df: DataFrame) -> Column:
+    """Names of the form's input-domain rules a request breaks (after
+    the same tolerant coercion as scoring), in a fixed order."""
+    checks = []
+    for f, lo, hi in INPUT_RANGES:
+        x = _num(df, f)
+        bad = F.lit(False)
+        if lo is not None:
+            bad = bad | (x < lo)
+        if hi is not None:
+            bad = bad | (x > hi)
+        checks.append(F.when(bad, F.lit(rule_name(f, lo, hi))))
+    for f, allowed in INPUT_SETS:
+        checks.append(F.when(~_num(df, f).isin([float(a) for a in allowed]),
+                             F.lit(f"{f} not in {{{', '.join(str(a) for a in allowed)}}}")))
+    return F.filter(F.array(*checks), lambda t: t.isNotNull())
+
+
+def percent_to_fraction(df: DataFrame, fields=PERCENT_FIELDS) -> DataFrame:
+    """Form fields entered in percent -> fractions (opt-in)."""
+    return df.withColumns({f: F.col(f).cast("double") / 100 for f in fields if f in df.columns})

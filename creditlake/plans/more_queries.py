@@ -205,6 +205,13 @@ def q_tips(spark, sf_dir):
                       *[v.alias(k) for k, v in km.items()])
 
 
+@register("request_rules")
+def q_request_rules(spark, sf_dir):
+    """Input-domain rules each request breaks (after coercion)."""
+    req = _requests(spark, sf_dir)
+    return req.select("request_id", SC.input_rule_violations(req).alias("violations"))
+
+
 @register("batch_summary")
 def q_batch_summary(spark, sf_dir):
     """A22 + U3 summary line."""
@@ -434,9 +441,25 @@ def oracles() -> dict[str, str]:
     out.update(model_oracles())
     out.update(source_oracles(out))
     out.update(prep_extra_oracles())
+    out.update(rules_oracle())
     return out
 
 
+def rules_oracle() -> dict[str, str]:
+    from .oracle_score import n
+    from .roles_sql import with_roles
+    parts = []
+    for f, lo, hi in SC.INPUT_RANGES:
+        conds = ([f"{n(f)} < {lo}"] if lo is not None else []) + ([f"{n(f)} > {hi}"] if hi is not None else [])
+        parts.append(f"CASE WHEN {' OR '.join(conds)} THEN '{SC.rule_name(f, lo, hi)}' END")
+    for f, allowed in SC.INPUT_SETS:
+        parts.append(f"CASE WHEN {n(f)} NOT IN ({', '.join(str(float(a)) for a in allowed)}) "
+                     f"THEN '{f} not in {{{', '.join(str(a) for a in allowed)}}}' END")
+    return {"request_rules": with_roles("score_requests") +
+            f"SELECT request_id, list_filter([{', '.join(parts)}], lambda t: t IS NOT NULL) AS violations "
+            "FROM score_requests"}
+
+
 def prep_extra_oracles() -> dict[str, str]:
     from ..functions import catalog as K
     from .oracle_features import round_sql
