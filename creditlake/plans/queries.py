@@ -19,6 +19,10 @@ _QUERIES: dict[str, Query] = {}
 
 
 def register(name: str):
+    """Register a query. Registered results round double columns to 6
+    decimals (ties away from zero, the same steps as the SQL oracle) so that
+    engines summing in different orders compare equal; the operators
+    themselves return full precision."""
     def deco(fn):
         _QUERIES[name] = lambda spark, sf_dir: round_doubles(fn(spark, sf_dir))
         _QUERIES[name].__doc__ = fn.__doc__
