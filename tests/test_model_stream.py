@@ -66,3 +66,17 @@ def test_stream_resumes_from_checkpoint(spark):
     got = spark.read.parquet(out)
     assert n1 == first.count()
     assert got.count() == req.count() and got.select("request_id").distinct().count() == req.count()
+
+
+def test_interaction_guards(spark):
+    cols = ["credit_to_income", "inst_late_payment_rate", "income_per_person", "annuity_amount",
+            "age_years", "employment_stability", "stability_score"]
+    df = spark.createDataFrame([(2.0, 0.5, 100.0, 0.0, 40.0, 3.0, 6.0), (1.0, None, 10.0, 4.0, 30.0, 1.0, 2.0)],
+                               ", ".join(f"{c} double" for c in cols))
+    inter = M.interaction_columns(df.columns)
+    assert set(inter) == {"risk_amplifier", "income_adequacy", "age_emp_score", "stability_vs_debt"}
+    r = df.select(*[v.alias(k) for k, v in inter.items()]).collect()
+    assert r[0].risk_amplifier == 1.0 and r[0].income_adequacy is None       # zero denominator -> missing
+    assert abs(r[1].income_adequacy - 10.0 / (4.0 + 1e-6)) < 1e-12
+    assert r[0].age_emp_score == 1.2 and r[0].stability_vs_debt == 2.0
+    assert r[1].risk_amplifier is None
