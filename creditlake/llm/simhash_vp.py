@@ -241,3 +241,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = cut_lineage(named.join(least, "root").select("fp", "root", "component_id"), "simhash-components")
     return fps.join(ids, "fp", "left").select("doc_id", "row_key", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest (id, row key).
+
+    Only keys are grouped.  Rows that go, and rows that occur more than once,
+    are small tables beside the corpus, which the planner broadcasts or
+    shuffles by their size; other rows pass without a shuffle.
+    """
+    near = cut_lineage(near_duplicates(docs, id_col, text_col, width, bits), "near-duplicates")
+    first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")
+    groups = near.groupBy("root").agg(F.min(first).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # what a group keeps is one row key, of as many equal rows as there are
+    kept = groups.select(F.col("root").alias("of"), F.col("first.row_key").alias("kept"))
+    gone = near.join(kept, near["root"] == kept["of"]).where("row_key <> kept").select(F.col("row_key").alias("__gone")).distinct()
+    gone = cut_lineage(gone, "near-duplicates-gone")
+    same = near.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row_key").alias("__same"))
+    same = cut_lineage(same, "repeated-rows")
+    key = row_key(id_col, text_col)
+    rest = docs.join(gone, key == F.col("__gone"), "left_anti")
+    if same.isEmpty():
+        return rest
+    single = rest.join(same, key == F.col("__same"), "left_anti")
+    repeated = rest.withColumn("__key", key).join(same, F.col("__key") == F.col("__same"), "left_semi")
+    return single.unionByName(repeated.dropDuplicates(["__key"]).drop("__key"))

@@ -10,6 +10,13 @@ from creditlake.llm import simhash_vp
 from creditlake.llm.common import read
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognised language go."""
+    from creditlake.llm import language_id as li
+
+    return li.recognised(docs)
+
+
 def simhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return simhash_vp.keep_one(docs)
@@ -20,6 +27,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return dc.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked; every document stays."""
+    from creditlake.llm import secret_scan as ss
+
+    return ss.redact(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from creditlake.llm.queries import vocabulary
 
