@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditlake.session import cut_lineage, table_path
+from creditlake.session import cut_lineage, ensure_checkpoint_dir, table_path
 
-__all__ = ["cut_lineage", "read", "crc_bucket", "row_key", "components", "pick", "WORD_SPLIT"]
+__all__ = ["cut_lineage", "read", "vocabulary", "crc_bucket", "row_key", "components", "shared_dir", "WORD_SPLIT"]
 
 #: What separates words: space and the five ASCII control blanks.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
@@ -19,9 +20,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def pick(df: DataFrame, *cols: str) -> DataFrame:
-    """Only the named columns, so that extra columns (whatever their names) can't clash."""
-    return df.select(*[df[c] for c in cols])
+def vocabulary() -> str:
+    """The vocabulary file of the installed package of public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def crc_bucket(id_col: str, n: int) -> Column:
@@ -82,8 +85,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared checkpoint folder."""
-    import uuid
-
-    from creditlake.session import ensure_checkpoint_dir
-
     return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")

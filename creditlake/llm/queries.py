@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditlake.llm import decontamination, packing, quality_rules, simhash_vp, warc
-from creditlake.llm.common import read
-
-
-def vocabulary() -> str:
-    """The vocabulary file of the installed package of public tokenizers."""
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
+from creditlake.llm import (
+    decontamination,
+    language_id,
+    packing,
+    quality_cnn,
+    quality_rules,
+    secret_scan,
+    simhash_vp,
+    toxicity,
+    warc,
+)
+from creditlake.llm.common import crc_bucket, read, vocabulary
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,11 +28,36 @@ def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held = crc_bucket("doc_id", 3) == 1
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~held)
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    learn = language_id.learnable()
+    return language_id.identify(docs, language_id.fit(docs, learn)).select("doc_id", (~learn).alias("held_out"), "lang_pred", "score")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = secret_scan.secrets(read(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held = crc_bucket("doc_id", 4) == 2
+    net = quality_cnn.fit(docs, read(spark, sf_dir, "labels"), ~held)
+    return quality_cnn.score(docs, net).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decontamination.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return got.select("doc_id", "item_id", "start_word", "n_words", "similarity")
@@ -47,7 +75,9 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN last <> page_id THEN 'r
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_simhash_neardup, op6_quality_rules, op9_decontamination, op10_warc)}
+    return {f.__name__: f for f in (
+        op1_packing, op2_simhash_neardup, op3_toxicity, op4_language_id, op6_quality_rules, op7_secret_scan, op8_quality_cnn,
+        op9_decontamination, op10_warc)}
 
 
 def oracle_sql() -> dict:

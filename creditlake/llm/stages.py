@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from creditlake.llm import decontamination as dc
+from creditlake.llm import language_id as li
 from creditlake.llm import packing as pk
+from creditlake.llm import secret_scan as ss
 from creditlake.llm import simhash_vp
-from creditlake.llm.common import read
+from creditlake.llm.common import read, vocabulary
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognised language go."""
-    from creditlake.llm import language_id as li
-
     return li.recognised(docs)
 
 
@@ -29,12 +29,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; every document stays."""
-    from creditlake.llm import secret_scan as ss
-
     return ss.redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from creditlake.llm.queries import vocabulary
-
+    """Documents become pieces of packed sequences."""
     return pk.pack(docs, vocabulary())
