@@ -35,7 +35,7 @@ SEED = 42
 SHINGLE = 3
 MAX_BITS = 3
 #: Distinct fingerprints in a shard, shards, and sampled fingerprints for a shard; the sample is at most MAX_SHARDS * PER_LEAF.
-SHARD_SIZE, MAX_SHARDS, PER_LEAF = 4096, 8192, 16
+SHARD_SIZE, MAX_SHARDS, PER_LEAF = 32_768, 8192, 16
 #: In a shard, nodes of so many homes are compared directly, in blocks of so many pairs.
 LEAF, BLOCK_PAIRS = 256, 1 << 20
 
