@@ -9,6 +9,7 @@ from creditlake.llm import (
     decontamination,
     language_id,
     packing,
+    paragraph_dedup,
     quality_cnn,
     quality_rules,
     secret_scan,
@@ -41,6 +42,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs, learn)).select("doc_id", (~learn).alias("held_out"), "lang_pred", "score")
 
 
+def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated(read(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -76,7 +81,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN last <> page_id THEN 'r
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_packing, op2_simhash_neardup, op3_toxicity, op4_language_id, op6_quality_rules, op7_secret_scan, op8_quality_cnn,
+        op1_packing, op2_simhash_neardup, op3_toxicity, op4_language_id, op5_paragraph_dedup, op6_quality_rules, op7_secret_scan, op8_quality_cnn,
         op9_decontamination, op10_warc)}
 
 
