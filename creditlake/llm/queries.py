@@ -21,15 +21,18 @@ from creditlake.llm.common import crc_bucket, read, vocabulary
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in packed sequences of at most 4096 tokens."""
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary())
 
 
 def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and near-duplicate component."""
     got = simhash_vp.near_duplicates(read(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity."""
     docs = read(spark, sf_dir, "documents")
     held = crc_bucket("doc_id", 3) == 1
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~held)
@@ -37,26 +40,31 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language."""
     docs = read(spark, sf_dir, "documents")
     learn = language_id.learnable()
     return language_id.identify(docs, language_id.fit(docs, learn)).select("doc_id", (~learn).alias("held_out"), "lang_pred", "score")
 
 
 def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph and passage that repeats in another document."""
     return paragraph_dedup.repeated(read(spark, sf_dir, "documents"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's measures and verdict."""
     return quality_rules.judge(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets."""
     got = secret_scan.secrets(read(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
 def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality."""
     docs = read(spark, sf_dir, "documents")
     held = crc_bucket("doc_id", 4) == 2
     net = quality_cnn.fit(docs, read(spark, sf_dir, "labels"), ~held)
@@ -64,11 +72,13 @@ def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's best match with each benchmark item that it holds."""
     got = decontamination.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return got.select("doc_id", "item_id", "start_word", "n_words", "similarity")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, as read back from the archives."""
     return warc.archived(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
