@@ -156,63 +156,86 @@ def corr_matrix(df: DataFrame, n_features: int = CORR_FEATURE_COUNT) -> DataFram
     """Pairwise-complete Pearson correlation of the first numeric
     features and the label (upper triangle incl. diagonal).
 
-    Each Arrow batch is reduced in its task to masked co-moment matrices
-    (values shifted by the global column means, so the sums stay well
-    conditioned): pair counts, sums, sums of squares, cross products and the
-    pairwise min / max (exact constant detection). Spark then sums the
-    per-batch partials per pair (one small shuffle of pair-sized rows)."""
+    A task reduces its rows to one co-moment row per pair (count, means and
+    centred sums over the rows where both columns are present; batches are
+    merged by the parallel update formulas), so a pair whose columns overlap in
+    a small, differently centred part of the table keeps full precision. The
+    per-task rows are written once and merged in two small aggregates: means
+    first, then the centred sums around them."""
     cols = features_of(df)[:n_features] + ["TARGET"]
     k = len(cols)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     spark = df.sparkSession
     x = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    mu_row = x.agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(k)]).first()
-    mu = np.array([mu_row[f"c{i}"] if mu_row[f"c{i}"] is not None else 0.0 for i in range(k)])
     ii = np.array([p[0] for p in pairs])
     jj = np.array([p[1] for p in pairs])
 
     def partials(batches):
+        total = None
         for pdf in batches:
-            v = pdf.to_numpy(dtype=float, na_value=np.nan)
-            m = ~np.isnan(v)
-            mf = m.astype(float)
-            z = np.where(m, v - mu, 0.0)
-            n = mf.T @ mf
-            sa = z.T @ mf
-            saa = (z * z).T @ mf
-            sab = z.T @ z
-            lo = np.full((k, k), np.inf)
-            hi = np.full((k, k), -np.inf)
-            for a in range(k):
-                both = m & m[:, [a]]          # rows where a and each other column are present
-                va = np.where(both, v[:, [a]], np.nan)
-                if both.any():
-                    lo[a] = np.nanmin(np.where(both, va, np.inf), axis=0)
-                    hi[a] = np.nanmax(np.where(both, va, -np.inf), axis=0)
+            part = _co_moments(pdf.to_numpy(dtype=float, na_value=np.nan))
+            total = part if total is None else _merge_co_moments(total, part)
+        if total is not None:
+            n, mean, m2, cross, lo, hi = total
             yield pd.DataFrame({
-                "pair": np.arange(len(pairs)), "n": n[ii, jj],
-                "sa": sa[ii, jj], "sb": sa[jj, ii], "saa": saa[ii, jj], "sbb": saa[jj, ii],
-                "sab": sab[ii, jj], "lo_a": lo[ii, jj], "hi_a": hi[ii, jj],
-                "lo_b": lo[jj, ii], "hi_b": hi[jj, ii]})
-
-    schema = ("pair long, n double, sa double, sb double, saa double, sbb double, sab double, "
-              "lo_a double, hi_a double, lo_b double, hi_b double")
-    g = x.mapInPandas(partials, schema).groupBy("pair").agg(
-        *[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")],
-        F.min("lo_a").alias("lo_a"), F.max("hi_a").alias("hi_a"),
-        F.min("lo_b").alias("lo_b"), F.max("hi_b").alias("hi_b"))
-    n = F.col("n")
-    cov = F.col("sab") - F.col("sa") * F.col("sb") / n
-    va = F.col("saa") - F.col("sa") * F.col("sa") / n
-    vb = F.col("sbb") - F.col("sb") * F.col("sb") / n
-    defined = (n >= 2) & (F.col("lo_a") < F.col("hi_a")) & (F.col("lo_b") < F.col("hi_b"))
-    r = F.when(defined, div(cov, F.sqrt(va * vb)))
-    names = spark.createDataFrame([(p, cols[a], cols[b]) for p, (a, b) in enumerate(pairs)],
-                                  "pair long, feature_a string, feature_b string")
-    out = names.join(F.broadcast(g.select("pair", r.alias("corr"))), "pair", "left")
+                "pair": np.arange(len(pairs)), "n": n[ii, jj], "ma": mean[ii, jj], "mb": mean[jj, ii],
+                "qa": m2[ii, jj], "qb": m2[jj, ii], "c": cross[ii, jj],
+                "lo_a": lo[ii, jj], "hi_a": hi[ii, jj], "lo_b": lo[jj, ii], "hi_b": hi[jj, ii]})
+
+    names = "n ma mb qa qb c lo_a hi_a lo_b hi_b".split()
+    from ..session import cut_lineage
+    parts = cut_lineage(x.mapInPandas(partials, "pair long, " + ", ".join(f"{c} double" for c in names))
+                        .filter("n > 0"), "co-moments")
+    means = parts.groupBy("pair").agg(F.sum("n").alias("nn"), (F.sum(F.col("n") * F.col("ma")) / F.sum("n")).alias("mean_a"),
+                                      (F.sum(F.col("n") * F.col("mb")) / F.sum("n")).alias("mean_b"))
+    da, db = F.col("ma") - F.col("mean_a"), F.col("mb") - F.col("mean_b")
+    g = parts.join(means, "pair").groupBy("pair").agg(
+        F.first("nn").alias("n"), F.sum(F.col("qa") + F.col("n") * da * da).alias("va"),
+        F.sum(F.col("qb") + F.col("n") * db * db).alias("vb"), F.sum(F.col("c") + F.col("n") * da * db).alias("cov"),
+        F.min("lo_a").alias("lo_a"), F.max("hi_a").alias("hi_a"), F.min("lo_b").alias("lo_b"), F.max("hi_b").alias("hi_b"))
+    defined = (F.col("n") >= 2) & (F.col("lo_a") < F.col("hi_a")) & (F.col("lo_b") < F.col("hi_b"))
+    r = F.when(defined, div(F.col("cov"), F.sqrt("va") * F.sqrt("vb")))
+    labels = spark.createDataFrame([(p, cols[a], cols[b]) for p, (a, b) in enumerate(pairs)],
+                                   "pair long, feature_a string, feature_b string")
+    # one row per pair of columns on both sides
+    out = labels.join(F.broadcast(g.select("pair", r.alias("corr"))), "pair", "left")
     return out.select("feature_a", "feature_b", clip("corr", -1.0, 1.0).alias("corr"))
 
 
+def _co_moments(v: np.ndarray):
+    """Per ordered column pair (a, b), over the rows where both are present:
+    count, mean of a, centred sum of squares of a, centred cross sum, min and
+    max of a."""
+    m = ~np.isnan(v)
+    k = v.shape[1]
+    z = np.where(m, v, 0.0)
+    n = m.T.astype(float) @ m
+    mean = np.divide(z.T @ m, n, out=np.zeros((k, k)), where=n > 0)
+    m2, cross = np.zeros((k, k)), np.zeros((k, k))
+    lo, hi = np.full((k, k), np.inf), np.full((k, k), -np.inf)
+    for a in range(k):
+        rows = m[:, a]
+        if not rows.any():
+            continue
+        va, both = v[rows, a][:, None], m[rows]
+        d = np.where(both, va - mean[a], 0.0)
+        m2[a] = (d * d).sum(axis=0)
+        cross[a] = (d * np.where(both, z[rows] - mean[:, a], 0.0)).sum(axis=0)
+        lo[a] = np.where(both, va, np.inf).min(axis=0)
+        hi[a] = np.where(both, va, -np.inf).max(axis=0)
+    return n, mean, m2, cross, lo, hi
+
+
+def _merge_co_moments(x, y):
+    """Parallel update of two co-moment sets."""
+    n = x[0] + y[0]
+    w = np.divide(x[0] * y[0], n, out=np.zeros_like(n), where=n > 0)
+    d = np.where((x[0] > 0) & (y[0] > 0), y[1] - x[1], 0.0)
+    mean = np.divide(x[0] * x[1] + y[0] * y[1], n, out=np.zeros_like(n), where=n > 0)
+    return (n, mean, x[2] + y[2] + w * d * d, x[3] + y[3] + w * d * d.T,
+            np.minimum(x[4], y[4]), np.maximum(x[5], y[5]))
+
+
 def label_correlations(df: DataFrame) -> DataFrame:
     """Feature correlations with the label, in ascending order."""
     m = corr_matrix(df)
@@ -223,22 +246,13 @@ def label_correlations(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- A18/A19
 def quantiles(df: DataFrame, features: list[str] | None = None,
               probs=(0.01, 0.25, 0.5, 0.75, 0.99), accuracy: int | None = None,
-              method: str = "exact", materialize: bool = True) -> DataFrame:
+              materialize: bool = True) -> DataFrame:
     """Per feature linearly interpolated quantiles (NULLs skipped),
     one row per feature with at least one value: (feature, q01, q25, ...).
 
-    ``method='exact'`` (default) is exact and memory-bounded: see
-    ``exact_quantiles``. ``'approx'`` returns the sketch values only (with
-    ``accuracy``); ``'percentile'`` uses Spark's exact aggregate, which keeps
-    all distinct values of a feature in one task (small inputs only)."""
+    Exact and memory-bounded: see ``exact_quantiles``."""
     feats = features or features_of(df)
     spark = df.sparkSession
-    if method in ("approx", "percentile"):
-        lf = long_form(df, feats).filter(F.col("value").isNotNull())
-        agg = (F.percentile_approx("value", list(probs), accuracy or 10000) if method == "approx"
-               else F.percentile("value", F.array(*[F.lit(p) for p in probs])))
-        q = lf.groupBy("feature").agg(agg.alias("q"))
-        return q.select("feature", *[F.col("q")[i].alias(_qname(p)) for i, p in enumerate(probs)])
     src = df.select(*[F.col(f).cast("double") for f in feats])
     if materialize:
         from ..session import cut_lineage
