@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.catalog import NA_TOKENS
+from ..session import cut_lineage
 
 _L, _D, _I, _S = T.LongType(), T.DoubleType(), T.IntegerType(), T.StringType()
 
@@ -56,6 +57,10 @@ SOURCE_SCHEMAS: dict[str, T.StructType] = {
     "pkdd_trans": _schema([("trans_id", _L), ("account_id", _L), ("type", _S), ("amount", _D), ("balance", _D)]),
     "pkdd_account": _schema([("account_id", _L)]),
 }
+# Wide patterns of a source: every column present with the prefix is read too.
+SOURCE_PREFIXES: dict[str, dict[str, T.DataType]] = {
+    "hc_main": {"FLAG_DOCUMENT_": _I, "AMT_REQ_CREDIT_BUREAU_": _D},
+}
 SOURCE_SEPARATOR = {"pkdd_loan": ";", "pkdd_trans": ";", "pkdd_account": ";"}
 
 
@@ -65,14 +70,19 @@ def null_tokens(c: Column) -> Column:
 
 
 def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",",
-                   header: bool = True, tolerant: bool = True) -> DataFrame:
+                   header: bool = True, tolerant: bool = True,
+                   prefixes: dict[str, T.DataType] | None = None) -> DataFrame:
     """CSV -> typed DataFrame. Columns of ``schema`` missing from the
-    file are NULL when ``tolerant`` (S4), otherwise an error."""
+    file are NULL when ``tolerant`` (S4), otherwise an error. Other columns are
+    read if they start with one of ``prefixes``."""
     raw = (spark.read.option("header", header).option("sep", sep).option("mode", "PERMISSIVE")
            .option("inferSchema", False).csv(path))
     present = set(raw.columns)
     cols = []
-    for f in schema.fields:
+    named = set(schema.fieldNames())
+    wide = [T.StructField(c, t, True) for c in raw.columns if c not in named
+            for p, t in (prefixes or {}).items() if c.startswith(p)]
+    for f in schema.fields + wide:
         if f.name in present:
             txt = null_tokens(F.col(f"`{f.name}`"))
             cols.append((txt if isinstance(f.dataType, T.StringType) else _try_cast(txt, f.dataType)).alias(f.name))
@@ -84,18 +94,28 @@ def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType, sep: st
 
 
 def _try_cast(c: Column, t: T.DataType) -> Column:
-    """Text -> type, NULL when unparseable. Integer columns go through double
-    so that files written by float-producing tools ("3.0") still parse."""
+    """Text -> type, NULL when unparseable. Integer columns are read
+    exactly; text that only parses as a double ("3.0", from float-producing
+    tools) counts if it is whole. Values out of range are NULL."""
     if isinstance(t, (T.IntegerType, T.LongType)):
         d = c.try_cast(T.DoubleType())
-        return F.when(d == F.floor(d), d).cast(t)
+        whole = F.when(d == F.floor(d), d).try_cast(T.LongType())
+        return F.coalesce(c.try_cast(T.LongType()), whole).try_cast(t)
     return c.try_cast(t)
 
 
 def read_source(spark: SparkSession, key: str, path: str, tolerant: bool = True) -> DataFrame:
     """Read one of the twelve credit source files by its key."""
-    df = read_csv_typed(spark, path, SOURCE_SCHEMAS[key], sep=SOURCE_SEPARATOR.get(key, ","), tolerant=tolerant)
-    return df
+    return read_csv_typed(spark, path, SOURCE_SCHEMAS[key], sep=SOURCE_SEPARATOR.get(key, ","), tolerant=tolerant,
+                          prefixes=SOURCE_PREFIXES.get(key))
+
+
+def with_ids(df: DataFrame, col: str = "id") -> DataFrame:
+    """Ids for a source file that has none. They are given once, at
+    ingest, and written with the rows, so every later read sees the same."""
+    if col in df.columns and not df.filter(F.col(col).isNotNull()).isEmpty():
+        return df
+    return cut_lineage(df.withColumn(col, F.monotonically_increasing_id()), f"with-{col}")
 
 
 def index_column(df: DataFrame, name: str = "row_id") -> DataFrame:
