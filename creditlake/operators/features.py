@@ -14,7 +14,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import catalog as K
 from ..functions.expr import (bround, c, clip, col_or, div, flag, ladder, null_d,
@@ -22,6 +21,9 @@ from ..functions.expr import (bround, c, clip, col_or, div, flag, ladder, null_d
                               row_sum, rowwise_stats)
 from . import rollups as R
 
+#: Most classes a label-encoded column may have.
+MAX_CLASSES = 1000
+
 
 def align(df: DataFrame, features: dict[str, Column] | None = None,
           meta: dict[str, Column] | None = None) -> DataFrame:
@@ -45,16 +47,28 @@ def source_id(idcol, source: str) -> Column:
     return F.concat(c(idcol).cast("string"), F.lit(K.ID_SUFFIX[source]))
 
 
-def label_codes(df: DataFrame, col: str, out: str) -> DataFrame:
-    """P20: label encoding with alphabetically sorted classes, missing values
-    as the class 'nan'. The code table has one row per distinct class of a
-    category column; it is joined back without a hint, so adaptive execution
-    broadcasts it only after measuring its size (and shuffles otherwise)."""
-    key = F.coalesce(F.col(col).cast("string"), F.lit("nan"))
-    keyed = df.withColumn("_lbl_key", key)
-    codes = (keyed.select("_lbl_key").distinct()
-             .withColumn(out, (F.dense_rank().over(Window.orderBy("_lbl_key")) - 1).cast("double")))
-    return keyed.join(codes, "_lbl_key", "left").drop("_lbl_key")
+def _label_key(col: str) -> Column:
+    return F.coalesce(F.col(col).cast("string"), F.lit("nan"))
+
+
+def fit_labels(df: DataFrame, col: str, max_classes: int = MAX_CLASSES) -> list[str]:
+    """The sorted classes of a category column ('nan' for missing
+    values): one aggregate, at most ``max_classes`` values, an error above."""
+    got = [r[0] for r in df.select(_label_key(col).alias("k")).distinct().limit(max_classes + 1).collect()]
+    if len(got) > max_classes:
+        raise ValueError(f"{col} has more than {max_classes} classes")
+    return sorted(got, key=str.encode)
+
+
+def label_codes(df: DataFrame, col: str, out: str, classes: list[str] | None = None) -> DataFrame:
+    """P20: label encoding by the place in ``classes`` (fitted on ``df`` unless
+    given, as for serving); an unknown class is NULL. The mapping is a literal:
+    no join, no window."""
+    classes = fit_labels(df, col) if classes is None else classes
+    if not classes:
+        return df.withColumn(out, null_d())
+    codes = F.create_map(*[x for i, v in enumerate(classes) for x in (F.lit(v), F.lit(float(i)))])
+    return df.withColumn(out, F.element_at(codes, _label_key(col)))
 
 
 # ---------------------------------------------------------------- applicant
@@ -88,7 +102,7 @@ def applicant_base_features(app: DataFrame) -> dict[str, Column]:
         "total_enquiries": row_sum(enq_cols),
         "recent_enquiries_1yr": col_or(app, "AMT_REQ_CREDIT_BUREAU_YEAR", None),
         "age_years": bround(-F.col("DAYS_BIRTH") / 365.0, 1),
-        "employment_years": bround(-F.least(emp, F.lit(0)) / 365.0, 1),
+        "employment_years": bround(-clip(emp, None, 0) / 365.0, 1),
         "employed_flag": employed,
         "is_employed": employed,
         "own_car_flag": flag(F.col("FLAG_OWN_CAR") == "Y"),

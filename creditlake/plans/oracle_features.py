@@ -154,7 +154,7 @@ HC_EXPRS = {
     "total_enquiries": "coalesce(AMT_REQ_CREDIT_BUREAU_MON, 0) + coalesce(AMT_REQ_CREDIT_BUREAU_YEAR, 0)",
     "recent_enquiries_1yr": "AMT_REQ_CREDIT_BUREAU_YEAR",
     "age_years": "round_even(-DAYS_BIRTH / 365, 1)",
-    "employment_years": "round_even(-least(DAYS_EMPLOYED, 0) / 365, 1)",
+    "employment_years": "round_even(-(CASE WHEN DAYS_EMPLOYED IS NULL THEN NULL WHEN DAYS_EMPLOYED < 0 THEN DAYS_EMPLOYED ELSE 0 END) / 365, 1)",
     "employed_flag": _flag("DAYS_EMPLOYED < 0"), "is_employed": _flag("DAYS_EMPLOYED < 0"),
     "own_car_flag": _flag("FLAG_OWN_CAR = 'Y'"), "own_realty_flag": _flag("FLAG_OWN_REALTY = 'Y'"),
     "family_members": "CNT_FAM_MEMBERS", "children_count": "CNT_CHILDREN",

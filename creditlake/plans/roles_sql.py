@@ -38,7 +38,7 @@ SELECT c.c_custkey AS SK_ID_CURR, CAST(c.c_acctbal < 0 AS INTEGER) AS TARGET,
   CAST(c.c_custkey % 3 = 0 AS INTEGER) AS FLAG_DOCUMENT_4,
   CAST(s._n_urgent AS DOUBLE) AS AMT_REQ_CREDIT_BUREAU_MON, CAST(s._n_open AS DOUBLE) AS AMT_REQ_CREDIT_BUREAU_YEAR,
   CAST(-(7000 + (c.c_custkey * 37) % 18000) AS INTEGER) AS DAYS_BIRTH,
-  CAST(CASE WHEN c.c_custkey % 10 = 0 THEN 365243 ELSE -((c.c_custkey * 13) % 9000) END AS INTEGER) AS DAYS_EMPLOYED,
+  CAST(CASE WHEN c.c_custkey % 17 = 3 THEN NULL WHEN c.c_custkey % 10 = 0 THEN 365243 ELSE -((c.c_custkey * 13) % 9000) END AS INTEGER) AS DAYS_EMPLOYED,
   CASE WHEN c.c_nationkey % 2 = 0 THEN 'Y' ELSE 'N' END AS FLAG_OWN_CAR,
   CASE WHEN c.c_mktsegment IN ('BUILDING', 'HOUSEHOLD') THEN 'Y' ELSE 'N' END AS FLAG_OWN_REALTY,
   CAST(c.c_nationkey % 3 + 1 AS INTEGER) AS REGION_RATING_CLIENT,

@@ -75,7 +75,7 @@ def applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_n_urgent").cast("double").alias("AMT_REQ_CREDIT_BUREAU_MON"),
         F.col("_n_open").cast("double").alias("AMT_REQ_CREDIT_BUREAU_YEAR"),
         (-(F.lit(7000) + F.pmod(F.col(ck) * 37, F.lit(18000)))).cast("int").alias("DAYS_BIRTH"),
-        F.when(_mod(ck, 10) == 0, F.lit(365243))
+        F.when(_mod(ck, 17) == 3, F.lit(None)).when(_mod(ck, 10) == 0, F.lit(365243))
          .otherwise(-F.pmod(F.col(ck) * 13, F.lit(9000))).cast("int").alias("DAYS_EMPLOYED"),
         F.when(_mod(nk, 2) == 0, "Y").otherwise("N").alias("FLAG_OWN_CAR"),
         F.when(F.col("c_mktsegment").isin("BUILDING", "HOUSEHOLD"), "Y").otherwise("N").alias("FLAG_OWN_REALTY"),
