@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import catalog as K
 from ..functions.expr import div
+from ..session import cut_lineage
 
 
 # --------------------------------------------------------------------- M6
@@ -63,14 +64,17 @@ def assign_split(df: DataFrame, train: int = 70, val: int = 15, id_col: str = "s
     independent of the label, so each split keeps the class mix in
     expectation without a per-class global ordering."""
     b = split_bucket(id_col, seed)
+    b = F.when(F.col(id_col).isNull(), F.raise_error(F.lit(f"{id_col} is NULL: rows need ids before the split"))).otherwise(b)
     return df.withColumn("split", F.when(b < train, "train").when(b < train + val, "validation").otherwise("test"))
 
 
 # ------------------------------------------------------------- M7 / A23
 def class_weight(df: DataFrame, label: str = "TARGET") -> float:
-    """#negative / #positive rounded to 2 places (one global aggregate)."""
-    r = df.agg(F.count_if(F.col(label) == 0).alias("neg"), F.count_if(F.col(label) == 1).alias("pos")).first()
-    return round(r["neg"] / r["pos"], 2) if r["pos"] else 1.0
+    """#negative / #positive rounded to 2 places (one global aggregate;
+    the rounding of ``profile.class_balance``)."""
+    neg, pos = F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)
+    r = df.agg(F.round(div(neg, pos), 2).alias("w")).first()
+    return r["w"] if r["w"] is not None else 1.0
 
 
 def with_weight(df: DataFrame, spw: float, label: str = "TARGET") -> DataFrame:
@@ -166,8 +170,8 @@ def random_trials(n_trials: int, seed: int = K.RANDOM_STATE) -> list[dict]:
     return out
 
 
-def tune_gbt(train_df: DataFrame, val_df: DataFrame, features: list[str], n_trials: int = 6,
-             max_iter: int = 40, parallelism: int = 2, label: str = "TARGET") -> list[dict]:
+def tune_gbt(train_df: DataFrame, val_df: DataFrame, features: list[str], n_trials: int = 50,
+             max_iter: int = 100, parallelism: int = 2, label: str = "TARGET") -> list[dict]:
     """M9: random search over boosted-tree parameters, each trial fitted on
     the training rows and scored by ROC-AUC on the validation rows. Trials
     are independent Spark jobs; ``parallelism`` of them run at once."""
@@ -175,14 +179,25 @@ def tune_gbt(train_df: DataFrame, val_df: DataFrame, features: list[str], n_tria
 
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    tr, va = asm.transform(train_df), asm.transform(val_df)
+    # every trial reads the same assembled matrix; the validation rows stop a trial early
+    both = train_df.withColumn("is_val", F.lit(False)).unionByName(val_df.withColumn("is_val", F.lit(True)))
+    both = cut_lineage(asm.transform(both).select("features", label, "weight", "is_val"), "search-matrix")
+    va = both.filter("is_val")
     ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderROC")
 
     def run(trial):
         gbt = GBTClassifier(featuresCol="features", labelCol=label, weightCol="weight", maxIter=max_iter,
-                            seed=K.RANDOM_STATE, **trial)
-        m = gbt.fit(tr)
+                            seed=K.RANDOM_STATE, validationIndicatorCol="is_val", validationTol=0.001, **trial)
+        m = gbt.fit(both)
         return {**trial, "val_auc": ev.evaluate(m.transform(va))}
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         return list(pool.map(run, random_trials(n_trials)))
+
+
+def best_params(trials: list[dict], max_iter: int = 100) -> TrainParams:
+    """The parameters of the best trial, for the final fit."""
+    b = max(trials, key=lambda r: r["val_auc"])
+    return TrainParams(max_iter=max_iter, max_depth=b["maxDepth"], step_size=b["stepSize"],
+                       subsampling_rate=b["subsamplingRate"], feature_subset=b["featureSubsetStrategy"],
+                       min_instances_per_node=b["minInstancesPerNode"])

@@ -117,10 +117,16 @@ def anova_f(df: DataFrame, features: list[str], label: str = "TARGET") -> DataFr
     """One-way ANOVA F statistic of each feature against the label,
     from per-class count / mean / population variance (numerically stable
     sums). Undefined F (no within-class variance) is NULL."""
-    lf = long_form(df.fillna(0.0, subset=features), features, keep=[label])
-    per = lf.groupBy("feature", label).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"),
-                                           F.var_pop("value").alias("v"), F.min("value").alias("lo"),
-                                           F.max("value").alias("hi"))
+    # one wide aggregate: a row per class; only that is turned into (feature, class) rows
+    x = df.fillna(0.0, subset=features)
+    aggs = []
+    for i, f in enumerate(features):
+        v = F.col(f).cast("double")
+        aggs += [F.avg(v).alias(f"m{i}"), F.var_pop(v).alias(f"v{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+    wide = x.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *aggs)
+    per = wide.select(label, "n", F.inline(F.array(*[
+        F.struct(F.lit(f).alias("feature"), *[F.col(f"{c}{i}").alias(c) for c in ("m", "v", "lo", "hi")])
+        for i, f in enumerate(features)])))
     tot = per.groupBy("feature").agg(F.sum("n").alias("n_total"),
                                      (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mu"),
                                      F.count(F.lit(1)).alias("k"),
@@ -193,6 +199,10 @@ class PrepModel:
         x = apply_winsor(df, self.bounds)
         x = apply_impute(x, self.fills)
         order = {r["feature"]: r for r in self.scales}
+        # complete when fitted, missing now: the fitted median
+        filled = {r["feature"] for r in self.fills if r["fill_value"] is not None}
+        x = x.fillna({f: float(order[f]["center"]) for f in self.selected
+                      if f not in filled and order[f]["center"] is not None})
         return apply_scale(x, [order[f] for f in self.selected])
 
     def to_rows(self):

@@ -99,7 +99,7 @@ def applicant_features(df: DataFrame) -> dict[str, Column]:
         "prev_total_applications": _num(df, "prev_applications"),
         "bureau_debt_to_credit_ratio": dti / 100,
         "bureau_credit_day_overdue_max": ml,
-        "bureau_bad_status_months": F.floor(lr * 24).cast("double"),
+        "bureau_bad_status_months": (lr * 24).cast("int").cast("double"),
         "bureau_credit_sum_overdue": la * lr * 0.1,
         "bureau_dpd_months_mean": lr * 3,
         "bureau_active_credit_ratio": F.least(ec / 10, F.lit(1.0)),

@@ -261,10 +261,9 @@ def q_interactions(spark, sf_dir):
 
 @register("split_assign")
 def q_split(spark, sf_dir):
-    """M8: rows per split and class (hash-bucket 70/15/15 split)."""
+    """M8: the split of every row (hash-bucket 70/15/15 split)."""
     from ..operators import model as M
-    s = M.assign_split(_u(spark, sf_dir))
-    return s.groupBy("split", "TARGET").agg(F.count(F.lit(1)).alias("n"))
+    return M.assign_split(_u(spark, sf_dir)).select("source_id", "TARGET", "split")
 
 
 @register("tune_gbt")
@@ -324,9 +323,8 @@ def q_tree_attr(spark, sf_dir):
     from . import pipeline as PL
     t = PL.train(spark, sf_dir)
     att = X.tree_attributions(t.data.filter(F.col("split") == "test"), t.gbt, t.features)
-    total = F.aggregate("attributions", F.lit(0.0), lambda a, b: a + b)
     return X.factors(att, t.features).select(
-        "source_id", "base", "margin", (F.col("base") + total - F.col("margin")).alias("additivity_error"),
+        "source_id", "base", "margin", (F.col("margin") - F.col("model_margin")).alias("additivity_error"),
         "positive_factors", "negative_factors")
 
 
@@ -498,7 +496,7 @@ def model_oracles() -> dict[str, str]:
     return {
         "interactions": round_sql(u + "SELECT source_id, " + ", ".join(exprs) + " FROM u",
                                   [n for n, *_ in K.INTERACTIONS]),
-        "split_assign": u + f"SELECT CASE WHEN {bucket} < 70 THEN 'train' WHEN {bucket} < 85 THEN 'validation' "
-                            "ELSE 'test' END AS split, TARGET, count(*) AS n FROM u GROUP BY ALL",
+        "split_assign": u + f"SELECT source_id, TARGET, CASE WHEN {bucket} < 70 THEN 'train' WHEN {bucket} < 85 "
+                            "THEN 'validation' ELSE 'test' END AS split FROM u",
     }
 

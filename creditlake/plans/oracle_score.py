@@ -58,7 +58,7 @@ FEAT_SQL = {
     "prev_approval_rate": n("approval_rate"), "prev_refusal_rate": f"1 - {n('approval_rate')}",
     "prev_total_applications": n("prev_applications"),
     "bureau_debt_to_credit_ratio": f"{n('dti')} / 100", "bureau_credit_day_overdue_max": ML,
-    "bureau_bad_status_months": f"floor({LR} * 24)", "bureau_credit_sum_overdue": f"{LA} * {LR} * 0.1",
+    "bureau_bad_status_months": f"trunc({LR} * 24)", "bureau_credit_sum_overdue": f"{LA} * {LR} * 0.1",
     "bureau_dpd_months_mean": f"{LR} * 3",
     "bureau_active_credit_ratio": f"least({n('existing_credits')} / 10, CAST(1 AS DOUBLE))",
     "age_years": n("age"), "employment_years": n("employment_years"),

@@ -56,7 +56,7 @@ def prepared(spark: SparkSession, sf_dir: str, fit_on: str = "train",
 
 def train(spark: SparkSession, sf_dir: str, params: M.TrainParams | None = None,
           fit_on: str = "train") -> Trained:
-    key = (sf_dir, fit_on, repr(params))
+    key = (spark.sparkContext.applicationId, sf_dir, fit_on, repr(params))
     if key in _CACHE:
         return _CACHE[key]
     x, pm = prepared(spark, sf_dir, fit_on)
@@ -65,7 +65,7 @@ def train(spark: SparkSession, sf_dir: str, params: M.TrainParams | None = None,
     data = M.with_weight(x, spw).withColumn("is_val", F.col("split") == "validation")
     data = cut_lineage(data)
     fit_rows = data.filter(F.col("split").isin("train", "validation"))
-    gbt = M.gbt_pipeline(feats, params or M.TrainParams(max_iter=40, max_depth=4)).fit(fit_rows)
+    gbt = M.gbt_pipeline(feats, params or M.TrainParams()).fit(fit_rows)
     t = Trained(pm, feats, data, gbt, spw)
     _CACHE[key] = t
     return t
