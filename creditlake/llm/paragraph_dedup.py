@@ -257,6 +257,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid", "begin", (-F.col("size")).alias("s"))
     first = found.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("component_units"),
                                       F.min("uid").alias("u0"), F.max("uid").alias("u1")).where("u0 < u1")
+    # written, so that the join below stands alone and a component with many units can be split
+    first = cut_lineage(first, "repeated-components")
     return found.join(first, "root").select(
         "doc_id", "uid", F.col("begin").cast("long").alias("start_word"), F.col("size").cast("long").alias("n_words"),
         F.col("root").alias("component_id"), "component_units",
