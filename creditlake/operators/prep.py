@@ -195,7 +195,7 @@ class PrepModel:
     selected: list[str] = field(default_factory=list)
     scales: list[dict] = field(default_factory=list)
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def transform(self, df: DataFrame, keep: list[str] = K.META_COLUMNS) -> DataFrame:
         x = apply_winsor(df, self.bounds)
         x = apply_impute(x, self.fills)
         order = {r["feature"]: r for r in self.scales}
@@ -203,7 +203,7 @@ class PrepModel:
         filled = {r["feature"] for r in self.fills if r["fill_value"] is not None}
         x = x.fillna({f: float(order[f]["center"]) for f in self.selected
                       if f not in filled and order[f]["center"] is not None})
-        return apply_scale(x, [order[f] for f in self.selected])
+        return apply_scale(x, [order[f] for f in self.selected], keep=keep)
 
     def to_rows(self):
         return {"bounds": self.bounds, "fills": self.fills, "selected": self.selected, "scales": self.scales}

@@ -372,6 +372,32 @@ def q_stream(spark, sf_dir):
         "status", "improvement_tips")
 
 
+@register("request_score")
+def q_request_score(spark, sf_dir):
+    """M13 + K6 + K7: the trained model and its preparation, saved, loaded and
+    applied to the request batch (no oracle: a trained model)."""
+    from ..operators.serve import RequestScorer
+    from ..streaming.scorer import score_frame
+    from . import pipeline as PL
+    t = PL.train(spark, sf_dir)
+    path = _scratch(spark, "request-model")
+    RequestScorer(t.gbt, t.prep, t.features).save(path)
+    return score_frame(_requests(spark, sf_dir), RequestScorer.load(path)).select(
+        "request_id", "p", "credit_score", "score_band", "default_probability_pct", "recommendation", "status")
+
+
+@register("request_factors")
+def q_request_factors(spark, sf_dir):
+    """M14 + T4 + F6 on requests: factors of the trained model per request, and
+    the distance of the attributions' sum from the model's own margin."""
+    from ..operators.serve import RequestScorer
+    from . import pipeline as PL
+    t = PL.train(spark, sf_dir)
+    got = RequestScorer(t.gbt, t.prep, t.features).factors(_requests(spark, sf_dir))
+    return got.select("request_id", "base", "margin", (F.col("margin") - F.col("model_margin")).alias("additivity_error"),
+                      "positive_factors", "negative_factors")
+
+
 # ---------------------------------------------------------------- sources
 def _scratch(spark, name):
     import os
@@ -477,7 +503,9 @@ def source_oracles(existing: dict[str, str]) -> dict[str, str]:
         f"SELECT '{n}' AS table_name, (SELECT count(*) FROM {n}) AS n_rows, "
         f"(SELECT count(*) FROM (DESCRIBE SELECT * FROM {n})) AS n_columns" for n in names)
     return {"source_audit": audit, "lc_features_csv": feature_oracles()["lc_features"],
-            "batch_score_csv": existing["score_from_prob"]}
+            "batch_score_csv": existing["score_from_prob"],
+            "stream_score": f"SELECT s.*, t.improvement_tips FROM ({existing['score_from_prob']}) s "
+                            f"JOIN ({existing['tips_and_metrics']}) t USING (request_id)"}
 
 
 def model_oracles() -> dict[str, str]:

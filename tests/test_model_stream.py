@@ -80,3 +80,36 @@ def test_interaction_guards(spark):
     assert abs(r[1].income_adequacy - 10.0 / (4.0 + 1e-6)) < 1e-12
     assert r[0].age_emp_score == 1.2 and r[0].stability_vs_debt == 2.0
     assert r[1].risk_amplifier is None
+
+
+def test_saved_model_scores_batch_and_stream_alike(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from creditlake.functions import catalog as K
+    from creditlake.operators import model as M
+    from creditlake.operators import prep as PR
+    from creditlake.operators.serve import RequestScorer
+    from creditlake.sources import sinks as SK
+    from creditlake.streaming.scorer import score_frame, start_stream
+
+    req = SK.template_requests(spark).withColumn("request_id", F.monotonically_increasing_id())
+    feats = K.ALL_FEATURES[:12]
+    rows = [(f"{i}_x", i % 2, "s", *[float((i * (j + 3)) % 17) for j in range(12)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "source_id string, TARGET int, source_dataset string, " + ", ".join(f"`{f}` double" for f in feats))
+    pm = PR.PrepModel([{"feature": feats[0], "lo": 1.0, "hi": 15.0, "applied": True}], [], list(feats),
+                      [{"feature": f, "center": 5.0, "scale": 2.0} for f in feats])
+    x = M.with_weight(M.add_interactions(pm.transform(df)), 1.0)
+    used = list(feats) + list(M.interaction_columns(x.columns))
+    x = x.fillna(0.0, subset=used)
+    gbt = M.gbt_pipeline(used, M.TrainParams(max_iter=4, max_depth=3, min_instances_per_node=2), use_validation=False).fit(x)
+    own = RequestScorer(gbt, pm, used)
+    own.save(str(tmp_path / "m"))
+    loaded = RequestScorer.load(str(tmp_path / "m"))
+    assert loaded.prep == pm and loaded.features == used
+    key = lambda d: sorted((r.request_id, round(r.p, 12), r.credit_score, r.status) for r in d.collect())
+    batch = key(score_frame(req, loaded))
+    assert batch == key(score_frame(req, own)) and len(batch) == req.count() and all(0 <= b[1] <= 1 for b in batch)
+    req.write.parquet(str(tmp_path / "in"))
+    start_stream(spark, str(tmp_path / "in"), req.schema, str(tmp_path / "out"), str(tmp_path / "ck"), scorer=loaded).awaitTermination()
+    assert key(spark.read.parquet(str(tmp_path / "out"))) == batch
+    assert max(abs(r.margin - r.model_margin) for r in loaded.factors(req).collect()) < 1e-9
