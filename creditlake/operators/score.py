@@ -277,7 +277,8 @@ INPUT_RANGES = [
     ("approval_rate", 0, 1), ("prev_applications", 0, 20),
     ("checking_tier", 0, 4), ("savings_tier", 0, 4), ("employment_stability", 0, 4), ("region_rating", 1, 3),
 ]
-INPUT_SETS = [("loan_term", [12, 24, 36, 48, 60])]
+INPUT_SETS = [("loan_term", [12, 24, 36, 48, 60]), ("max_days_late", [0, 30, 60, 90, 120]),
+              ("credit_history", [0, 1, 2, 3, 4])]
 PERCENT_FIELDS = ["cc_utilization", "late_payment_rate", "approval_rate", "docs_rate"]
 
 

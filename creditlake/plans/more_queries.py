@@ -228,7 +228,7 @@ def q_auc(spark, sf_dir):
 @register("roc_curve")
 def q_roc(spark, sf_dir):
     """E3."""
-    return EV.roc_table(labelled_scores(spark, sf_dir)).select("threshold", "tpr", "fpr")
+    return EV.roc_curve(labelled_scores(spark, sf_dir))
 
 
 @register("ks_stat")
@@ -414,7 +414,7 @@ def q_audit(spark, sf_dir):
 
     from ..sources import readers as RD
     names = ["customer", "orders", "lineitem", "events", "part", "supplier", "nation", "region"]
-    return RD.audit(spark, {n: os.path.join(sf_dir, f"{n}.parquet") for n in names}).drop("missing_columns")
+    return RD.audit(spark, {n: os.path.join(sf_dir, f"{n}.parquet") for n in names}).drop("missing_columns", "n_bytes")
 
 
 @register("lc_features_csv")
@@ -501,7 +501,7 @@ def source_oracles(existing: dict[str, str]) -> dict[str, str]:
     names = ["customer", "orders", "lineitem", "events", "part", "supplier", "nation", "region"]
     audit = "\nUNION ALL\n".join(
         f"SELECT '{n}' AS table_name, (SELECT count(*) FROM {n}) AS n_rows, "
-        f"(SELECT count(*) FROM (DESCRIBE SELECT * FROM {n})) AS n_columns" for n in names)
+        f"(SELECT count(*) FROM (DESCRIBE SELECT * FROM {n})) AS n_columns, true AS present" for n in names)
     return {"source_audit": audit, "lc_features_csv": feature_oracles()["lc_features"],
             "batch_score_csv": existing["score_from_prob"],
             "stream_score": f"SELECT s.*, t.improvement_tips FROM ({existing['score_from_prob']}) s "

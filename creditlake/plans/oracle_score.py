@@ -178,7 +178,7 @@ def score_oracles() -> dict[str, str]:
         ev + "SELECT u / (np * nn) AS auc, 2 * (u / (np * nn)) - 1 AS gini, np AS n_positive, nn AS n_negative FROM "
              "(SELECT sum(pos * ((cum_neg - neg) + 0.5 * neg)) AS u, CAST(sum(pos) AS BIGINT) AS np, "
              "CAST(sum(neg) AS BIGINT) AS nn FROM roc) a", ["auc", "gini"])
-    out["roc_curve"] = round_sql(ev + "SELECT threshold, tpr, fpr FROM roc", ["threshold", "tpr", "fpr"])
+    out["roc_curve"] = round_sql(ev + "SELECT threshold, tpr, fpr FROM roc UNION ALL SELECT NULL, 0.0, 0.0", ["threshold", "tpr", "fpr"])
     out["ks_stat"] = round_sql(ev + "SELECT greatest(max(tpr - fpr), 0) AS ks FROM roc", ["ks"])
     conf = ("conf AS (SELECT TARGET AS actual, CAST(p >= 0.5 AS INTEGER) AS predicted, count(*) AS n FROM lab "
             "WHERE TARGET IS NOT NULL AND p IS NOT NULL GROUP BY ALL)\n")

@@ -9,6 +9,9 @@ job. Schemas are explicit: nothing is inferred.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -148,26 +151,28 @@ def read_request_batch(spark: SparkSession, path: str, max_rows: int | None = No
 
 
 def audit(spark: SparkSession, tables: dict[str, str], expected: dict[str, T.StructType] | None = None) -> DataFrame:
-    """Per table: rows, columns, and expected columns that are missing
-    (bytes on disk: ``file_bytes``). Row counts are one aggregate per table
-    (for parquet, answered from the footers)."""
-    rows = []
+    """Per table: rows, columns, expected columns that are missing, bytes,
+    and whether it is there at all (an absent one has NULL counts). Row counts
+    are one aggregate per table (for parquet, answered from the footers)."""
+    parts = []
     for name, path in tables.items():
-        fmt = "parquet" if path.endswith(".parquet") else "csv"
-        df = spark.read.parquet(path) if fmt == "parquet" else spark.read.option("header", True).csv(path)
         exp = expected.get(name) if expected else None
+        try:
+            df = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.option("header", True).csv(path)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            parts.append(spark.createDataFrame(
+                [(name, None, None, sorted(exp.fieldNames()) if exp else [], None, False)],
+                "table_name string, n_rows long, n_columns long, missing_columns array<string>, n_bytes long, present boolean"))
+            continue
         missing = sorted(set(exp.fieldNames()) - set(df.columns)) if exp else []
-        rows.append((name, df, missing))
-    parts = []
-    for name, df, missing in rows:
         parts.append(df.agg(F.count(F.lit(1)).alias("n_rows"))
                      .select(F.lit(name).alias("table_name"), "n_rows",
                              F.lit(len(df.columns)).cast("long").alias("n_columns"),
-                             F.array(*[F.lit(m) for m in missing]).cast("array<string>").alias("missing_columns")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+                             F.array(*[F.lit(m) for m in missing]).cast("array<string>").alias("missing_columns"),
+                             F.lit(file_bytes(spark, path)).cast("long").alias("n_bytes"), F.lit(True).alias("present")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def file_bytes(spark: SparkSession, path: str) -> int:

@@ -100,3 +100,19 @@ def test_feature_complete_when_fitted_is_filled_when_missing(spark):
 def test_class_weight_is_that_of_the_profile(spark):
     df = spark.createDataFrame([(0,)] * 1005 + [(1,)] * 200, "TARGET int")
     assert M.class_weight(df) == P.class_balance(df).first()["class_weight"]
+
+
+def test_audit_reports_absent_files_and_bytes(spark, tmp_path):
+    (tmp_path / "pos.csv").write_text("SK_ID_CURR,SK_DPD\n1,2\n")
+    got = {r.table_name: r for r in RD.audit(spark, {"hc_pos": str(tmp_path / "pos.csv"), "hc_cc": str(tmp_path / "none.csv")}, RD.SOURCE_SCHEMAS).collect()}
+    assert got["hc_pos"].present and got["hc_pos"].n_rows == 1 and got["hc_pos"].n_bytes == 22
+    assert got["hc_pos"].missing_columns == ["CNT_INSTALMENT", "CNT_INSTALMENT_FUTURE"]
+    assert not got["hc_cc"].present and got["hc_cc"].n_rows is None and "SK_DPD" in got["hc_cc"].missing_columns
+
+
+def test_roc_curve_starts_at_zero(spark):
+    from creditlake.operators import evaluate as EV
+
+    df = spark.createDataFrame([(1, 0.9), (0, 0.2), (1, 0.2)], "TARGET int, p double")
+    got = sorted((r.fpr, r.tpr, r.threshold) for r in EV.roc_curve(df).collect() if r.threshold is not None)
+    assert got == [(0.0, 0.5, 0.9), (1.0, 1.0, 0.2)] and EV.roc_curve(df).where("threshold is null and tpr = 0 and fpr = 0").count() == 1
