@@ -88,8 +88,6 @@ LC_OWNER_HOME = ["MORTGAGE", "OWN"]
 
 # Bank-source loan statuses counted as default (fixed values).
 CZ_DEFAULT_STATUS = ["B", "D"]
-CZ_CREDIT_TYPE = "PRIJEM"
-CZ_DEBIT_TYPE = "VYDAJ"
 
 # Tokens pandas' CSV reader turns into missing values (fixed values).
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -208,9 +206,3 @@ UNIFIED_SCHEMA = T.StructType(
      T.StructField("TARGET", T.IntegerType(), True),
      T.StructField("source_dataset", T.StringType(), True)]
     + [T.StructField(f, T.DoubleType(), True) for f in ALL_FEATURES])
-
-
-def catalogue_df(spark):
-    """The catalogue as a small (feature, feature_group, ordinal) DataFrame."""
-    rows = [(f, FEATURE_GROUP_OF[f], i) for i, f in enumerate(ALL_FEATURES)]
-    return spark.createDataFrame(rows, "feature string, feature_group string, ordinal int")

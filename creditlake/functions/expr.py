@@ -83,11 +83,6 @@ def bround(x, n: int = 0) -> Column:
     return F.bround(c(x), n)
 
 
-def nan_to_null(x) -> Column:
-    x = c(x)
-    return F.when(F.isnan(x), null_d()).otherwise(x)
-
-
 def rowwise_stats(cols) -> dict[str, Column]:
     """Row-wise mean / sample std / min / non-null count over columns,
     skipping NULLs (std of fewer than two values is NULL)."""
@@ -120,18 +115,6 @@ def parse_percent(x) -> Column:
                F.lit(100.0))
 
 
-def safe_num(x, default) -> Column:
-    """Tolerant numeric coercion: text that is not a number -> default."""
-    return F.coalesce(F.expr(f"try_cast({_sql(x)} as double)"), F.lit(float(default)))
-
-
-def truthy(x, default: bool, accept_numeric_one: bool = True) -> Column:
-    """Tolerant boolean coercion from text ('true', '1', 'yes')."""
-    tokens = ["true", "1", "yes"] + (["1.0"] if accept_numeric_one else [])
-    v = F.lower(F.trim(c(x).cast("string")))
-    return F.when(c(x).isNull(), F.lit(default)).otherwise(v.isin(tokens))
-
-
 def _sql(x) -> str:
     if isinstance(x, str):
         return f"`{x}`"

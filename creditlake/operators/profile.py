@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import catalog as K
-from ..functions.expr import clip, div, nan_to_null, right_closed_bin
+from ..functions.expr import clip, div, right_closed_bin
 
 # Profile bins and subsets (fixed values).
 AGE_EDGES = [0, 25, 35, 45, 55, 65, 100]

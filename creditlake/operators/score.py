@@ -191,12 +191,6 @@ def key_metrics(df: DataFrame) -> dict[str, Column]:
     return m
 
 
-def label_of(feature: Column) -> Column:
-    """Human label of a feature, title-cased name as fallback."""
-    m = F.create_map(*[x for k, v in K.FEATURE_LABELS.items() for x in (F.lit(k), F.lit(v))])
-    return F.coalesce(F.element_at(m, feature), F.initcap(F.regexp_replace(feature, "_", " ")))
-
-
 # ---------------------------------------------------------- M13 / M15
 def score_outputs(df: DataFrame, prob: Column, status: Column | None = None) -> DataFrame:
     """Append score, band, probability %, recommendation and status; failed

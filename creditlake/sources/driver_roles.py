@@ -272,10 +272,6 @@ def bank_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bank_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account_id"))
-
-
 def score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scoring requests (the 30 request fields), one per customer."""
     cu = read(spark, sf_dir, "customer")
