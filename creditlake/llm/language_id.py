@@ -35,7 +35,7 @@ SAMPLE, PASSAGE = 2000, 512
 SEGMENT, HIDDEN, STEPS, BATCH, RATE = 128, 8, 250, 64, 0.02
 UNKNOWN, MIN_SCORE = "und", 0.3
 #: Bytes labelled at a time.
-SLICE = 1 << 19
+SLICE = 1 << 18
 _LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 _ASCII = re.compile(rb"[A-Za-z]")
 

@@ -41,14 +41,14 @@ SENTENCE_PENALTY = 8
 STEP_PENALTY = 24
 STEP = 32
 #: Text tokenised at a time.
-TEXT_BYTES = 6_000_000
+TEXT_BYTES = 2_000_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 
 _SIMPLE = re.compile(rb"(?:[\x21-\x7e]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 #: Entries of a worker's word cache, each of at most _WORD_MAX bytes; it starts anew when full.
-_CACHE_MAX, _WORD_MAX = 800_000, 40
+_CACHE_MAX, _WORD_MAX = 250_000, 40
 _loaded: dict = {}
 
 
