@@ -7,7 +7,17 @@ from pyspark.sql import functions as F
 
 from creditlake.llm.common import cut_lineage
 
-__all__ = ["labelled", "passage"]
+__all__ = ["among", "labelled", "passage"]
+
+_PARTS = 1 << 40
+
+
+def among(key: Column, total: int, n: int) -> Column:
+    """Admits about 2n of ``total`` rows by the key's hash (all, if there are fewer), so
+    that a following sort for the first n sees no more, however many partitions there are."""
+    if total <= 2 * n:
+        return F.lit(True)
+    return F.pmod(F.xxhash64(key, F.lit(1)), F.lit(_PARTS)) < F.lit(-(-2 * n * _PARTS // total))
 
 
 def passage(chars: int, id_col: str = "doc_id", text_col: str = "text") -> Column:
@@ -21,12 +31,13 @@ def labelled(docs: DataFrame, labels: DataFrame, label_col: str, may_learn: Colu
              id_col: str = "doc_id") -> DataFrame:
     """(doc_id, t, y): the texts of at most ``n`` labelled documents that may be learnt from.
 
-    ``n`` rows of ``labels`` in the order of the ids' hashes are taken first;
+    ``n`` rows of ``labels`` by their ids' hashes are taken first;
     these (n ids and labels at most) are broadcast against the documents, whose
     texts so are neither shuffled nor joined in full.  Null ids and labels are
     left out; an id with several labels has the largest.
     """
-    ids = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & may_learn)
+    some = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & may_learn)
+    ids = (some.where(among(F.col(id_col).cast("long"), some.count(), n))
            .groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label_col).cast("int").alias("y"))
            .orderBy(F.xxhash64("__id"), "__id").limit(n))
     ids = cut_lineage(ids, "labelled-ids")
