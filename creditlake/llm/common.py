@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditlake.session import cut_lineage, ensure_checkpoint_dir, table_path
 
-__all__ = ["cut_lineage", "read", "vocabulary", "crc_bucket", "row_key", "components", "shared_dir", "WORD_SPLIT"]
+__all__ = ["cut_lineage", "read", "vocabulary", "crc_bucket", "row_key", "components", "map_texts", "shared_dir", "WORD_SPLIT"]
 
+#: Rows of a batch that goes to Python with texts, at most.
+TEXT_ROWS = 1000
 #: What separates words: space and the five ASCII control blanks.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
@@ -27,6 +30,17 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def map_texts(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """``mapInArrow`` for rows with texts, which can be long: batches of at most
+    ``TEXT_ROWS`` rows.  The session's setting is lowered to it if it is larger,
+    and stays so, since it is read when the plan runs."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+    return df.mapInArrow(fn, schema)
+
+
 def crc_bucket(id_col: str, n: int) -> Column:
     """crc32(id as text) mod n; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(n))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditlake.llm.common import crc_bucket, cut_lineage
+from creditlake.llm.common import crc_bucket, cut_lineage, map_texts
 from creditlake.llm.sampling import among, passage
 
 #: Documents learnt from, at most, and characters of each.
@@ -210,7 +210,7 @@ def identify(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col:
                 lang, score = predict(net, b.column(1).slice(lo, 512).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 512), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(docs[id_col].cast("long"), F.col(text_col).cast("binary")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return map_texts(docs.select(docs[id_col].cast("long"), F.col(text_col).cast("binary")), run, "doc_id long, lang_pred string, score double")
 
 
 def learnable(id_col: str = "doc_id") -> Column:
@@ -229,4 +229,4 @@ def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 lang, score = predict(net, [None if t is None else t.encode() for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in zip(lang, score, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)

@@ -34,6 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from creditlake.llm.common import map_texts
+
 MAX_LEN = 4096
 END_ID = 2
 #: What a cut inside a document costs, in padding tokens: at a sentence's end, or between, at steps of so many tokens.
@@ -282,4 +284,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         if packer.rows:
             yield out(packer.take())
 
-    return docs.select(docs[id_col].cast("long"), F.col(text_col)).mapInArrow(run, SCHEMA)
+    return map_texts(docs.select(docs[id_col].cast("long"), F.col(text_col)), run, SCHEMA)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditlake.llm.common import components, cut_lineage
+from creditlake.llm.common import components, cut_lineage, map_texts
 from creditlake.llm.packing import slices
 
 MIN_WORDS, MAX_PASSAGE, WIDTH = 25, 64, 5
@@ -171,7 +171,7 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) ->
                     pa.ListArray.from_arrays(pa.array(np.concatenate((np.arange(k + 1) * bands, none + k * bands)).astype(np.int32)), pa.array(keys.ravel())),
                     pa.ListArray.from_arrays(pa.array(np.concatenate((first, [many.sum()], none + many.sum())).astype(np.int32)), pa.array(small))], names)
 
-    return docs.select(F.monotonically_increasing_id().alias("uid"), docs[id_col].cast("long"), F.col(text_col).cast("string")).mapInArrow(run, kind)
+    return map_texts(docs.select(F.monotonically_increasing_id().alias("uid"), docs[id_col].cast("long"), F.col(text_col).cast("string")), run, kind)
 
 
 def similar(keys: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from creditlake.llm.common import map_texts
 from creditlake.llm.sampling import labelled, passage
 
 #: Labelled documents learnt from, at most, and characters of each.
@@ -161,4 +162,4 @@ def score(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: st
                 p = np.zeros(len(texts)) if net is None else probabilities(net, texts)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 256), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(docs[id_col].cast("long"), F.col(text_col).cast("binary")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return map_texts(docs.select(docs[id_col].cast("long"), F.col(text_col).cast("binary")), run, "doc_id long, score double, predicted int")

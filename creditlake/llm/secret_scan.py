@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from creditlake.llm.common import map_texts
+
 # The patterns, their least lengths and the order of kinds.
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
@@ -156,7 +158,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             kinds_of = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds_of, strict=True))], names)
 
-    return docs.select(docs[id_col].cast("long"), F.col(text_col).cast("string")).mapInArrow(run, kinds)
+    return map_texts(docs.select(docs[id_col].cast("long"), F.col(text_col).cast("string")), run, kinds)
 
 
 def digest(spans: str | None) -> str:
@@ -192,4 +194,4 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars")
                 cols[length_at] = pa.array(size, was.type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditlake.llm.common import components, cut_lineage, row_key
+from creditlake.llm.common import components, cut_lineage, map_texts, row_key
 
 SEED = 42
 SHINGLE = 3
@@ -69,8 +69,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.fromiter((fingerprint(texts[i].as_py(), width) for i in range(b.num_rows)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "row_key", "fp"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row_key"),
-                       F.col(text_col).cast("binary")).mapInArrow(run, "doc_id long, row_key long, fp long")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("binary"))
+    return map_texts(rows, run, "doc_id long, row_key long, fp long")
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:

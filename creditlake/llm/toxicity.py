@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from creditlake.llm.common import map_texts
 from creditlake.llm.sampling import labelled
 
 #: Labelled documents learnt from, at most.
@@ -211,4 +212,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))],
                                              ["doc_id", "score", "predicted", "n_words", "passages"])
 
-    return docs.select(docs[id_col].cast("long"), F.col(text_col).cast("binary")).mapInArrow(run, kind)
+    return map_texts(docs.select(docs[id_col].cast("long"), F.col(text_col).cast("binary")), run, kind)
