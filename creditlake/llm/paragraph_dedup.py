@@ -3,7 +3,11 @@
 Units of a text are its paragraphs (lines of at least ``MIN_WORDS`` words) and,
 so that passages inside other lines are found too, the passages that begin at a
 sentence's begin and run over whole sentences to at least that many words
-(``MAX_PASSAGE`` at most), unless they are a paragraph.
+(``MAX_PASSAGE`` at most), unless they are a paragraph.  Passages that begin
+anywhere are found by winnowing: of every ``MIN_WORDS`` successive runs of
+``MIN_WORDS`` words, the one of the least hash is a passage too.  Its place
+depends on the words alone, so any run of ``2 MIN_WORDS - 1`` words that two
+texts share holds a common passage.
 
 1. One pass cuts the units and hashes their words.  Paragraphs also get their
    set of five-word shingles and its MinHash signature in bands, which ``tune``
@@ -139,6 +143,43 @@ def units(h: np.ndarray, stop: np.ndarray, line: np.ndarray, offsets: np.ndarray
             np.concatenate((np.ones(long.sum(), np.bool_), np.zeros(fits.sum(), np.bool_))))
 
 
+def _slide(x: np.ndarray, best: np.ufunc) -> np.ndarray:
+    """The minimum or maximum of every ``MIN_WORDS`` successive values."""
+    have = 1
+    while have < MIN_WORDS:
+        step = min(have, MIN_WORDS - have)
+        x = best(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def winnowed(key: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Begins of the runs of ``MIN_WORDS`` words with the least ``key`` of a window of as many
+    successive runs (a text with fewer runs is one window); ``key`` has one value for each word's place."""
+    k, n = MIN_WORDS, len(key)
+    at = np.arange(n)
+    doc = np.searchsorted(offsets, at, "right") - 1
+    room = offsets[doc + 1] - at  # words up to the text's end
+    worst, none = np.uint64(2**64 - 1), np.zeros(k - 1, np.uint64)
+    key = np.where(room >= k, key, worst)
+    least = _slide(np.concatenate((key, none + worst)), np.minimum)
+    # a window lies in its text, whose runs end k - 1 places before the next text's begin
+    least[~((room >= 2 * k - 1) | ((room >= k) & (at == offsets[doc])))] = 0
+    found = np.flatnonzero((_slide(np.concatenate((none, least)), np.maximum) == key) & (room >= k))
+    # of equal runs close together as many as leave one in each window
+    same = np.concatenate(([False], (key[found[1:]] == key[found[:-1]]) & (found[1:] - found[:-1] < k)))
+    if not same.any():
+        return found
+    out: list[int] = []
+    kept = 0
+    for i, (b, tied) in enumerate(zip(found.tolist(), same.tolist(), strict=True)):
+        more = i + 1 < len(found) and same[i + 1]
+        if not tied or not more or found[i + 1] - kept > k:
+            out.append(b)
+            kept = b
+    return np.array(out, np.int64)
+
+
 def _cut(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
     """(uid, doc_id, begin, size, words, bands, shingles): every unit; the last two of paragraphs only."""
     kind = "uid long, doc_id long, begin int, size int, words long, bands array<long>, shingles array<int>"
@@ -151,12 +192,16 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) ->
             for lo, hi in slices(size, TEXT_BYTES):
                 h, stop, line, offsets = words_of(texts.slice(lo, hi - lo))
                 begin, end, whole = units(h, stop, line, offsets)
+                # of a run of words: sum of hash * base**place, shifted back to the run's begin
+                sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * _power(len(h), _B1))))
+                back = _power(len(h), _INVERSE)
+                more = winnowed(_mix((sums[np.minimum(np.arange(len(h)) + MIN_WORDS, len(h))] - sums[:-1]) * back + np.uint64(MIN_WORDS)), offsets)
+                more = np.setdiff1d(more, begin[end - begin == MIN_WORDS])
+                begin, end, whole = np.concatenate((begin, more)), np.concatenate((end, more + MIN_WORDS)), np.concatenate((whole, np.zeros(len(more), np.bool_)))
                 if not len(begin):
                     continue
                 doc = np.searchsorted(offsets, begin, "right") - 1
-                # of a run of words: sum of hash * base**place, shifted back to the run's begin
-                sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * _power(len(h), _B1))))
-                key = _mix((sums[end] - sums[begin]) * _power(len(h), _INVERSE)[begin] + (end - begin).astype(np.uint64))
+                key = _mix((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64))
                 x = shingles(h)
                 many = (end - begin)[whole] - WIDTH + 1
                 first = np.cumsum(many) - many

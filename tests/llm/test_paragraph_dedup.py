@@ -109,3 +109,42 @@ def test_large_bands_are_cut_into_blocks(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert P.repeated(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def plain_passages(text):
+    """Every run of 50 words."""
+    w = (text or "").lower().split()
+    return {tuple(w[i:i + 50]) for i in range(len(w) - 49)}
+
+
+def test_passages_that_begin_anywhere(spark):
+    rng = random.Random(5)
+    rows = [(i, para(rng, rng.randint(30, 120))) for i in range(12)]
+    for i in range(12, 40):  # without marks of sentences, in the middle of a line
+        w = rows[rng.randrange(len(rows))][1].split()
+        a = rng.randint(0, max(0, len(w) - 50))
+        rows.append((i, " ".join([para(rng, rng.randint(7, 40)), *w[a:a + rng.choice([40, 50, 51, 70])], para(rng, rng.randint(7, 40))])))
+    rows += [(40, "a " * 300), (41, "b " + "a " * 90), (42, "c d " * 200), (43, "d " + "c d " * 60)]
+    got = {}
+    for x in P.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(x.component_id, set()).add(x.doc_id)
+    shared = [(a, b) for a, s in rows for b, t in rows if a < b and plain_passages(s) & plain_passages(t)]
+    assert len(shared) > 20
+    assert all(any({a, b} <= docs for docs in got.values()) for a, b in shared)
+
+
+def test_winnowed_leaves_one_in_each_window():
+    rng = random.Random(6)
+    sizes = [0, 24, 25, 48, 49, 300, 0, 26, 500, 400]
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    for values in (2, 5, 1 << 60):
+        key = np.array([rng.randrange(1, values) for _ in range(offsets[-1])], np.uint64)
+        got = set(P.winnowed(key, offsets).tolist())
+        assert len(got) < 0.13 * offsets[-1]
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            runs = range(a, b - 24)
+            assert not got & set(range(max(a, b - 24), b))
+            for lo in range(a, max(a + 1, b - 48)) if len(runs) else []:
+                window = [p for p in runs if lo <= p < lo + 25]
+                least = min(key[window])
+                assert any(p in got and key[p] == least for p in window)
