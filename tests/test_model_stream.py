@@ -113,3 +113,38 @@ def test_saved_model_scores_batch_and_stream_alike(spark, tmp_path):
     start_stream(spark, str(tmp_path / "in"), req.schema, str(tmp_path / "out"), str(tmp_path / "ck"), scorer=loaded).awaitTermination()
     assert key(spark.read.parquet(str(tmp_path / "out"))) == batch
     assert max(abs(r.margin - r.model_margin) for r in loaded.factors(req).collect()) < 1e-9
+
+
+def test_tune_query_runs_the_whole_search_and_trains_the_winner(monkeypatch):
+    """M9: the registered query keeps the operator's 50 trials of 100 rounds and fits the best one's parameters."""
+    from types import SimpleNamespace
+
+    from creditlake.operators import evaluate as EV
+    from creditlake.operators import model as M
+    from creditlake.plans import more_queries as Q
+    from creditlake.plans import pipeline as PL
+    seen = {}
+
+    class Data:
+        def filter(self, _):
+            return self
+
+    def search(train, val, features, n_trials=50, max_iter=100, **kw):
+        seen["search"] = n_trials, max_iter, kw
+        return [{**p, "val_auc": 0.9 if i == 7 else 0.5} for i, p in enumerate(M.random_trials(n_trials))]
+
+    def final(features, params):
+        seen["params"] = params
+        return SimpleNamespace(fit=lambda rows: "final")
+
+    monkeypatch.setattr(PL, "train", lambda spark, sf_dir: SimpleNamespace(data=Data(), features=["a"]))
+    monkeypatch.setattr(PL, "test_predictions", lambda t, model: model)
+    monkeypatch.setattr(EV, "roc_auc", lambda pred: SimpleNamespace(first=lambda: {"auc": 0.75 if pred == "final" else 0.0}))
+    monkeypatch.setattr(M, "tune_gbt", search)
+    monkeypatch.setattr(M, "gbt_pipeline", final)
+    monkeypatch.setattr(Q, "F", SimpleNamespace(col=lambda c: SimpleNamespace(__eq__=lambda s, o: True, isin=lambda *a: True)))
+    rows = Q.q_tune(SimpleNamespace(createDataFrame=lambda rows, schema: rows), "sf")
+    best = M.random_trials(50)[7]
+    assert seen["search"] == (50, 100, {}) and len(rows) == 50
+    assert seen["params"].max_depth == best["maxDepth"] and seen["params"].step_size == best["stepSize"]
+    assert [r[0] for r in rows if r[7]] == [7] and rows[7][8] == 0.75 and all(r[8] is None for r in rows if not r[7])
