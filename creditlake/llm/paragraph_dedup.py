@@ -7,7 +7,8 @@ sentence's begin and run over whole sentences to at least that many words
 anywhere are found by winnowing: of every ``MIN_WORDS`` successive runs of
 ``MIN_WORDS`` words, the one of the least hash is a passage too.  Its place
 depends on the words alone, so any run of ``2 MIN_WORDS - 1`` words that two
-texts share holds a common passage.
+texts share holds a common passage.  Shorter lines of at least ``LINE_WORDS``
+words, and whole texts of under ``MIN_WORDS`` words, are units of equal words too.
 
 1. One pass cuts the units and hashes their words.  Paragraphs also get their
    set of five-word shingles and its MinHash signature in bands, which ``tune``
@@ -45,6 +46,7 @@ from creditlake.llm.common import components, cut_lineage, map_texts
 from creditlake.llm.packing import slices
 
 MIN_WORDS, MAX_PASSAGE, WIDTH = 25, 64, 5
+LINE_WORDS = 6
 SIMILARITY, RECALL, ROWS = 0.8, 0.995, 3
 BLOCK = 20_000
 TEXT_BYTES = 4_000_000
@@ -180,6 +182,16 @@ def winnowed(key: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def short(line: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of the lines of ``LINE_WORDS`` words or more and the whole texts that have under ``MIN_WORDS``."""
+    new_line = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))[:len(line)])
+    begin = np.concatenate((new_line, offsets[:-1]))
+    size = np.concatenate((np.diff(np.append(new_line, len(line))), np.diff(offsets)))
+    least = np.repeat([LINE_WORDS, 1], [len(new_line), len(offsets) - 1])
+    at = np.unique(np.stack((begin, size))[:, (size >= least) & (size < MIN_WORDS)], axis=1)
+    return at[0], at[0] + at[1]
+
+
 def _cut(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
     """(uid, doc_id, begin, size, words, bands, shingles): every unit; the last two of paragraphs only."""
     kind = "uid long, doc_id long, begin int, size int, words long, bands array<long>, shingles array<int>"
@@ -197,7 +209,9 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) ->
                 back = _power(len(h), _INVERSE)
                 more = winnowed(_mix((sums[np.minimum(np.arange(len(h)) + MIN_WORDS, len(h))] - sums[:-1]) * back + np.uint64(MIN_WORDS)), offsets)
                 more = np.setdiff1d(more, begin[end - begin == MIN_WORDS])
-                begin, end, whole = np.concatenate((begin, more)), np.concatenate((end, more + MIN_WORDS)), np.concatenate((whole, np.zeros(len(more), np.bool_)))
+                b0, e0 = short(line, offsets)
+                begin, end = np.concatenate((begin, more, b0)), np.concatenate((end, more + MIN_WORDS, e0))
+                whole = np.concatenate((whole, np.zeros(len(more) + len(b0), np.bool_)))
                 if not len(begin):
                     continue
                 doc = np.searchsorted(offsets, begin, "right") - 1

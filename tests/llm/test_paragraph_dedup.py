@@ -148,3 +148,14 @@ def test_winnowed_leaves_one_in_each_window():
                 window = [p for p in runs if lo <= p < lo + 25]
                 least = min(key[window])
                 assert any(p in got and key[p] == least for p in window)
+
+
+def test_short_lines_and_texts(spark):
+    rng = random.Random(7)
+    line = para(rng, 12)
+    rows = [(1, f"{para(rng, 30)}\n{line}\n{para(rng, 30)}"), (2, f"{line.upper()}\n{para(rng, 40)}"), (3, "two words"), (4, " Two words\n"),
+            (5, f"{para(rng, 30)}\ntwo words"), (6, line), (7, "two\nlines"), (8, "two lines"), (9, None), (10, ""), (11, " ")]
+    got = {}
+    for x in P.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(x.component_id, []).append((x.doc_id, x.n_words, x.removed))
+    assert sorted(sorted(c) for c in got.values()) == [[(1, 12, False), (2, 12, True), (6, 12, True)], [(3, 2, False), (4, 2, True)], [(7, 2, False), (8, 2, True)]]
