@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditlake.llm.common import crc_bucket, cut_lineage, map_texts
+from creditlake.llm.common import crc_bucket, cut_lineage, map_texts, row_key
 from creditlake.llm.sampling import among, passage
 
 #: Documents learnt from, at most, and characters of each.
@@ -193,12 +193,13 @@ def predict(net: Net | None, texts: list[bytes | None]) -> tuple[list[str], list
 
 def fit(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         sample: int = SAMPLE) -> Net | None:
-    """Learns from ``sample`` rows (with a language, by the ids' hashes) that ``may_learn`` admits."""
-    some = docs.where(F.col(lang_col).isNotNull() & may_learn)
-    few = among(F.col(id_col).cast("long"), some.select(id_col).count(), sample)
-    rows = some.where(few & F.col(text_col).isNotNull()).select(
-        F.xxhash64(id_col).alias("o"), passage(PASSAGE, id_col, text_col).alias("t"), F.col(lang_col).cast("string").alias("lang"))
-    got = cut_lineage(rows.orderBy("o", "t", "lang").limit(sample), "language-sample").orderBy("o", "t", "lang").collect()
+    """Learns from ``sample`` rows (with a language and a text, by the rows' hashes) that ``may_learn`` admits."""
+    some = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & may_learn)
+    key = row_key(id_col, text_col)
+    # equal rows pass together, so different ones are counted; their copies are left out before the sort
+    few = among(key, some.agg(F.approx_count_distinct(key)).first()[0], sample)
+    rows = some.where(few).select(key.alias("o"), passage(PASSAGE, id_col, text_col).alias("t"), F.col(lang_col).cast("string").alias("lang"))
+    got = cut_lineage(rows.distinct().orderBy("o", "t", "lang").limit(sample), "language-sample").orderBy("o", "t", "lang").collect()
     return train([r.t.encode() for r in got], [r.lang for r in got]) if got else None
 
 

@@ -71,3 +71,13 @@ def test_recognised_keeps_columns_and_clean_rows(spark):
     more = docs.unionByName(spark.createDataFrame([(-1, "123 456", None, None, None), (-2, None, None, None, None)], docs.schema))
     kept = L.recognised(more)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in docs.collect())
+
+
+def test_rows_of_one_id_are_learnt_from(spark, monkeypatch):
+    """Whatever the one id, and also if the rows are equal."""
+    monkeypatch.setattr(L, "train", lambda texts, langs: (texts, langs))
+    for one in (None, 1, 2, 3, 4, 5, 6, 7):
+        df = spark.createDataFrame([(one, f"text {i}", "ab"[i % 2]) for i in range(100)] + [(one, None, "a")] * 300, "doc_id long, text string, lang string")
+        texts, langs = L.fit(df, F.lit(True), sample=20)
+        assert len(texts) == len(set(texts)) == 20 and set(langs) == {"a", "b"}
+    assert L.fit(spark.createDataFrame([(None, "same", "a")] * 100, df.schema), F.lit(True), sample=20) == ([b"same"], ["a"])
