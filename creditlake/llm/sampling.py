@@ -13,7 +13,7 @@ _PARTS = 1 << 40
 
 
 def among(key: Column, total: int, n: int) -> Column:
-    """Admits about 2n of ``total`` rows by the key's hash (all, if there are fewer), so
+    """Admits about 2n of ``total`` keys by their hash (all, if there are fewer), so
     that a following sort for the first n sees no more, however many partitions there are."""
     if total <= 2 * n:
         return F.lit(True)
@@ -34,12 +34,17 @@ def labelled(docs: DataFrame, labels: DataFrame, label_col: str, may_learn: Colu
     ``n`` rows of ``labels`` by their ids' hashes are taken first;
     these (n ids and labels at most) are broadcast against the documents, whose
     texts so are neither shuffled nor joined in full.  Null ids and labels are
-    left out; an id with several labels has the largest.
+    left out; an id with several labels has the largest, one with several texts
+    gives the text of the least hash, so the result has ``n`` rows at most too.
     """
     some = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & may_learn)
-    ids = (some.where(among(F.col(id_col).cast("long"), some.count(), n))
+    key = F.col(id_col).cast("long")
+    ids = (some.where(among(key, some.agg(F.approx_count_distinct(key)).first()[0], n))
            .groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label_col).cast("int").alias("y"))
            .orderBy(F.xxhash64("__id"), "__id").limit(n))
     ids = cut_lineage(ids, "labelled-ids")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("t"))
-    return cut_lineage(rows.join(F.broadcast(ids), rows["doc_id"] == ids["__id"]).select("doc_id", "t", "y"), "labelled-texts")
+    found = rows.join(F.broadcast(ids), rows["doc_id"] == ids["__id"])
+    # aggregated before the shuffle: an id with many rows is never gathered
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("m"), F.max("y").alias("y"))
+    return cut_lineage(one.select("doc_id", F.col("m.t").alias("t"), "y"), "labelled-texts")
