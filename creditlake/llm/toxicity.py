@@ -176,20 +176,23 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str =
     scores = token_scores(toxic, other)
     start = Model(scores, solve_lambda(scores, other), 1.0, None)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for i in range(b.num_rows):
-                n, found = start.passages(b.column(0)[i].as_py())
-                out.append((n, sorted((s.score for s in found), reverse=True)[:64]))
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.int64()), pa.array([s for _, s in out], pa.list_(pa.float64())), b.column(1)], ["n", "s", "y"])
+            out = [start.passages(x.as_py()) for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.int64()), pa.array([max((s.score for s in found), default=0.0) for _, found in out], pa.float64())], ["n", "s"])
 
-    got = rows.select(F.col("t").cast("binary"), "y").mapInArrow(run, "n long, s array<double>, y int").collect()
-    clean = [(r.n, r.s[0] if r.s else 0.0) for r in got if not r.y]
+    texts = rows.select(F.col("t").cast("binary"), "y")
+    clean = [(r.n, r.s) for r in texts.where("y = 0").mapInArrow(best, "n long, s double").collect()]
     k = len(clean) / max(sum(max(n, 1) * math.exp(-start.lam * s) for n, s in clean), 1e-9)
     model = start._replace(k=k)
-    x = np.array([model.features(r.n, [Segment(0, 0, s) for s in r.s]) for r in got])
-    return model._replace(weights=logistic(x, np.array([float(r.y > 0) for r in got])))
+
+    def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [model.features(*model.passages(x.as_py())) for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in out], pa.float64()), pa.array([c for _, c in out], pa.float64()), b.column(1)], ["best", "many", "y"])
+
+    got = texts.mapInArrow(features, "best double, many double, y int").collect()
+    return model._replace(weights=logistic(np.array([(r.best, r.many) for r in got]), np.array([float(r.y > 0) for r in got])))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -75,3 +75,23 @@ def test_edges(spark, scored):
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 0)], "doc_id long, toxic int")
     none = T.fit(df, labels, F.lit(True))
     assert none.weights is None and all(r.score == 0 for r in T.score(df, none).collect())
+
+
+def test_fit_sees_all_passages(spark, monkeypatch):
+    rng = random.Random(8)
+    clean = lambda n: " ".join(f"w{chr(97 + rng.randrange(20))}" for _ in range(n))
+    bad = lambda: " ".join(rng.choice(["vile", "foul", "nasty", "rotten"]) for _ in range(12))
+    rows = [(i, clean(300), 0) for i in range(300)] + [(300 + i, " ".join(bad() for _ in range(3)), 1) for i in range(60)]
+    rows.append((400, " ".join(f"{clean(60)} {bad()}" for _ in range(90)), 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    plain = np.full(1 << T.BUCKET_BITS, -1.0)
+    plain[T.buckets(b"vile foul nasty rotten")] = 2.0
+    monkeypatch.setattr(T, "token_scores", lambda toxic, other: plain)
+    monkeypatch.setattr(T, "solve_lambda", lambda scores, counts: 0.5)
+    seen, real = [], T.logistic
+    monkeypatch.setattr(T, "logistic", lambda x, y: (seen.append((x, y)), real(x, y))[1])
+    model = T.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True))
+    (x, y), = seen
+    want = sorted((*model.features(*model.passages(t.encode())), float(c)) for _, t, c in rows)
+    assert np.allclose(sorted((*a, b) for a, b in zip(x.tolist(), y.tolist(), strict=True)), want)
+    assert max(math.expm1(c) for _, c, _ in want) > 64.5
