@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from creditlake.llm import (
     decontamination,
+    fim_frames,
     language_id,
     packing,
     paragraph_dedup,
@@ -82,6 +83,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fill-in-middle form, as digests of the output and of the text rebuilt from it."""
+    return fim_frames.digests(fim_frames.fill_in_middle(read(spark, sf_dir, "documents")))
+
+
 OP10_SQL = f"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 m AS (SELECT payload_digest, max(page_id) AS last FROM p WHERE payload_bytes >= {warc.MIN_REVISIT} GROUP BY payload_digest)
@@ -92,8 +98,9 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN last <> page_id THEN 'r
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_packing, op2_simhash_neardup, op3_toxicity, op4_language_id, op5_paragraph_dedup, op6_quality_rules, op7_secret_scan, op8_quality_cnn,
-        op9_decontamination, op10_warc)}
+        op9_decontamination, op10_warc, op12_fill_in_middle)}
 
 
 def oracle_sql() -> dict:
-    return {"op6_quality_rules": quality_rules.oracle(), "op9_decontamination": decontamination.oracle(), "op10_warc": OP10_SQL}
+    return {"op6_quality_rules": quality_rules.oracle(), "op9_decontamination": decontamination.oracle(), "op10_warc": OP10_SQL,
+            "op12_fill_in_middle": fim_frames.oracle()}
