@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditlake.llm import (
+    ctph,
     decontamination,
     fim_frames,
     language_id,
@@ -83,6 +84,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, held against its edited text's and the next document's."""
+    return ctph.against_next(ctph.fingerprints(read(spark, sf_dir, "documents")))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fill-in-middle form, as digests of the output and of the text rebuilt from it."""
     return fim_frames.digests(fim_frames.fill_in_middle(read(spark, sf_dir, "documents")))
@@ -98,7 +104,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN last <> page_id THEN 'r
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_packing, op2_simhash_neardup, op3_toxicity, op4_language_id, op5_paragraph_dedup, op6_quality_rules, op7_secret_scan, op8_quality_cnn,
-        op9_decontamination, op10_warc, op12_fill_in_middle)}
+        op9_decontamination, op10_warc, op11_piecewise_fingerprints, op12_fill_in_middle)}
 
 
 def oracle_sql() -> dict:
