@@ -12,6 +12,7 @@ from creditlake.llm import (
     language_id,
     packing,
     paragraph_dedup,
+    prefix_trie,
     quality_cnn,
     quality_rules,
     secret_scan,
@@ -94,6 +95,11 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim_frames.digests(fim_frames.fill_in_middle(read(spark, sf_dir, "documents")))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations."""
+    return prefix_trie.prefix_nodes(read(spark, sf_dir, "conversations"))
+
+
 OP10_SQL = f"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 m AS (SELECT payload_digest, max(page_id) AS last FROM p WHERE payload_bytes >= {warc.MIN_REVISIT} GROUP BY payload_digest)
@@ -104,9 +110,10 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN last <> page_id THEN 'r
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_packing, op2_simhash_neardup, op3_toxicity, op4_language_id, op5_paragraph_dedup, op6_quality_rules, op7_secret_scan, op8_quality_cnn,
-        op9_decontamination, op10_warc, op11_piecewise_fingerprints, op12_fill_in_middle)}
+        op9_decontamination, op10_warc, op11_piecewise_fingerprints, op12_fill_in_middle,
+        op13_prefix_trie)}
 
 
 def oracle_sql() -> dict:
     return {"op6_quality_rules": quality_rules.oracle(), "op9_decontamination": decontamination.oracle(), "op10_warc": OP10_SQL,
-            "op12_fill_in_middle": fim_frames.oracle()}
+            "op12_fill_in_middle": fim_frames.oracle(), "op13_prefix_trie": prefix_trie.oracle()}
