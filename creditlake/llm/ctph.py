@@ -12,10 +12,10 @@ have if their blocks are equal or one is twice the other: 1 less the edit
 distance (inserted and deleted signs) over the lengths.  Signatures without a
 common run of ``RUN`` signs count as unlike; equal fingerprints have likeness 1.
 
-``against_next`` lines documents up by descending id: one shuffle, by ranges, of
-rows that carry their text compressed.  A task reads its range in order and keeps
-one document back; the last of each range meets the first of the next range in a
-step of its own over one row a range.
+``against_next`` lines documents up by descending id: one shuffle of the texts, by
+ranges.  A task reads its range in order and keeps one document back; the last
+of each range meets the first of the next range in a step of its own over one
+row a range.
 
 Defined results: a null text is empty; null ids come last, equal ids by the
 text's hash; equal rows are each other's neighbours; a lone document is its own
@@ -30,7 +30,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,43 +132,38 @@ def edited(text: bytes, following: bytes) -> bytes:
     return (s[:len(s) - n] + following[:4 * n].decode("utf-8", "ignore")[:n]).encode()
 
 
-PRINTS = {"doc_id": pa.int64(), "key": pa.int64(), "uid": pa.int64(), "n_chars": pa.int64(), "fingerprint": pa.string(), "packed": pa.binary()}
-PRINTS_DDL = "doc_id long, key long, uid long, n_chars long, fingerprint string, packed binary"
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, uid, n_chars, fingerprint, packed): every text's fingerprint; ``key`` is a hash of the
-    text, ``uid`` numbers the rows, ``packed`` is the text as a zstandard frame."""
+    """(doc_id, n_chars, fingerprint): every text's fingerprint."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            texts = [t or b"" for t in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                b.column(0), b.column(1), b.column(2), pa.array([len(t.decode("utf-8", "replace")) for t in texts], pa.int64()),
-                pa.array([fingerprint(t) for t in texts], pa.string()), pa.array([pack(t) for t in texts], pa.binary())], list(PRINTS))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([fingerprint(t) for t in b.column(2).to_pylist()], pa.string())],
+                                             ["doc_id", "n_chars", "fingerprint"])
 
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    rows = docs.select(docs[id_col].cast("long"), F.xxhash64(text), F.monotonically_increasing_id(), text.cast("binary"))
-    return map_texts(rows, run, PRINTS_DDL)
+    return map_texts(docs.select(docs[id_col].cast("long"), F.length(text).cast("long"), text.cast("binary")), run,
+                     "doc_id long, n_chars long, fingerprint string")
 
 
 ROWS = {"kind": pa.int32(), "part": pa.int32(), "doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(),
-        "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64(), "packed": pa.binary()}
+        "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64(), "text": pa.binary()}
 ROWS_DDL = ("kind int, part int, doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-            "near_edited double, near_next double, packed binary")
+            "near_edited double, near_next double, text binary")
 DONE, FIRST, LAST = 0, 1, 2
 
 
-def _compared(part: int, this: dict, following: dict) -> tuple:
+def _compared(this: dict, following: dict) -> tuple:
     """The result row of a document and its next one."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    text = edited(unpack(this["packed"]), unpack(following["packed"]))
+    text = edited(this["text"], following["text"])
     own, other = this["fingerprint"], fingerprint(text)
-    return (DONE, part, this["doc_id"], this["n_chars"], hashlib.sha256(text).hexdigest(), own, other, likeness(own, other),
+    return (DONE, this["part"], this["doc_id"], this["n_chars"], hashlib.sha256(text).hexdigest(), own, other, likeness(own, other),
             likeness(own, following["fingerprint"]), None)
 
 
+def _kept(kind: int, row: dict) -> tuple:
+    return kind, row["part"], row["doc_id"], row["n_chars"], None, row["fingerprint"], None, None, None, row["text"]
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(ROWS.values())], list(ROWS))
 
@@ -180,29 +174,29 @@ def _walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         for row in b.to_pylist():
-            if held is None:
-                out.append((FIRST, row["part"], row["doc_id"], row["n_chars"], None, row["fingerprint"], None, None, None, row["packed"]))
-            else:
-                out.append(_compared(row["part"], held, row))
+            row["fingerprint"] = fingerprint(row["text"])
+            out.append(_kept(FIRST, row) if held is None else _compared(held, row))
             held = row
         yield _batch(out)
     if held is not None:
-        yield _batch([(LAST, held["part"], held["doc_id"], held["n_chars"], None, held["fingerprint"], None, None, None, held["packed"])])
+        yield _batch([_kept(LAST, held)])
 
 
 def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield _batch([_compared(r["part"], r, {"packed": r["n_packed"], "fingerprint": r["n_fingerprint"]}) for r in b.to_pylist()])
+        yield _batch([_compared(r, {"text": r["n_text"], "fingerprint": r["n_fingerprint"]}) for r in b.to_pylist()])
 
 
-def against_next(prints: DataFrame) -> DataFrame:
+def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document against its edited text and the next document by descending id:
     (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
-    spark = prints.sparkSession
+    spark = docs.sparkSession
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.monotonically_increasing_id().alias("uid"),
+                       F.length(text).cast("long").alias("n_chars"), text.cast("binary").alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("key").asc(), F.col("uid").asc()]
-    # written first, since ranges are found by a pass of their own
-    lined = cut_lineage(prints, "ctph-prints").repartitionByRange(*order).sortWithinPartitions(*order)
-    walked = cut_lineage(map_texts(lined.withColumn("part", F.spark_partition_id()), _walk, ROWS_DDL), "ctph-walked")
+    lined = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n_chars", "text", F.spark_partition_id().alias("part"))
+    walked = cut_lineage(map_texts(lined, _walk, ROWS_DDL), "ctph-walked")
     # a row a range: the ranges' numbers, and each one's successor, the first again after the last
     parts = sorted(r["part"] for r in walked.where(F.col("kind") == FIRST).select("part").collect())
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -210,7 +204,7 @@ def against_next(prints: DataFrame) -> DataFrame:
     if not parts:
         return done
     pairs = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, next_part int")
-    first = walked.where(F.col("kind") == FIRST).select(F.col("part").alias("next_part"), F.col("packed").alias("n_packed"),
+    first = walked.where(F.col("kind") == FIRST).select(F.col("part").alias("next_part"), F.col("text").alias("n_text"),
                                                         F.col("fingerprint").alias("n_fingerprint"))
-    meet = walked.where(F.col("kind") == LAST).select("part", "doc_id", "n_chars", "fingerprint", "packed").join(pairs, "part").join(first, "next_part")
+    meet = walked.where(F.col("kind") == LAST).select("part", "doc_id", "n_chars", "fingerprint", "text").join(pairs, "part").join(first, "next_part")
     return done.unionByName(map_texts(meet, _meet, ROWS_DDL).select(*names))

@@ -87,7 +87,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, held against its edited text's and the next document's."""
-    return ctph.against_next(ctph.fingerprints(read(spark, sf_dir, "documents")))
+    return ctph.against_next(read(spark, sf_dir, "documents"))
 
 
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:

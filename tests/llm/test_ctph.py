@@ -96,7 +96,7 @@ def expected(rows):
 
 
 def run(df):
-    return sorted((tuple(r) for r in C.against_next(C.fingerprints(df)).collect()), key=repr)
+    return sorted((tuple(r) for r in C.against_next(df).collect()), key=repr)
 
 
 def test_against_next_like_brute_force(spark):
@@ -115,5 +115,11 @@ def test_against_next_like_brute_force(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
 
 
+def test_fingerprints(spark):
+    rows = [(1, "x" * 50), (2, None), (None, "é漢😀" * 9)]
+    got = C.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(((i, len(t or ""), C.fingerprint((t or "").encode())) for i, t in rows), key=repr)
+
+
 def test_empty_table(spark):
     assert run(spark.createDataFrame([], "doc_id long, text string")) == []
