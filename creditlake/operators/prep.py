@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import catalog as K
-from ..functions.expr import div
+from ..functions.expr import div, round6
 from .features import id_number, source_ordinal
-from .profile import features_of, long_form, missing_rates, quantiles
+from .profile import features_of, missing_rates, quantiles
 
 
 # ------------------------------------------------------------------ M1/U2
@@ -43,10 +43,10 @@ def clean(df: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------- M2
 def winsor_bounds(df: DataFrame, lo: float = K.WINSOR_LOW, hi: float = K.WINSOR_HIGH,
-                  accuracy: int | None = None, materialize: bool = True) -> DataFrame:
+                  materialize: bool = True) -> DataFrame:
     """(feature, lo, hi, applied): 1st / 99th percentiles; a feature is
     clipped only when lo < hi."""
-    q = quantiles(df, features_of(df), probs=(lo, hi), accuracy=accuracy, materialize=materialize)
+    q = quantiles(df, features_of(df), probs=(lo, hi), materialize=materialize)
     a, b = q.columns[1], q.columns[2]
     return q.select("feature", F.col(a).alias("lo"), F.col(b).alias("hi"),
                     (F.col(a) < F.col(b)).alias("applied"))
@@ -84,12 +84,12 @@ def winsor_report(df: DataFrame, bounds_df: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------- M3
-def impute_params(df: DataFrame, accuracy: int | None = None, materialize: bool = True) -> DataFrame:
+def impute_params(df: DataFrame, materialize: bool = True) -> DataFrame:
     """(feature, missing_rate, status, fill_value): empty features -> 0,
     partly missing -> median, complete -> untouched."""
     mr = missing_rates(df)
     partial = [r["feature"] for r in mr.filter(F.col("status") == "partial").select("feature").collect()]
-    med = quantiles(df, partial, probs=(0.5,), accuracy=accuracy, materialize=materialize) \
+    med = quantiles(df, partial, probs=(0.5,), materialize=materialize) \
         .withColumnRenamed("q50", "median") \
         if partial else df.sparkSession.createDataFrame([], "feature string, median double")
     p = mr.join(F.broadcast(med), "feature", "left")
@@ -146,7 +146,11 @@ def select_features(df: DataFrame, max_features: int = K.MAX_FEATURES,
                     per_group: int = K.FORCED_PER_GROUP) -> DataFrame:
     """M4 + T2: first ``per_group`` features of every group are kept, the
     rest ranked by F score (undefined last, ties in catalogue order).
-    Returns (rank, feature, f_score, forced)."""
+    Returns (rank, feature, f_score, forced).
+
+    Scores rank by their value to six decimals: the last bits of a sum depend
+    on the order in which partitions are merged, so equal features would
+    change places from run to run."""
     spark = df.sparkSession
     avail = features_of(df)
     forced = forced_features(avail, per_group)
@@ -159,21 +163,20 @@ def select_features(df: DataFrame, max_features: int = K.MAX_FEATURES,
         return forced_df
     scores = anova_f(df, remaining)
     om = F.create_map(*[x for f, i in ordinal.items() for x in (F.lit(f), F.lit(i))])
-    ranked = (scores.withColumn("ordinal", F.element_at(om, F.col("feature")))
-              .orderBy(F.desc_nulls_last("f_score"), F.asc("ordinal")).limit(k)
+    order = [F.desc_nulls_last("_score"), F.asc("ordinal")]
+    ranked = (scores.withColumn("ordinal", F.element_at(om, F.col("feature"))).withColumn("_score", round6("f_score"))
+              .orderBy(*order).limit(k)
               # at most one row per catalogue feature: a single-task window is fine
-              .withColumn("rank", (F.row_number().over(
-                  Window.orderBy(F.desc_nulls_last("f_score"), F.asc("ordinal"))) + len(forced)).cast("int"))
+              .withColumn("rank", (F.row_number().over(Window.orderBy(*order)) + len(forced)).cast("int"))
               .select("rank", "feature", "f_score", F.lit(False).alias("forced")))
     return forced_df.unionByName(ranked)
 
 
 # --------------------------------------------------------------------- M5
-def robust_params(df: DataFrame, features: list[str], accuracy: int | None = None,
-                  materialize: bool = True) -> DataFrame:
+def robust_params(df: DataFrame, features: list[str], materialize: bool = True) -> DataFrame:
     """(feature, center, scale): median and inter-quartile range; an IQR of
     0 scales by 1 (the column is only centred)."""
-    q = quantiles(df, features, probs=(0.25, 0.5, 0.75), accuracy=accuracy, materialize=materialize)
+    q = quantiles(df, features, probs=(0.25, 0.5, 0.75), materialize=materialize)
     iqr = F.col("q75") - F.col("q25")
     return q.select("feature", F.col("q50").alias("center"),
                     F.when(iqr == 0, F.lit(1.0)).otherwise(iqr).alias("scale"))
@@ -209,13 +212,13 @@ class PrepModel:
         return {"bounds": self.bounds, "fills": self.fills, "selected": self.selected, "scales": self.scales}
 
 
-def fit_prep(df: DataFrame, accuracy: int | None = None) -> PrepModel:
+def fit_prep(df: DataFrame) -> PrepModel:
     """M2-M5 fitted in order on ``df`` (already cleaned and, for large
     inputs, materialised: every step below is a projection of it)."""
-    bounds = [r.asDict() for r in winsor_bounds(df, accuracy=accuracy, materialize=False).collect()]
+    bounds = [r.asDict() for r in winsor_bounds(df, materialize=False).collect()]
     w = apply_winsor(df, bounds)
-    fills = [r.asDict() for r in impute_params(w, accuracy=accuracy, materialize=False).collect()]
+    fills = [r.asDict() for r in impute_params(w, materialize=False).collect()]
     imp = apply_impute(w, fills)
     sel = [r["feature"] for r in select_features(imp).orderBy("rank").collect()]
-    scales = [r.asDict() for r in robust_params(imp, sel, accuracy=accuracy, materialize=False).collect()]
+    scales = [r.asDict() for r in robust_params(imp, sel, materialize=False).collect()]
     return PrepModel(bounds, fills, sel, scales)

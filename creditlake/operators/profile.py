@@ -4,8 +4,8 @@ Shape rules used throughout:
 * simple per-feature statistics (counts, means, missing rates) are one wide
   aggregate with a partial (map-side) stage, then the single result row is
   unpivoted — no data is exploded;
-* order statistics (quantiles) and per-feature histograms are computed in
-  long form ``(feature, value)`` so the work spreads over tasks by feature;
+* order statistics (quantiles) of all features are selected together from wide
+  rows by radix passes; only class histograms run over (feature, value) rows;
 * every driver-side collect is bounded by the number of catalogue features.
 """
 
@@ -244,113 +244,168 @@ def label_correlations(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- A18/A19
+#: Bits of the sort key that each selection pass settles (64 in all).
+RADIX_BITS = (12, 13, 13, 13, 13)
+
+
 def quantiles(df: DataFrame, features: list[str] | None = None,
-              probs=(0.01, 0.25, 0.5, 0.75, 0.99), accuracy: int | None = None,
-              materialize: bool = True) -> DataFrame:
+              probs=(0.01, 0.25, 0.5, 0.75, 0.99), materialize: bool = True) -> DataFrame:
     """Per feature linearly interpolated quantiles (NULLs skipped),
     one row per feature with at least one value: (feature, q01, q25, ...).
 
     Exact and memory-bounded: see ``exact_quantiles``."""
     feats = features or features_of(df)
-    spark = df.sparkSession
-    src = df.select(*[F.col(f).cast("double") for f in feats])
+    src = df.select(*feats)
     if materialize:
         from ..session import cut_lineage
         src = cut_lineage(src, "quantile-input")  # the passes below re-read it
-    found = exact_quantiles(long_form(src, feats).filter(F.col("value").isNotNull()), probs, accuracy or 10000)
-    rows = [(f, *[found.get((f, i)) for i in range(len(probs))]) for f in feats
-            if any((f, i) in found for i in range(len(probs)))]
+    found = exact_quantiles(src, feats, probs)
+    rows = [(f, *[found.get((f, i)) for i in range(len(probs))]) for f in feats if (f, 0) in found]
     schema = "feature string, " + ", ".join(f"{_qname(p)} double" for p in probs)
-    return spark.createDataFrame(rows, schema)
-
-
-def exact_quantiles(lf: DataFrame, probs, accuracy: int = 10000) -> dict:
-    """Exact interpolated quantiles of (feature, value) rows in bounded memory.
-
-    1. a sketch pass (``percentile_approx``, fixed-size state per feature)
-       gives, for every requested p, values just below and above the ranks
-       the interpolation needs;
-    2. one pass counts values under each lower bracket end and groups the
-       values inside each bracket into (value, count) pairs — a bracket holds
-       about 2 * widen / accuracy of the rows, so no task holds a whole
-       feature — then a running count inside each bracket finds the order
-       statistics at floor(h) and floor(h)+1, h = p * (n - 1);
-    3. brackets that missed (the sketch bound failed) are widened tenfold and
-       recomputed for those features only, up to the full range.
-    Only per (feature, p) results reach the driver. Returns
-    {(feature, index of p): quantile}."""
-    spark = lf.sparkSession
-    out: dict = {}
-    todo = None
-    widen = 3.0
-    while True:
-        src = lf if todo is None else lf.filter(F.col("feature").isin(todo))
-        d = widen / accuracy
-        full = widen >= accuracy
-        grid = sorted({min(1.0, max(0.0, round(p + s * d, 12))) for p in probs for s in (-1, 1)})
-        sk = src.groupBy("feature").agg(F.percentile_approx("value", grid, accuracy).alias("g"),
-                                        F.count(F.lit(1)).alias("n")).collect()
-        brs = []
-        for r in sk:
-            for i, p in enumerate(probs):
-                lo = r["g"][grid.index(min(1.0, max(0.0, round(p - d, 12))))]
-                hi = r["g"][grid.index(min(1.0, max(0.0, round(p + d, 12))))]
-                if full:
-                    lo, hi = float("-inf"), float("inf")
-                brs.append((r["feature"], i, float(p), int(r["n"]), float(lo), float(hi)))
-        if not brs:
-            return out
-        k = len(probs)
-        per = {}
-        for f, i, p, n, lo, hi in brs:
-            e = per.setdefault(f, {"n": n, "lo": [0.0] * k, "hi": [0.0] * k})
-            e["lo"][i], e["hi"][i] = lo, hi
-        # one row per feature with its k brackets: bounded, broadcast
-        br = F.broadcast(spark.createDataFrame(
-            [(f, e["n"], e["lo"], e["hi"]) for f, e in per.items()],
-            "feature string, n long, lo array<double>, hi array<double>"))
-        j = src.join(br, "feature")
-        v = F.col("value")
-        # values under each lower bracket end: k counters in one aggregate
-        below_w = j.groupBy("feature").agg(*[F.count_if(v < F.col("lo")[i]).alias(f"b{i}") for i in range(k)])
-        below = below_w.select("feature", F.explode(F.array(*[
-            F.struct(F.lit(i).alias("qi"), F.col(f"b{i}").alias("below")) for i in range(k)])).alias("s")
-        ).select("feature", "s.*")
-        # only rows inside some bracket are expanded, once per bracket holding them
-        hits = F.filter(F.array(*[F.lit(i) for i in range(k)]),
-                        lambda i: (v >= F.element_at("lo", i + 1)) & (v <= F.element_at("hi", i + 1)))
-        inside = (j.select("feature", "value", F.explode(hits).alias("qi"))
-                  .groupBy("feature", "qi", "value").agg(F.count(F.lit(1)).alias("c")))
-        qn = spark.createDataFrame([(f, i, float(p), n) for f, i, p, n, _, _ in brs],
-                                   "feature string, qi int, q double, n long")
-        w = Window.partitionBy("feature", "qi").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-        x = (inside.withColumn("cum", F.sum("c").over(w))
-             .join(below, ["feature", "qi"]).join(F.broadcast(qn), ["feature", "qi"]))
-        h = F.col("q") * (F.col("n") - 1)
-        i0 = F.floor(h)
-        i1 = F.least(i0 + 1, F.col("n") - 1)
-        start = F.col("below") + F.col("cum") - F.col("c")
-        end = F.col("below") + F.col("cum") - 1
-        res = x.groupBy("feature", "qi").agg(
-            F.max(F.when((start <= i0) & (i0 <= end), v)).alias("v0"),
-            F.max(F.when((start <= i1) & (i1 <= end), v)).alias("v1"),
-            F.first(h).alias("h")).collect()
-        got = {(r["feature"], r["qi"]): r for r in res}
-        missed = set()
-        for f, i, *_ in brs:
-            r = got.get((f, i))
-            if r is None or r["v0"] is None or r["v1"] is None:
-                missed.add(f)
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def exact_quantiles(df: DataFrame, features: list[str], probs) -> dict:
+    """Exact interpolated quantiles of wide numeric columns, NULLs skipped.
+    Returns {(feature, index of p): quantile} of the features with a value.
+
+    h = p * (n - 1) lies between the order statistics of ranks floor(h) and
+    floor(h) + 1, which ``radix_select`` finds for all features together."""
+    keys = df.select(*[F.col(f).cast("double").alias(f) for f in features])
+    at = lambda n, p: p * (n - 1)
+    n_of, found = radix_select(keys, features, lambda n: sorted({r for p in probs for r in (int(at(n, p)), min(int(at(n, p)) + 1, n - 1))}))
+    out = {}
+    for f, n in n_of.items():
+        for i, p in enumerate(probs):
+            h = at(n, p)
+            lo = int(h)
+            v0, v1 = (float(_from_key(found[f, r])) for r in (lo, min(lo + 1, n - 1)))
+            out[f, i] = v0 if v0 == v1 else v0 + (h - lo) * (v1 - v0)
+    return out
+
+
+def sort_keys(v: np.ndarray) -> np.ndarray:
+    """64-bit integers in the order of the doubles (-0.0 counts as 0.0, NaN is largest); integers are their own keys."""
+    if v.dtype != np.float64:
+        return v.astype(np.int64)
+    bits = (v + 0.0).view(np.int64)
+    bits = np.where(np.isnan(v), np.int64(0x7FF8000000000000), bits)
+    return bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
+
+
+def _from_key(k: int) -> float:
+    k = np.int64(k)
+    return (k ^ ((k >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.float64)
+
+
+def radix_select(df: DataFrame, columns: list[str], ranks) -> tuple[dict, dict]:
+    """Order statistics of many columns (double or 64-bit integer) at once.
+
+    ``ranks(n)`` gives the wanted 0-based ranks for a column with n values.
+    Each pass settles the next ``RADIX_BITS`` of the sort key of every wanted
+    rank: a task sorts its batches' keys and counts them by their leading
+    bits (of values that share a settled prefix only), counts are aggregated
+    with the least and greatest key of each bucket, and one group a column
+    picks the buckets that hold its ranks.  A bucket with one distinct key is
+    the answer, so columns of few values end early, and columns that are
+    done aren't read again.  A column has at most 2^13 buckets a prefix, a
+    few ranks reach the driver.  Returns ({column: n}, {(column, rank): key})."""
+    spark = df.sparkSession
+    n_of: dict = {}
+    found: dict = {}
+    shift = 64
+    open_: dict = {i: None for i in range(len(columns))}   # column -> {prefix: [(rank, rank inside the prefix)]}
+    for bits in RADIX_BITS:
+        shift -= bits
+        at = sorted(open_)
+        prefixes = {i: None if open_[i] is None else np.array(sorted(open_[i]), np.int64) for i in at}
+        tops = df.select(*[columns[i] for i in at]).mapInArrow(_top_counts(at, prefixes, shift, shift + bits), "col int, top long, n long, lo long, hi long")
+        sums = tops.groupBy("col", "top").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        picked = sums.groupBy("col").applyInArrow(_pick(open_, bits, ranks), "col int, rank long, inside long, top long, lo long, hi long, total long")
+        open_next: dict = {}
+        for r in picked.collect():  # a few ranks a column
+            f = columns[r["col"]]
+            n_of.setdefault(f, r["total"])
+            if r["rank"] is None:
                 continue
-            frac = r["h"] - float(int(r["h"]))
-            out[(f, i)] = r["v0"] + frac * (r["v1"] - r["v0"])
-        if not missed or full:
-            return out
-        for f in missed:
-            for i in range(len(probs)):
-                out.pop((f, i), None)
-        todo = sorted(missed)
-        widen *= 10
+            if r["lo"] == r["hi"]:
+                found[f, r["rank"]] = r["lo"]
+            else:
+                open_next.setdefault(r["col"], {}).setdefault(r["top"], []).append((r["rank"], r["inside"]))
+        open_ = open_next
+        if not open_:
+            break
+    return n_of, found
+
+
+def _top_counts(at: list[int], prefixes: dict, shift: int, settled: int):
+    """Counts of the keys by their bits above ``shift``, among those whose bits above ``settled`` are a prefix."""
+    import pyarrow as pa
+
+    def combine(parts):
+        col, top, n, lo, hi = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((top, col))
+        col, top, n, lo, hi = col[order], top[order], n[order], lo[order], hi[order]
+        first = np.flatnonzero(np.concatenate(([True], (col[1:] != col[:-1]) | (top[1:] != top[:-1]))))
+        return (col[first], top[first], np.add.reduceat(n, first), np.minimum.reduceat(lo, first), np.maximum.reduceat(hi, first))
+
+    def run(batches):
+        parts, held = [], 0
+        for b in batches:
+            for k, i in enumerate(at):
+                v = b.column(k).drop_null()
+                if not len(v):
+                    continue
+                keys = sort_keys(v.to_numpy(zero_copy_only=False))
+                if prefixes[i] is not None:
+                    own = keys >> settled
+                    p = prefixes[i]
+                    keys = keys[p[np.minimum(np.searchsorted(p, own), len(p) - 1)] == own]
+                    if not len(keys):
+                        continue
+                keys = np.sort(keys)
+                top = keys >> shift
+                first = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1])))
+                last = np.append(first[1:], len(keys))
+                parts.append((np.full(len(first), i, np.int32), top[first], last - first, keys[first], keys[last - 1]))
+                held += len(first)
+            if held > 2_000_000:
+                parts = [combine(parts)]
+                held = len(parts[0][0])
+        if parts:
+            out = combine(parts)
+            for k in range(0, len(out[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k:k + 100_000]) for x in out], ["col", "top", "n", "lo", "hi"])
+
+    return run
+
+
+def _pick(open_: dict, bits: int, ranks):
+    """The buckets of a column that hold its wanted ranks."""
+    import pyarrow as pa
+
+    def run(group):
+        group = group.sort_by("top")
+        col = group.column("col")[0].as_py()
+        top, n, lo, hi = (group.column(c).to_numpy() for c in ("top", "n", "lo", "hi"))
+        total = int(n.sum())
+        out = []
+        wanted = open_[col]
+        if wanted is None:
+            wanted = {None: [(r, r) for r in ranks(total)]}
+        for prefix, inner in wanted.items():
+            mine = np.arange(len(top)) if prefix is None else np.flatnonzero(top >> bits == prefix)
+            ends = np.cumsum(n[mine])
+            for rank, inside in inner:
+                k = int(np.searchsorted(ends, inside, "right"))
+                j = mine[k]
+                out.append((col, rank, inside - int(ends[k] - n[j]), int(top[j]), int(lo[j]), int(hi[j]), total))
+        if not out:
+            out.append((col, None, None, None, None, None, total))
+        kinds = [pa.int32()] + [pa.int64()] * 6
+        return pa.table([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["col", "rank", "inside", "top", "lo", "hi", "total"])
+
+    return run
 
 
 def _qname(p) -> str:
@@ -360,12 +415,15 @@ def _qname(p) -> str:
 def key_stats(df: DataFrame, features=KEY_STAT_FEATURES) -> DataFrame:
     """Mean / median / sample std / missing rate of the key features."""
     feats = [f for f in features if f in df.columns]
-    lf = long_form(df, feats)
-    st = lf.groupBy("feature").agg(
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.avg(F.col("value").isNull().cast("double")).alias("missing_rate"),
-        F.count("value").alias("n_present"))
+    aggs = []
+    for f in feats:
+        v = F.col(f).cast("double")
+        aggs += [F.avg(v).alias(f"mean_{f}"), F.stddev_samp(v).alias(f"std_{f}"), F.avg(v.isNull().cast("double")).alias(f"mr_{f}"),
+                 F.count(v).alias(f"n_{f}")]
+    wide = df.agg(*aggs)
+    st = wide.select(F.inline(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f"mean_{f}").alias("mean"), F.col(f"std_{f}").alias("std"), F.col(f"mr_{f}").alias("missing_rate"),
+                 F.col(f"n_{f}").alias("n_present")) for f in feats])))
     med = quantiles(df, feats, probs=(0.5,)).withColumnRenamed("q50", "median")
     return st.join(med, "feature", "left").select("feature", "mean", "median", "std", "missing_rate", "n_present")
 

@@ -117,7 +117,9 @@ def _winsorized(spark, sf_dir, cleaned=None):
 def _imputed(spark, sf_dir, cleaned=None):
     w = _winsorized(spark, sf_dir, cleaned)
     fills = [r.asDict() for r in PR.impute_params(w, materialize=False).collect()]  # one row per feature
-    return PR.apply_impute(w, fills)
+    # written once: what follows takes several passes, each of which would clip and fill again
+    from ..session import cut_lineage
+    return cut_lineage(PR.apply_impute(w, fills), "imputed")
 
 
 @register("dedup_keep_first")

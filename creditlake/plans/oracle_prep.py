@@ -162,7 +162,7 @@ def _selected_sql() -> str:
     k = min(len(FEATS) - len(forced), K.MAX_FEATURES - len(forced))
     fv = _union([f"SELECT CAST({i + 1} AS INTEGER) AS rank, '{f}' AS feature, CAST(NULL AS DOUBLE) AS f_score, true AS forced"
                  for i, f in enumerate(forced)])
-    ranked = (f"SELECT CAST(row_number() OVER (ORDER BY f_score DESC NULLS LAST, ordinal) + {len(forced)} AS INTEGER) AS rank, "
+    ranked = (f"SELECT CAST(row_number() OVER (ORDER BY round(f_score * CAST(1000000 AS DOUBLE)) DESC NULLS LAST, ordinal) + {len(forced)} AS INTEGER) AS rank, "
               f"feature, f_score, false AS forced FROM fs QUALIFY rank <= {len(forced) + k}")
     return f"{fv}\nUNION ALL\n{ranked}"
 

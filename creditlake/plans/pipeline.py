@@ -35,15 +35,14 @@ class Trained:
 _CACHE: dict[tuple, Trained] = {}
 
 
-def prepared(spark: SparkSession, sf_dir: str, fit_on: str = "train",
-             accuracy: int | None = None) -> tuple[DataFrame, PR.PrepModel]:
+def prepared(spark: SparkSession, sf_dir: str, fit_on: str = "train") -> tuple[DataFrame, PR.PrepModel]:
     """Cleaned + split + prepared (+ interactions) table and its fitted prep.
     ``fit_on='train'`` fits preparation on the training split only;
     ``'all'`` fits on every row (as the source pipeline does)."""
     c = M.assign_split(PR.clean(S.unified(spark, sf_dir)))
     c = cut_lineage(c)
     fit_df = c.filter(F.col("split") == "train") if fit_on == "train" else c
-    pm = PR.fit_prep(fit_df, accuracy=accuracy)
+    pm = PR.fit_prep(fit_df)
     order = {r["feature"]: r for r in pm.scales}
     x = PR.apply_impute(PR.apply_winsor(c, pm.bounds), pm.fills)
     x = PR.apply_scale(x, [order[f] for f in pm.selected], keep=K.META_COLUMNS + ["split"])

@@ -75,16 +75,53 @@ def test_label_codes_alphabetical(spark):
     assert out == [("<missing>", 2.0), ("a", 0.0), ("b", 1.0), ("b", 1.0)]   # 'nan' sorts after 'b'
 
 
-def test_exact_quantiles_bounded_method(spark):
+def test_exact_quantiles_by_radix_selection(spark):
     rng = np.random.default_rng(5)
-    vals = np.concatenate([rng.normal(size=3000), np.zeros(1500), rng.integers(0, 5, 500).astype(float)])
-    df = spark.createDataFrame([(float(v), float(v) * 2 if i % 3 else None) for i, v in enumerate(vals)],
-                               "a double, b double")
+    vals = np.concatenate([rng.normal(size=3000), np.zeros(1500), -np.zeros(3), rng.integers(0, 5, 500).astype(float), [1e300, -1e300, 5e-324, -5e-324]])
+    near = 1.0 + np.arange(len(vals)) * 2**-52                      # keys that differ in their last bits only
+    rows = [(float(v), float(v) * 2 if i % 3 else None, float(n), 7.5, None, i % 11) for i, (v, n) in enumerate(zip(vals, near))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f int").repartition(5)
     from creditlake.operators import profile as P
     probs = (0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0)
-    b = np.array([float(v) * 2 for i, v in enumerate(vals) if i % 3])
-    for acc in (20, 10000):
-        got = {r.feature: r for r in P.quantiles(df, ["a", "b"], probs=probs, accuracy=acc).collect()}
+    want = {"a": vals, "b": np.array([r[1] for r in rows if r[1] is not None]), "c": near, "d": np.full(len(vals), 7.5), "f": np.arange(len(vals)) % 11}
+    got = {r.feature: r for r in P.quantiles(df, list("abcdef"), probs=probs).collect()}
+    assert set(got) == set(want)                                       # no value, no row
+    for f, v in want.items():
         for p in probs:
-            assert abs(got["a"][P._qname(p)] - np.percentile(vals, p * 100)) < 1e-9, (acc, p)
-            assert abs(got["b"][P._qname(p)] - np.percentile(b, p * 100)) < 1e-9, (acc, p)
+            assert abs(got[f][P._qname(p)] - np.percentile(v, p * 100)) <= 1e-12 * max(1, abs(np.percentile(v, p * 100))), (f, p)
+
+
+def test_radix_select_integers_of_any_size(spark):
+    from creditlake.operators import profile as P
+    rng = np.random.default_rng(6)
+    v = np.concatenate([rng.integers(-2**63, 2**63 - 1, 2000), np.array([-2**63, 2**63 - 1, 0, -1])])
+    df = spark.createDataFrame([(int(x),) for x in v], "k long").repartition(3)
+    n, found = P.radix_select(df, ["k"], lambda n: [0, 1, n // 3, n - 1])
+    s = np.sort(v)
+    assert n == {"k": len(v)} and found == {("k", r): s[r] for r in (0, 1, len(v) // 3, len(v) - 1)}
+
+
+def test_quantiles_plan_has_no_window_and_few_passes(spark, monkeypatch):
+    from creditlake.operators import profile as P
+    seen = []
+    real = P._top_counts
+    monkeypatch.setattr(P, "_top_counts", lambda *a: seen.append(a[2]) or real(*a))
+    df = spark.range(3000).select((F.rand(3) * 1e6).alias("x"), (F.col("id") % 3).cast("double").alias("y"))
+    P.quantiles(df, ["x", "y"])
+    assert len(seen) <= 6
+
+
+def test_selected_ranks_do_not_depend_on_partitions(spark):
+    """Equal features keep the catalogue's order however rows and partitions lie."""
+    rng = np.random.default_rng(9)
+    feats = [f for f in K.ALL_FEATURES if f not in PR.forced_features(list(K.ALL_FEATURES))][:6]
+    rows = []
+    for i in range(900):
+        x, y = float(rng.normal()), float(rng.normal() * 1e5)
+        rows.append((f"{i}_HC", int(x + rng.normal() > 0), K.SOURCE_HC, {feats[0]: y, feats[1]: x / 3, feats[2]: x / 3, feats[3]: x, feats[4]: y / 7, feats[5]: x / 3}))
+    ranks = set()
+    for k in range(10):
+        order = rng.permutation(len(rows))
+        df = _table(spark, [rows[j] for j in order]).select("source_id", "TARGET", "source_dataset", *feats).repartition(k + 1)
+        ranks.add(tuple((r["rank"], r["feature"]) for r in PR.select_features(df).orderBy("rank").collect()))
+    assert len(ranks) == 1
