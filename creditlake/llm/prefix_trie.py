@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from creditlake.llm.common import cut_lineage
 
 FOLD, MOST = 100, 6
-LIMIT = 5_000
+LIMIT = 256
 SHARD_ROWS = 20_000
 BLOCK_BITS = 12
 #: Odd multipliers of the two polynomials.
