@@ -1,4 +1,4 @@
-"""Model operators (M6-M13): interaction features, deterministic split,
+"""Model operators (M6-M13): interaction features, deterministic splits,
 boosted-tree training with class weight and early stopping, optional
 second learner blend, and batch scoring with a fitted pipeline.
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import catalog as K
 from ..functions.expr import div
-from ..session import cut_lineage
+from .profile import radix_select
 
 
 # --------------------------------------------------------------------- M6
@@ -68,6 +68,39 @@ def assign_split(df: DataFrame, train: int = 70, val: int = 15, id_col: str = "s
     return df.withColumn("split", F.when(b < train, "train").when(b < train + val, "validation").otherwise("test"))
 
 
+def split_key(id_col: str = "source_id", seed: int = K.RANDOM_STATE) -> Column:
+    """The first 60 bits of the md5 of id || seed: the order in which rows are dealt."""
+    h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(str(seed))))
+    return F.conv(F.substring(h, 1, 15), 16, 10).cast("long")
+
+
+def assign_stratified(df: DataFrame, train: int = 70, val: int = 15, id_col: str = "source_id", label: str = "TARGET",
+                      seed: int = K.RANDOM_STATE) -> DataFrame:
+    """M8: an exact split within each class. Of a class of n rows, those with the first
+    round(n * train %) keys are training rows, the next up to round(n * (train + val) %) validation
+    rows, the rest test rows (halves round up); rows without a label are a class of their own.
+
+    The keys at these ranks are found by radix selection over all classes together and
+    serve as thresholds, so no class is ever sorted or gathered. Rows of one id have one
+    key and stay together; apart from such rows the shares are exact to one row."""
+    if not df.where(F.col(id_col).isNull()).isEmpty():
+        raise ValueError(f"{id_col} is NULL: rows need ids before the split")
+    key = split_key(id_col, seed)
+    classes = {"k0": F.col(label) == 0, "k1": F.col(label) == 1, "kn": F.col(label).isNull()}
+
+    def ends(n: int) -> tuple[int, int]:
+        return (n * train + 50) // 100, (n * (train + val) + 50) // 100
+
+    n_of, found = radix_select(df.select(*[F.when(c, key).alias(k) for k, c in classes.items()]), list(classes),
+                               lambda n: sorted({e - 1 for e in ends(n) if e}))
+    # the last key of each part; a part without rows ends before all keys
+    last = {k: [found[k, e - 1] if e else -1 for e in ends(n)] for k, n in n_of.items()}
+    split = F.lit("test")
+    for k, (a, b) in last.items():
+        split = F.when(classes[k], F.when(key <= a, "train").when(key <= b, "validation").otherwise("test")).otherwise(split)
+    return df.withColumn("split", split)
+
+
 # ------------------------------------------------------------- M7 / A23
 def class_weight(df: DataFrame, label: str = "TARGET") -> float:
     """#negative / #positive rounded to 2 places (one global aggregate;
@@ -138,66 +171,3 @@ def blend(df_a: DataFrame, df_b: DataFrame, key: str = "source_id",
     a = df_a.select(key, F.col("p").alias("p_a"))
     b = df_b.select(key, F.col("p").alias("p_b"))
     return a.join(b, key).withColumn("p", F.lit(wa) * F.col("p_a") + F.lit(wb) * F.col("p_b"))
-
-
-# --------------------------------------------------------------------- M9
-# Search space of the boosted trees (fixed values): ranges of the random
-# search, mapped to Spark ML parameter names.
-SEARCH_SPACE = {
-    "maxDepth": (4, 12),                 # integer range
-    "stepSize": (0.005, 0.08),           # log-uniform
-    "minInstancesPerNode": (20, 150),    # integer range
-    "featureSubsetStrategy": (0.5, 1.0),  # uniform fraction
-    "subsamplingRate": (0.5, 1.0),       # uniform
-}
-
-
-def random_trials(n_trials: int, seed: int = K.RANDOM_STATE) -> list[dict]:
-    """Seeded random draws from SEARCH_SPACE (driver-side, tiny)."""
-    import math
-    import random
-    rnd = random.Random(seed)
-    out = []
-    for _ in range(n_trials):
-        lo, hi = SEARCH_SPACE["stepSize"]
-        out.append({
-            "maxDepth": rnd.randint(*SEARCH_SPACE["maxDepth"]),
-            "stepSize": math.exp(rnd.uniform(math.log(lo), math.log(hi))),
-            "minInstancesPerNode": rnd.randint(*SEARCH_SPACE["minInstancesPerNode"]),
-            "featureSubsetStrategy": f"{rnd.uniform(*SEARCH_SPACE['featureSubsetStrategy']):.3f}",
-            "subsamplingRate": rnd.uniform(*SEARCH_SPACE["subsamplingRate"]),
-        })
-    return out
-
-
-def tune_gbt(train_df: DataFrame, val_df: DataFrame, features: list[str], n_trials: int = 50,
-             max_iter: int = 100, parallelism: int = 2, label: str = "TARGET") -> list[dict]:
-    """M9: random search over boosted-tree parameters, each trial fitted on
-    the training rows and scored by ROC-AUC on the validation rows. Trials
-    are independent Spark jobs; ``parallelism`` of them run at once."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    # every trial reads the same assembled matrix; the validation rows stop a trial early
-    both = train_df.withColumn("is_val", F.lit(False)).unionByName(val_df.withColumn("is_val", F.lit(True)))
-    both = cut_lineage(asm.transform(both).select("features", label, "weight", "is_val"), "search-matrix")
-    va = both.filter("is_val")
-    ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderROC")
-
-    def run(trial):
-        gbt = GBTClassifier(featuresCol="features", labelCol=label, weightCol="weight", maxIter=max_iter,
-                            seed=K.RANDOM_STATE, validationIndicatorCol="is_val", validationTol=0.001, **trial)
-        m = gbt.fit(both)
-        return {**trial, "val_auc": ev.evaluate(m.transform(va))}
-
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        return list(pool.map(run, random_trials(n_trials)))
-
-
-def best_params(trials: list[dict], max_iter: int = 100) -> TrainParams:
-    """The parameters of the best trial, for the final fit."""
-    b = max(trials, key=lambda r: r["val_auc"])
-    return TrainParams(max_iter=max_iter, max_depth=b["maxDepth"], step_size=b["stepSize"],
-                       subsampling_rate=b["subsamplingRate"], feature_subset=b["featureSubsetStrategy"],
-                       min_instances_per_node=b["minInstancesPerNode"])

@@ -268,23 +268,100 @@ def q_split(spark, sf_dir):
     return M.assign_split(_u(spark, sf_dir)).select("source_id", "TARGET", "split")
 
 
+@register("split_stratified")
+def q_split_stratified(spark, sf_dir):
+    """M8: the exact 70/15/15 split within each class, of every row."""
+    from ..operators import model as M
+    from ..session import cut_lineage
+    u = cut_lineage(_u(spark, sf_dir).select("source_id", "TARGET"), "split-input")
+    return M.assign_stratified(u)
+
+
 @register("tune_gbt")
 def q_tune(spark, sf_dir):
-    """M9: seeded random search of boosted-tree parameters, validation AUC
-    per trial; the best trial's parameters train the final model, whose
+    """M9: 50 trials of a Parzen sampler, each scored by validation AUC; the
+    best trial's parameters train the final model on all training rows, whose
     AUC on the test split stands in that trial's row (no oracle)."""
-    from ..operators import model as M
+    from ..operators import boost as B
+    from ..operators import search as SE
     from . import pipeline as PL
-    t = PL.train(spark, sf_dir)
-    trials = M.tune_gbt(t.data.filter(F.col("split") == "train"), t.data.filter(F.col("split") == "validation"), t.features)
-    best = max(range(len(trials)), key=lambda i: trials[i]["val_auc"])
-    final = M.gbt_pipeline(t.features, M.best_params(trials)).fit(t.data.filter(F.col("split").isin("train", "validation")))
-    test_auc = EV.roc_auc(PL.test_predictions(t, final)).first()["auc"]  # one number
-    rows = [(i, r["maxDepth"], float(r["stepSize"]), r["minInstancesPerNode"], r["featureSubsetStrategy"],
-             float(r["subsamplingRate"]), float(r["val_auc"]), i == best, test_auc if i == best else None) for i, r in enumerate(trials)]
-    return spark.createDataFrame(rows, "trial int, max_depth int, step_size double, min_instances int, "
-                                       "feature_subset string, subsampling_rate double, val_auc double, "
-                                       "chosen boolean, test_auc double")
+    t = PL.boost_data(spark, sf_dir)
+    fit_rows = t.data.filter(F.col("split").isin("train", "validation"))
+    trials = SE.tune(fit_rows, t.features)
+    best = max(range(len(trials)), key=lambda i: (trials[i]["score"] or 0.0, -i))
+    final = B.fit(fit_rows, t.features, SE.best_params(trials))
+    test_auc = EV.roc_auc(PL.boost_predictions(t, final)).first()["auc"]  # one number
+    names = list(SE.SPACE)
+    kinds = ", ".join(f"{k} {'int' if r.whole else 'double'}" for k, r in SE.SPACE.items())
+    rows = [(i, *[r[k] for k in names], r["rounds"], r["score"], i == best, test_auc if i == best else None) for i, r in enumerate(trials)]
+    return spark.createDataFrame(rows, f"trial int, {kinds}, rounds int, val_auc double, chosen boolean, test_auc double")
+
+
+@register("boost_root_gains")
+def q_root_gains(spark, sf_dir):
+    """Best gain of the first split per feature of the cleaned, unprepared
+    table, missing values on the side that gains more."""
+    from ..operators import boost as B
+    c = _cleaned_ckpt(spark, sf_dir)
+    return B.root_gains(c, P.features_of(c))
+
+
+@register("boost_score")
+def q_boost_score(spark, sf_dir):
+    """M10 + M13 + P27-P29: boosted trees with a learned missing side, trained
+    on the stratified training split without filling undefined values; test
+    split scored (no oracle: a trained model)."""
+    from . import pipeline as PL
+    pred = PL.boost_predictions(PL.boosted(spark, sf_dir))
+    return SC.score_outputs(pred.drop("margin"), F.col("p"), status=F.lit("success"))
+
+
+@register("boost_metrics")
+def q_boost_metrics(spark, sf_dir):
+    """E1-E4 of the boosted trees on the test split, and the trees kept (no oracle)."""
+    from . import pipeline as PL
+    t = PL.boosted(spark, sf_dir)
+    pred = PL.boost_predictions(t)
+    ks = EV.ks_statistic(pred).first()["ks"]  # one number
+    return EV.roc_auc(pred).withColumn("ks", F.lit(ks)).withColumn("n_trees", F.lit(len(t.model.trees)))
+
+
+def _shapley(spark, sf_dir):
+    from ..operators import shapley as SH
+    from . import pipeline as PL
+    t = PL.boosted(spark, sf_dir)
+    return SH.shapley_values(t.data.filter(F.col("split") == "test"), t.model), t.features
+
+
+@register("shapley_factors")
+def q_shapley(spark, sf_dir):
+    """M14 + T4 + F6 + P34: exact Shapley values of every test row and the top
+    factors either way (no oracle; additivity_error is 0)."""
+    from ..operators import explain as X
+    att, feats = _shapley(spark, sf_dir)
+    return X.factors(att, feats).select(
+        "source_id", "base", "margin", (F.col("margin") - F.col("model_margin")).alias("additivity_error"),
+        "positive_factors", "negative_factors")
+
+
+@register("shapley_importance")
+def q_shapley_importance(spark, sf_dir):
+    """A25 + T5: mean |Shapley value| per feature, top 25 (no oracle)."""
+    from ..operators import explain as X
+    att, feats = _shapley(spark, sf_dir)
+    return X.mean_abs_attribution(att, feats).orderBy(F.desc("mean_abs_attribution"), "feature").limit(25)
+
+
+@register("shapley_additivity")
+def q_shapley_additivity(spark, sf_dir):
+    """Per class of the test split, its rows and how many of them have
+    values that don't add up to the model's margin (1e-9)."""
+    from ..operators import shapley as SH
+    from . import pipeline as PL
+    t = PL.boosted(spark, sf_dir)
+    att = SH.shapley_values(t.data.filter(F.col("split") == "test"), t.model, keep=["TARGET"])
+    total = F.col("base") + F.aggregate("attributions", F.lit(0.0), lambda a, b: a + b)
+    return att.groupBy("TARGET").agg(F.count("*").alias("n_rows"), F.count_if(F.abs(total - F.col("model_margin")) > 1e-9).alias("n_off"))
 
 
 @register("missing_before_after")
@@ -528,9 +605,59 @@ def model_oracles() -> dict[str, str]:
     u = f"WITH u AS ({unified_sql()})\n"
     bucket = f"CAST(('0x' || substr(md5(CAST(source_id AS VARCHAR) || '{K.RANDOM_STATE}'), 1, 8)) AS BIGINT) % 100"
     return {
+        "split_stratified": u + _stratified_sql("u") + "SELECT source_id, TARGET, split FROM st",
+        "boost_root_gains": _root_gains_sql(),
+        "shapley_additivity": _prep_head() + ",\n" + _stratified_sql("cleaned", "") +
+                              "SELECT TARGET, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_off FROM st WHERE split = 'test' GROUP BY TARGET",
         "interactions": round_sql(u + "SELECT source_id, " + ", ".join(exprs) + " FROM u",
                                   [n for n, *_ in K.INTERACTIONS]),
         "split_assign": u + f"SELECT source_id, TARGET, CASE WHEN {bucket} < 70 THEN 'train' WHEN {bucket} < 85 "
                             "THEN 'validation' ELSE 'test' END AS split FROM u",
     }
 
+
+def _prep_head() -> str:
+    """The CTEs up to ``cleaned``."""
+    from .oracle_prep import _prep_ctes
+    return _prep_ctes().split(",\nbw AS")[0]
+
+
+def _stratified_sql(table: str, before: str = ", ") -> str:
+    """CTE ``st``: the rows of ``table`` with their stratified split."""
+    from ..functions import catalog as K
+    key = f"CAST(('0x' || substr(md5(CAST(source_id AS VARCHAR) || '{K.RANDOM_STATE}'), 1, 15)) AS BIGINT)"
+    return (f"{before}st AS (SELECT *, CASE WHEN rn <= (n * 70 + 50) // 100 THEN 'train' WHEN rn <= (n * 85 + 50) // 100 THEN 'validation' "
+            f"ELSE 'test' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY TARGET ORDER BY {key}) AS rn, "
+            f"count(*) OVER (PARTITION BY TARGET) AS n FROM {table}) s)\n")
+
+
+def _root_gains_sql() -> str:
+    """Every feature's best first split, by trying all its edges and both sides of the missing values."""
+    from ..functions import catalog as K
+    from .oracle_features import round_sql
+    feats = list(K.ALL_FEATURES)
+    bins, l1, l2, rows = 64, 0.1, 0.1, 50
+    probs = ", ".join(repr(i / bins) for i in range(1, bins))
+    worth = lambda g, h: f"(greatest(abs({g}) - {l1}, 0) ** 2 / greatest({h} + {l2}, 1e-16))"
+    edges = " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, list_sort(list_distinct(list_filter(quantile_cont({f}, [{probs}]), lambda x: x < mx))) AS e "
+        f"FROM cleaned, (SELECT max({f}) AS mx FROM cleaned) m GROUP BY mx HAVING count({f}) > 0" for f in feats)
+    sql = (_prep_head() + f""",
+gh AS (SELECT c.*, q - TARGET AS g, q * (1 - q) AS h FROM cleaned c, (SELECT avg(TARGET) AS q FROM cleaned) a),
+w AS (SELECT g, h, {', '.join(feats)} FROM gh),
+lf AS (SELECT g, h, feature, value FROM w UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(feats)}))),
+ed AS ({edges}),
+cuts AS (SELECT feature, e, unnest(range(0, len(e) + 1)) AS k FROM ed),
+b AS (SELECT lf.feature, CASE WHEN value IS NOT NULL THEN len(list_filter(ed.e, lambda x: x < value)) END AS bin, sum(g) AS g, sum(h) AS h, count(*) AS n
+    FROM lf JOIN ed USING (feature) GROUP BY ALL),
+tot AS (SELECT feature, sum(g) AS g, sum(h) AS h, sum(n) AS n, coalesce(sum(g) FILTER (WHERE bin IS NULL), 0) AS mg,
+    coalesce(sum(h) FILTER (WHERE bin IS NULL), 0) AS mh, coalesce(sum(n) FILTER (WHERE bin IS NULL), 0) AS mn FROM b GROUP BY feature),
+known AS (SELECT c.feature, c.k, coalesce(sum(b.g), 0) AS g, coalesce(sum(b.h), 0) AS h, coalesce(sum(b.n), 0) AS n
+    FROM cuts c LEFT JOIN b ON b.feature = c.feature AND b.bin <= c.k GROUP BY c.feature, c.k),
+sides AS (SELECT k.feature, k.g + s * t.mg AS lg, k.h + s * t.mh AS lh, k.n + s * t.mn AS ln, t.g AS g, t.h AS h, t.n AS n
+    FROM known k JOIN tot t USING (feature), (VALUES (0), (1)) v(s)),
+best AS (SELECT feature, max({worth('lg', 'lh')} + {worth('g - lg', 'h - lh')} - {worth('g', 'h')}) AS gain
+    FROM sides WHERE ln >= {rows} AND n - ln >= {rows} AND lh > 1e-3 AND h - lh > 1e-3 GROUP BY feature)
+SELECT t.feature, CAST(coalesce(len(ed.e), 0) AS INTEGER) AS n_cuts, CAST(t.mn AS BIGINT) AS n_missing, best.gain AS best_gain
+FROM (SELECT feature, count(*) - count(value) AS mn FROM lf GROUP BY feature) t LEFT JOIN ed USING (feature) LEFT JOIN best USING (feature)""")
+    return round_sql(sql, ["best_gain"])

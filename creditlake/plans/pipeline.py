@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import catalog as K
+from ..operators import boost as B
 from ..operators import evaluate as EV
 from ..operators import model as M
 from ..operators import prep as PR
@@ -32,14 +33,19 @@ class Trained:
     extra: dict = field(default_factory=dict)
 
 
-_CACHE: dict[tuple, Trained] = {}
+_CACHE: dict[tuple, Trained | Boosted] = {}
 
 
-def prepared(spark: SparkSession, sf_dir: str, fit_on: str = "train") -> tuple[DataFrame, PR.PrepModel]:
+def prepared(spark: SparkSession, sf_dir: str, fit_on: str = "train", fill: bool = True, stratified: bool = False) -> tuple[DataFrame, PR.PrepModel]:
     """Cleaned + split + prepared (+ interactions) table and its fitted prep.
     ``fit_on='train'`` fits preparation on the training split only;
-    ``'all'`` fits on every row (as the source pipeline does)."""
-    c = M.assign_split(PR.clean(S.unified(spark, sf_dir)))
+    ``'all'`` fits on every row (as the source pipeline does). ``stratified``
+    splits exactly within each class. Without ``fill`` undefined
+    interactions stay NULL."""
+    if stratified:
+        c = M.assign_stratified(cut_lineage(PR.clean(S.unified(spark, sf_dir))))
+    else:
+        c = M.assign_split(PR.clean(S.unified(spark, sf_dir)))
     c = cut_lineage(c)
     fit_df = c.filter(F.col("split") == "train") if fit_on == "train" else c
     pm = PR.fit_prep(fit_df)
@@ -50,7 +56,7 @@ def prepared(spark: SparkSession, sf_dir: str, fit_on: str = "train") -> tuple[D
     # Spark's tree learners take no missing values (no learned missing
     # direction); an undefined interaction (zero denominator) becomes 0.
     inter = list(M.interaction_columns(x.columns))
-    return (x.fillna(0.0, subset=inter) if inter else x), pm
+    return (x.fillna(0.0, subset=inter) if inter and fill else x), pm
 
 
 def train(spark: SparkSession, sf_dir: str, params: M.TrainParams | None = None,
@@ -70,6 +76,38 @@ def train(spark: SparkSession, sf_dir: str, params: M.TrainParams | None = None,
     return t
 
 
+@dataclass
+class Boosted:
+    prep: PR.PrepModel
+    features: list[str]
+    data: DataFrame                      # prepared rows with split, weight, is_val; undefined values NULL
+    spw: float
+    model: B.BoostModel | None = None
+
+
+def boost_data(spark: SparkSession, sf_dir: str) -> Boosted:
+    """The model table with an exact stratified split, written once per session and input."""
+    key = (spark.sparkContext.applicationId, sf_dir, "boost")
+    if key not in _CACHE:
+        x, pm = prepared(spark, sf_dir, fill=False, stratified=True)
+        spw = M.class_weight(x.filter(F.col("split") == "train"))
+        data = cut_lineage(M.with_weight(x, spw).withColumn("is_val", F.col("split") == "validation"), "boost-data")
+        _CACHE[key] = Boosted(pm, pm.selected + list(M.interaction_columns(x.columns)), data, spw)
+    return _CACHE[key]
+
+
+def boosted(spark: SparkSession, sf_dir: str) -> Boosted:
+    """The default boosted trees (M10) over ``boost_data``."""
+    t = boost_data(spark, sf_dir)
+    if t.model is None:
+        t.model = B.fit(t.data.filter(F.col("split").isin("train", "validation")), t.features)
+    return t
+
+
+def boost_predictions(t: Boosted, model: B.BoostModel | None = None, split: str = "test") -> DataFrame:
+    return (model or t.model).scored(t.data.filter(F.col("split") == split), ["source_id", "source_dataset", "TARGET"])
+
+
 def test_predictions(t: Trained, model: PipelineModel | None = None, split: str = "test") -> DataFrame:
     rows = t.data.filter(F.col("split") == split)
     return M.positive_probability(model or t.gbt, rows).select("source_id", "source_dataset", "TARGET", "p")

@@ -117,34 +117,53 @@ def test_saved_model_scores_batch_and_stream_alike(spark, tmp_path):
 
 def test_tune_query_runs_the_whole_search_and_trains_the_winner(monkeypatch):
     """M9: the registered query keeps the operator's 50 trials of 100 rounds and fits the best one's parameters."""
+    import inspect
     from types import SimpleNamespace
 
+    from creditlake.operators import boost as B
     from creditlake.operators import evaluate as EV
-    from creditlake.operators import model as M
+    from creditlake.operators import search as SE
     from creditlake.plans import more_queries as Q
     from creditlake.plans import pipeline as PL
+    assert inspect.signature(SE.tune).parameters["n_trials"].default == 50 and B.BoostParams().rounds == 100
     seen = {}
+    sampler = SE.Sampler(SE.SPACE, 1)
+    drawn = [sampler.ask() for _ in range(50)]
 
     class Data:
         def filter(self, _):
             return self
 
-    def search(train, val, features, n_trials=50, max_iter=100, **kw):
-        seen["search"] = n_trials, max_iter, kw
-        return [{**p, "val_auc": 0.9 if i == 7 else 0.5} for i, p in enumerate(M.random_trials(n_trials))]
+    def search(rows, features, **kw):
+        seen["search"] = kw
+        return [{**p, "score": 0.9 if i == 7 else 0.5, "rounds": 3, "loss": 0.1} for i, p in enumerate(drawn)]
 
-    def final(features, params):
+    def final(rows, features, params):
         seen["params"] = params
-        return SimpleNamespace(fit=lambda rows: "final")
+        return "final"
 
-    monkeypatch.setattr(PL, "train", lambda spark, sf_dir: SimpleNamespace(data=Data(), features=["a"]))
-    monkeypatch.setattr(PL, "test_predictions", lambda t, model: model)
+    monkeypatch.setattr(PL, "boost_data", lambda spark, sf_dir: SimpleNamespace(data=Data(), features=["a"]))
+    monkeypatch.setattr(PL, "boost_predictions", lambda t, model: model)
     monkeypatch.setattr(EV, "roc_auc", lambda pred: SimpleNamespace(first=lambda: {"auc": 0.75 if pred == "final" else 0.0}))
-    monkeypatch.setattr(M, "tune_gbt", search)
-    monkeypatch.setattr(M, "gbt_pipeline", final)
+    monkeypatch.setattr(SE, "tune", search)
+    monkeypatch.setattr(B, "fit", final)
     monkeypatch.setattr(Q, "F", SimpleNamespace(col=lambda c: SimpleNamespace(__eq__=lambda s, o: True, isin=lambda *a: True)))
     rows = Q.q_tune(SimpleNamespace(createDataFrame=lambda rows, schema: rows), "sf")
-    best = M.random_trials(50)[7]
-    assert seen["search"] == (50, 100, {}) and len(rows) == 50
-    assert seen["params"].max_depth == best["maxDepth"] and seen["params"].step_size == best["stepSize"]
-    assert [r[0] for r in rows if r[7]] == [7] and rows[7][8] == 0.75 and all(r[8] is None for r in rows if not r[7])
+    assert seen["search"] == {} and len(rows) == 50
+    assert all(getattr(seen["params"], k) == v for k, v in drawn[7].items()) and seen["params"].rounds == 100
+    assert [r[0] for r in rows if r[-2]] == [7] and rows[7][-1] == 0.75 and all(r[-1] is None for r in rows if not r[-2])
+
+
+def test_stratified_split_is_exact_within_classes(spark):
+    import hashlib
+    rows = [(f"{i}_HC", [0, 0, 0, 1, None][i % 5] if i % 7 else 1) for i in range(1003)]
+    df = spark.createDataFrame(rows, "source_id string, TARGET int").repartition(5)
+    got = {r.source_id: r.split for r in M.assign_stratified(df).collect()}
+    for label in (0, 1, None):
+        ids = sorted((i for i, t in rows if t == label), key=lambda i: int(hashlib.md5(f"{i}42".encode()).hexdigest()[:15], 16))
+        n = len(ids)
+        a, b = (n * 70 + 50) // 100, (n * 85 + 50) // 100
+        assert [got[i] for i in ids] == ["train"] * a + ["validation"] * (b - a) + ["test"] * (n - b)
+    one = M.assign_stratified(spark.createDataFrame([("1_HC", 1)], "source_id string, TARGET int")).collect()
+    assert [r.split for r in one] == ["train"]
+    assert M.assign_stratified(df.limit(0)).collect() == []
