@@ -82,10 +82,16 @@ class Tree:
             getattr(self, name).append(x)
         return len(self.feat) - 1
 
-    def nodes_of(self, go_left: Callable[[int, np.ndarray], np.ndarray], n: int) -> np.ndarray:
-        """The node that each of n rows ends in; ``go_left(node, rows)`` tells which of the rows go left."""
-        at = np.zeros(n, np.int32)
-        stack = [(0, np.arange(n))]
+    def nodes_of(self, go_left: Callable[[int, np.ndarray], np.ndarray], n: int, start: np.ndarray | None = None) -> np.ndarray:
+        """The node that each of n rows ends in; ``go_left(node, rows)`` tells which of the rows go left.
+        ``start``: nodes that the rows have reached already."""
+        at = np.zeros(n, np.int32) if start is None else start.copy()
+        if start is None:
+            stack = [(0, np.arange(n))]
+        else:
+            order = np.argsort(start, kind="stable")
+            nodes, first = np.unique(start[order], return_index=True)
+            stack = [(k, rows) for k, rows in zip(nodes.tolist(), np.split(order, first[1:]), strict=True) if self.left[k] >= 0]
         while stack:
             node, rows = stack.pop()
             if self.left[node] < 0 or not len(rows):
@@ -95,12 +101,12 @@ class Tree:
             stack += [(self.left[node], rows[left]), (self.right[node], rows[~left])]
         return at
 
-    def by_bins(self, bins: np.ndarray) -> np.ndarray:
+    def by_bins(self, bins: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
         """Nodes of rows given as (features, rows) bins."""
         def go(node, rows):
             b = bins[self.feat[node]][rows]
             return (b <= self.cut[node]) | (b == MISSING) if self.missing_left[node] else b <= self.cut[node]
-        return self.nodes_of(go, bins.shape[1])
+        return self.nodes_of(go, bins.shape[1], start)
 
     def by_values(self, x: np.ndarray) -> np.ndarray:
         """Nodes of rows given as (rows, features) values, NaN where missing."""
@@ -136,16 +142,23 @@ def log_loss(margin: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, f
     return float((w * (np.logaddexp(0, margin) - y * margin)).sum()), float(w.sum())
 
 
-def histogram(bins: np.ndarray, slot: np.ndarray, g: np.ndarray, h: np.ndarray, slots: int, features: list[int], n_bins: int) -> np.ndarray:
-    """(slots, features, STATS, n_bins + 1) sums of the rows whose ``slot`` is not negative; the last bin is the missing ones'."""
+def places(bins: np.ndarray, n_bins: int) -> np.ndarray:
+    """Bins as indices, the missing ones' last."""
+    out = bins.astype(np.intp)
+    out[bins == MISSING] = n_bins
+    return out
+
+
+def histogram(at_bin: np.ndarray, slot: np.ndarray, g: np.ndarray, h: np.ndarray, slots: int, features: list[int], n_bins: int) -> np.ndarray:
+    """(slots, features, STATS, n_bins + 1) sums of the rows whose ``slot`` is not negative, from (features, rows) ``places``."""
     at = np.flatnonzero(slot >= 0)
-    base = slot[at].astype(np.int64) * (n_bins + 1)
+    base = slot[at].astype(np.intp) * (n_bins + 1)
     g, h = g[at], h[at]
     out = np.empty((slots, len(features), STATS, n_bins + 1))
     size = slots * (n_bins + 1)
     for k, f in enumerate(features):
-        b = bins[f][at].astype(np.int64)
-        idx = base + np.where(b == MISSING, n_bins, b)
+        idx = at_bin[f][at]
+        idx += base
         out[:, k, 0] = np.bincount(idx, g, size).reshape(slots, -1)
         out[:, k, 1] = np.bincount(idx, h, size).reshape(slots, -1)
         out[:, k, 2] = np.bincount(idx, minlength=size).reshape(slots, -1)
@@ -153,28 +166,32 @@ def histogram(bins: np.ndarray, slot: np.ndarray, g: np.ndarray, h: np.ndarray,
 
 
 def best_splits(sums: np.ndarray, p: BoostParams) -> dict[str, np.ndarray]:
-    """Of (m, STATS, bins + 1) sums, the best split of each: gain (-inf if none), cut, missing_left, sums of both sides."""
-    known, none = np.cumsum(sums[:, :, :-1], axis=2), sums[:, :, -1:]
-    total = known[:, :, -1:] + none
-    # sides by (missing right, missing left)
-    left = np.stack([known, known + none], axis=1)                    # m, 2, STATS, cuts
-    right = total[:, None] - left
-    fits = (left[:, :, 2] >= p.min_rows) & (right[:, :, 2] >= p.min_rows) & (left[:, :, 1] > 1e-3) & (right[:, :, 1] > 1e-3)
-    gain = worth(left[:, :, 0], left[:, :, 1], p) + worth(right[:, :, 0], right[:, :, 1], p) - worth(total[:, 0], total[:, 1], p)[:, None]
-    gain = np.where(fits, gain, -np.inf)
-    # without missing values both sides tie: the larger one takes those to come
-    tie = (none[:, 2, 0] == 0)[:, None]
-    larger = left[:, 1, 2] >= right[:, 1, 2]
-    gain[:, 0] = np.where(tie & larger, -np.inf, gain[:, 0])
-    gain[:, 1] = np.where(tie & ~larger, -np.inf, gain[:, 1])
-    m, cuts = len(sums), known.shape[2]
-    # lowest cut first among equals
-    flat = gain.transpose(0, 2, 1).reshape(m, -1)
-    best = np.argmax(flat, axis=1)
-    cut, side = best // 2, best % 2
-    rows = np.arange(m)
-    return {"gain": flat[rows, best], "cut": np.minimum(cut, cuts - 1), "missing_left": side == 1,
-            **{f"l{k}": left[rows, side, k, cut] for k in range(STATS)}, **{f"r{k}": right[rows, side, k, cut] for k in range(STATS)}}
+    """Of (m, STATS, bins + 1) sums, the best split of each: gain (-inf if none), cut, missing_left, sums of both sides.
+    Among equal gains the lowest cut is best, and missing values go right."""
+    m = len(sums)
+    known, none = np.cumsum(sums[:, :, :-1], axis=2), sums[:, :, -1]
+    total = known[:, :, -1] + none
+    parent = worth(total[:, 0], total[:, 1], p)
+    best = np.full(m, -np.inf)
+    cut, side = np.zeros(m, np.int64), np.zeros(m, np.bool_)
+    some = np.flatnonzero(none[:, 2] > 0)
+    # all pairs with missing values on the right, then those that have any with these on the left
+    for rows, left, missing_left in ((np.arange(m), known, False), (some, known[some] + none[some][:, :, None], True)):
+        if not len(rows):
+            continue
+        right = total[rows][:, :, None] - left
+        ok = (left[:, 2] >= p.min_rows) & (right[:, 2] >= p.min_rows) & (left[:, 1] > 1e-3) & (right[:, 1] > 1e-3)
+        gain = np.where(ok, worth(left[:, 0], left[:, 1], p) + worth(right[:, 0], right[:, 1], p) - parent[rows][:, None], -np.inf)
+        k = np.argmax(gain, axis=1)
+        top = gain[np.arange(len(rows)), k]
+        better = top > best[rows]
+        best[rows[better]], cut[rows[better]], side[rows[better]] = top[better], k[better], missing_left
+    at = np.arange(m)
+    left = known[at, :, cut] + np.where(side[:, None], none, 0.0)
+    right = total - left
+    # where none is missing, those to come follow the larger side
+    side = np.where(none[:, 2] == 0, left[:, 2] >= right[:, 2], side)
+    return {"gain": best, "cut": cut, "missing_left": side, **{f"l{k}": left[:, k] for k in range(STATS)}, **{f"r{k}": right[:, k] for k in range(STATS)}}
 
 
 def bagged(p: BoostParams, round_: int, block: int, n: int) -> np.ndarray:
@@ -203,12 +220,23 @@ class Growing:
         self.tree.add(leaf_value(sums[0], sums[1], self.p), float(sums[2]))
         self.open = [0]
 
-    def slots(self, at: np.ndarray) -> np.ndarray:
-        """Of the rows' nodes, the places among the open ones (-1: none)."""
+    def slots(self, at: np.ndarray, among: list[int] | None = None) -> np.ndarray:
+        """Of the rows' nodes, the places among the open ones or those given (-1: none)."""
+        among = self.open if among is None else among
         place = np.full(len(self.tree.feat), -1, np.int32)
-        place[self.open] = np.arange(len(self.open))
+        place[among] = np.arange(len(among))
         return place[at]
 
+    def halves(self, known: dict) -> tuple[list[int], dict[int, tuple[int, int]]]:
+        """The open nodes whose rows are to be counted, and those that are the rest of a ``known`` node: {node: (node above, its other child)}."""
+        t, rest = self.tree, {}
+        for node in known:
+            a, b = t.left[node], t.right[node]
+            if a in self.open and b in self.open:
+                big, small = (a, b) if t.cover[a] >= t.cover[b] else (b, a)
+                rest[big] = node, small
+        return [n for n in self.open if n not in rest], rest
+
     def split(self, best: list[dict | None]) -> None:
         """Split the open nodes (best gains first, as far as leaves allow); children that may split are open next."""
         t = self.tree
@@ -399,6 +427,7 @@ def train_arrays(parts: list[tuple], features: list[str], edges: list[np.ndarray
     init = start_margin(sum(float((w * y)[k].sum()) for (_, _, y, w, _), k in zip(parts, learn, strict=True)),
                         sum(float(w[k].sum()) for (_, _, _, w, _), k in zip(parts, learn, strict=True)))
     margins = [np.full(len(y), init) for _, _, y, _, _ in parts]
+    at_bin = [places(bins, n_bins) for _, bins, *_ in parts]
     stop, trees = Stopper(p.patience), []
     for r in range(p.rounds):
         grad = [gradients(m, y, w) for m, (_, _, y, w, _) in zip(margins, parts, strict=True)]
@@ -408,14 +437,22 @@ def train_arrays(parts: list[tuple], features: list[str], edges: list[np.ndarray
         total = np.array([sum(float(x[u].sum()) for x, u in zip(xs, used, strict=True)) for xs in zip(*grad, strict=True)] + [sum(int(u.sum()) for u in used)])
         growing.begin(total)
         nodes = [np.zeros(len(y), np.int32) for _, _, y, _, _ in parts]
+        level: dict[int, np.ndarray] = {}
         while growing.open:
-            sums = sum(histogram(bins, np.where(u, growing.slots(at), -1), g, h, len(growing.open), fs, n_bins)
-                       for (_, bins, *_), u, at, (g, h) in zip(parts, used, nodes, grad, strict=True))
+            counted, rest = growing.halves(level)
+            sums = sum(histogram(b, np.where(u, growing.slots(at, counted), -1), g, h, len(counted), fs, n_bins)
+                       for b, u, at, (g, h) in zip(at_bin, used, nodes, grad, strict=True))
+            now = dict(zip(counted, sums, strict=True))
+            for node, (above, other) in rest.items():
+                now[node] = level[above] - now[other]
+                now[node][:, :2][np.repeat(now[node][:, 2:] == 0, 2, axis=1)] = 0.0  # nothing is left of an empty bin
+            level = now
+            sums = np.stack([level[node] for node in growing.open])
             found = best_splits(sums.reshape(-1, STATS, n_bins + 1), p)
             gain = found["gain"].reshape(len(growing.open), len(fs))
             pick = np.argmax(gain, axis=1) + np.arange(len(gain)) * len(fs)
             growing.split([{**{k: x[j] for k, x in found.items()}, "f": fs[j % len(fs)]} if np.isfinite(found["gain"][j]) else None for j in pick.tolist()])
-            nodes = [growing.tree.by_bins(bins) for _, bins, *_ in parts]
+            nodes = [growing.tree.by_bins(bins, at) for (_, bins, *_), at in zip(parts, nodes, strict=True)]
         trees.append(growing.tree)
         value = np.array(growing.tree.value)
         for m, at in zip(margins, nodes, strict=True):
@@ -528,7 +565,7 @@ def _sums(trees: list[Tree], growing: Growing, init: float, fs: list[int], n_bin
                 g, h = gradients(init + _replayed(margin, bins, trees), y, w)
                 use = ~val & bagged(p, round_, row["block"], len(y))
                 slot = np.where(use, growing.slots(growing.tree.by_bins(bins)), -1)
-                one = histogram(bins, slot, g, h, len(growing.open), fs, n_bins)
+                one = histogram(places(bins, n_bins), slot, g, h, len(growing.open), fs, n_bins)
                 total = one if total is None else total + one
                 src = row["block"] if src is None else min(src, row["block"])
         if total is not None:
