@@ -50,6 +50,7 @@ LINE_WORDS = 6
 SIMILARITY, RECALL, ROWS = 0.8, 0.995, 3
 BLOCK = 20_000
 TEXT_BYTES = 4_000_000
+KINDS = ("paragraph", "passage", "line", "text")
 #: A word that stands for a line's end (no text has it: a lone control sign between blanks is left as it is, as \\x01\\x01).
 _LINE = "\x01"
 _B1 = np.uint64(0x9E3779B97F4A7C15)
@@ -182,20 +183,21 @@ def winnowed(key: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def short(line: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(begin, end) of the lines of ``LINE_WORDS`` words or more and the whole texts that have under ``MIN_WORDS``."""
+def short(line: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end) of the lines of ``LINE_WORDS`` words or more and the whole texts that have under ``MIN_WORDS``, and which are whole texts."""
     new_line = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))[:len(line)])
     begin = np.concatenate((new_line, offsets[:-1]))
     size = np.concatenate((np.diff(np.append(new_line, len(line))), np.diff(offsets)))
     least = np.repeat([LINE_WORDS, 1], [len(new_line), len(offsets) - 1])
     at = np.unique(np.stack((begin, size))[:, (size >= least) & (size < MIN_WORDS)], axis=1)
-    return at[0], at[0] + at[1]
+    doc = np.searchsorted(offsets, at[0], "right") - 1
+    return at[0], at[0] + at[1], at[1] == np.diff(offsets)[doc]
 
 
 def _cut(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
-    """(uid, doc_id, begin, size, words, bands, shingles): every unit; the last two of paragraphs only."""
-    kind = "uid long, doc_id long, begin int, size int, words long, bands array<long>, shingles array<int>"
-    names = [x.split()[0] for x in kind.split(", ")]
+    """(uid, doc_id, begin, size, kind, words, bands, shingles): every unit; the last two of paragraphs only."""
+    schema = "uid long, doc_id long, begin int, size int, kind byte, words long, bands array<long>, shingles array<int>"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,9 +211,10 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) ->
                 back = _power(len(h), _INVERSE)
                 more = winnowed(_mix((sums[np.minimum(np.arange(len(h)) + MIN_WORDS, len(h))] - sums[:-1]) * back + np.uint64(MIN_WORDS)), offsets)
                 more = np.setdiff1d(more, begin[end - begin == MIN_WORDS])
-                b0, e0 = short(line, offsets)
+                b0, e0, is_text = short(line, offsets)
+                kind = np.concatenate((np.where(whole, 0, 1), np.ones(len(more), np.int64), np.where(is_text, 3, 2))).astype(np.int8)
                 begin, end = np.concatenate((begin, more, b0)), np.concatenate((end, more + MIN_WORDS, e0))
-                whole = np.concatenate((whole, np.zeros(len(more) + len(b0), np.bool_)))
+                whole = kind == 0
                 if not len(begin):
                     continue
                 doc = np.searchsorted(offsets, begin, "right") - 1
@@ -226,11 +229,11 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) ->
                 none = np.zeros(n - k, np.int64)
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).take(pa.array(doc + lo)), b.column(1).take(pa.array(doc + lo)),
-                    pa.array((begin - offsets[doc]).astype(np.int32)), pa.array((end - begin).astype(np.int32)), pa.array(key.view(np.int64)),
+                    pa.array((begin - offsets[doc]).astype(np.int32)), pa.array((end - begin).astype(np.int32)), pa.array(kind), pa.array(key.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.concatenate((np.arange(k + 1) * bands, none + k * bands)).astype(np.int32)), pa.array(keys.ravel())),
                     pa.ListArray.from_arrays(pa.array(np.concatenate((first, [many.sum()], none + many.sum())).astype(np.int32)), pa.array(small))], names)
 
-    return map_texts(docs.select(F.monotonically_increasing_id().alias("uid"), docs[id_col].cast("long"), F.col(text_col).cast("string")), run, kind)
+    return map_texts(docs.select(F.monotonically_increasing_id().alias("uid"), docs[id_col].cast("long"), F.col(text_col).cast("string")), run, schema)
 
 
 def similar(keys: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -282,13 +285,13 @@ def similar(keys: list[int], sets: list[np.ndarray], similarity: float) -> list[
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
              recall: float = RECALL) -> DataFrame:
-    """(doc_id, uid, start_word, n_words, component_id, component_units, removed): every unit of the
-    components that have units in two rows or more."""
+    """(doc_id, uid, start_word, n_words, kind, component_id, component_units, removed): every unit of the
+    components that have units in two rows or more; ``kind`` is one of ``KINDS``."""
     spark = docs.sparkSession
     bands = tune(similarity, recall)
     every = cut_lineage(_cut(docs, id_col, text_col, bands, ROWS), "paragraph-units")
-    classes = every.groupBy("words").agg(F.min("uid").alias("u0"), F.max("uid").alias("u1"))
-    copied = classes.where("u0 < u1").select("words")
+    # counts shuffle as next to nothing beside their keys; units that repeat in one row alone go again at the end
+    copied = every.groupBy("words").agg(F.count("*").alias("n")).where("n > 1").select("words")
 
     lines = every.where(F.size("bands") > 0)
     banded = lines.select("words", F.explode_outer("bands").alias("band"))
@@ -312,7 +315,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     # classes that repeat by themselves or are linked; the others are single
     named = copied.join(roots, copied["words"] == roots["node"], "full").select(
         F.coalesce("words", "node").alias("words"), F.coalesce("root", "words").alias("root"))
-    found = cut_lineage(every.select("uid", "doc_id", "begin", "size", "words").join(named, "words").drop("words"), "repeated-units")
+    found = cut_lineage(every.select("uid", "doc_id", "begin", "size", "kind", "words").join(named, "words").drop("words"), "repeated-units")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid", "begin", (-F.col("size")).alias("s"))
     first = found.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("component_units"),
                                       F.min("uid").alias("u0"), F.max("uid").alias("u1")).where("u0 < u1")
@@ -320,5 +323,6 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     first = cut_lineage(first, "repeated-components")
     return found.join(first, "root").select(
         "doc_id", "uid", F.col("begin").cast("long").alias("start_word"), F.col("size").cast("long").alias("n_words"),
+        F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1).alias("kind"),
         F.col("root").alias("component_id"), "component_units",
         ((F.col("uid") != F.col("first.uid")) | (F.col("begin") != F.col("first.begin"))).alias("removed"))

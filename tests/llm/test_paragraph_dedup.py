@@ -92,6 +92,8 @@ def test_repeats_are_found(spark):
     docs = {frozenset((x.doc_id for x in c)) for c in by.values()}
     assert frozenset({1, 2, None}) in docs and frozenset({4, 5}) in docs and frozenset({6, 7}) in docs
     assert {x.doc_id for x in got} == {1, 2, 4, 5, 6, 7, None}
+    assert {x.kind for x in got if x.doc_id in (4, 5) and x.start_word in (0, 20) and x.n_words == 80} == {"paragraph"}
+    assert {x.kind for x in got if x.doc_id == 6} == {"passage"}
     for c in by.values():
         assert sum(not x.removed for x in c) >= 1 and min(x.doc_id for x in c if x.doc_id is not None) in {x.doc_id for x in c if not x.removed}
         assert all(x.component_units == len(c) for x in c)
@@ -107,6 +109,58 @@ def test_large_bands_are_cut_into_blocks(spark, monkeypatch):
     assert len({x.component_id for x in got}) == 1 and len(got) == 40 and sum(x.removed for x in got) == 39
 
 
+def plain_repeats(rows):
+    """Every unit that another row holds too, by equal words or, for paragraphs, similar shingles; with its class."""
+    units = []
+    for uid, (doc, text) in enumerate(rows):
+        h, stop, line, offsets = P.words_of(pa.array([text or ""]))
+        begin, end, whole = P.units(h, stop, line, offsets)
+        sums = [tuple(h[i:i + 25].tolist()) for i in range(max(len(h) - 24, 0))]
+        base = P._B1
+        keys = np.array([(np.array(s, np.uint64) * P._power(25, base)).sum() for s in sums] + [0] * (len(h) - len(sums)), np.uint64)
+        more = P.winnowed(P._mix(keys + np.uint64(25)), offsets) if len(h) else np.zeros(0, np.int64)
+        got = {(int(b), int(e)): bool(w) for b, e, w in zip(begin, end, whole, strict=True)}
+        for b in more.tolist():
+            got.setdefault((b, b + 25), False)
+        b0, e0, _ = P.short(line, offsets)
+        for b, e in zip(b0.tolist(), e0.tolist(), strict=True):
+            got.setdefault((b, e), False)
+        for (b, e), w in got.items():
+            words = tuple(h[b:e].tolist())
+            units.append((uid, doc, b, e - b, words, {words[i:i + 5] for i in range(len(words) - 4)} if w else None))
+    up = list(range(len(units)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(units):
+        for j in range(i):
+            b = units[j]
+            same = a[4] == b[4] or (a[5] and b[5] and len(a[5] & b[5]) >= 0.8 * len(a[5] | b[5]))
+            if same:
+                up[find(i)] = find(j)
+    groups = {}
+    for i, u in enumerate(units):
+        groups.setdefault(find(i), []).append(u)
+    return sorted(sorted(((u[1], u[2], u[3]) for u in g), key=repr) for g in groups.values() if len({u[0] for u in g}) > 1)
+
+
+def test_output_like_brute_force(spark):
+    """The whole table, over texts with copies, near copies, repeated rows, shared passages and one very long text."""
+    rng = random.Random(12)
+    p, q = para(rng, 70), para(rng, 45)
+    near = p.split()
+    near[30] = "changed"
+    rows = [(1, p), (2, p), (2, p), (3, " ".join(near)), (4, f"{para(rng, 33)} {q} {para(rng, 8)}"), (5, f"{q}\n{para(rng, 31)}"), (6, "few words"), (7, "few words"),
+            (8, f"{q}\n{para(rng, 12)}\n{q}"), (9, None), (10, ""), (11, "\n".join([para(rng, 40) for _ in range(150)] + [" ".join(near)]))]
+    got = {}
+    for x in P.repeated(spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, uid string").repartition(3)).collect():
+        got.setdefault(x.component_id, []).append((x.doc_id, x.start_word, x.n_words))
+    assert sorted(sorted(c, key=repr) for c in got.values()) == plain_repeats(rows)
+
+
 def test_empty_table(spark):
     assert P.repeated(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
@@ -158,4 +212,5 @@ def test_short_lines_and_texts(spark):
     got = {}
     for x in P.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         got.setdefault(x.component_id, []).append((x.doc_id, x.n_words, x.removed))
+        assert x.kind == ("text" if x.doc_id in (3, 4, 6, 7, 8) else "line")
     assert sorted(sorted(c) for c in got.values()) == [[(1, 12, False), (2, 12, True), (6, 12, True)], [(3, 2, False), (4, 2, True)], [(7, 2, False), (8, 2, True)]]
