@@ -128,6 +128,24 @@ def q_dedup(spark, sf_dir):
     return _cleaned(spark, sf_dir)
 
 
+@register("dedup_with_copies")
+def q_dedup_copies(spark, sf_dir):
+    """M1 = F2 + U2 on rows that do hold duplicates and missing labels."""
+    return PR.clean(S.unified_with_copies(spark, sf_dir))
+
+
+@register("prepared_table")
+def q_prepared(spark, sf_dir):
+    """M1-M6 as rows: deduplicated, clipped, filled, selected (others NULL),
+    scaled, with interactions; fitted on all rows."""
+    from ..functions import catalog as K
+    from ..operators import model as M
+    c = _cleaned_ckpt(spark, sf_dir)
+    x = M.add_interactions(PR.fit_prep(c).transform(c))
+    names = [*K.ALL_FEATURES, *[n for n, *_ in K.INTERACTIONS]]
+    return x.select(*K.META_COLUMNS, *[(F.col(f) if f in x.columns else F.lit(None)).cast("double").alias(f) for f in names])
+
+
 @register("winsorize")
 def q_winsorize(spark, sf_dir):
     """M2: bounds and clip counts per feature."""
@@ -575,7 +593,8 @@ def prep_extra_oracles() -> dict[str, str]:
     after = "ma AS (SELECT " + ", ".join(f"avg(CAST({f} IS NULL AS DOUBLE)) AS a_{f}" for f in feats) + " FROM imp)"
     rows = "\nUNION ALL\n".join(f"SELECT '{f}' AS feature, mr_{f} AS missing_before, a_{f} AS missing_after FROM st, ma"
                                  for f in feats)
-    return {"missing_before_after": round_sql(_prep_ctes().rstrip("\n") + ",\n" + after + "\n" + rows,
+    return {"dedup_with_copies": round_sql(_copies_sql() + "SELECT * FROM cleaned", feats), "prepared_table": _prepared_sql(),
+            "missing_before_after": round_sql(_prep_ctes().rstrip("\n") + ",\n" + after + "\n" + rows,
                                               ["missing_before", "missing_after"])}
 
 
@@ -661,3 +680,34 @@ best AS (SELECT feature, max({worth('lg', 'lh')} + {worth('g - lg', 'h - lh')} -
 SELECT t.feature, CAST(coalesce(len(ed.e), 0) AS INTEGER) AS n_cuts, CAST(t.mn AS BIGINT) AS n_missing, best.gain AS best_gain
 FROM (SELECT feature, count(*) - count(value) AS mn FROM lf GROUP BY feature) t LEFT JOIN ed USING (feature) LEFT JOIN best USING (feature)""")
     return round_sql(sql, ["best_gain"])
+
+
+def _copies_sql() -> str:
+    """The CTEs up to ``cleaned`` over the rows of ``sources.unified_with_copies``."""
+    from ..functions import catalog as K
+    n = "TRY_CAST(split_part(source_id, '_', 1) AS BIGINT)"
+    suffix = "substr(source_id, instr(source_id, '_'))"
+    u = (f"u AS (SELECT * FROM u0 UNION ALL BY NAME SELECT * REPLACE (CAST({n} + 10000000 AS VARCHAR) || {suffix} AS source_id, "
+         f"CASE WHEN {n} % 4 <> 0 THEN 1 - TARGET END AS TARGET) FROM u0 WHERE {n} IS NOT NULL UNION ALL BY NAME "
+         f"SELECT * REPLACE (CAST({n} + 20000000 AS VARCHAR) || {suffix} AS source_id, '{K.SOURCE_ORDER[0]}' AS source_dataset) "
+         f"FROM u0 WHERE {n} % 3 = 0)")
+    return _prep_head().replace("WITH u AS (", "WITH u0 AS (", 1).replace(",\ncleaned AS (", f",\n{u},\ncleaned AS (", 1) + "\n"
+
+
+def _prepared_sql() -> str:
+    from ..functions import catalog as K
+    from .oracle_features import round_sql
+    from .oracle_prep import _fscore_sql, _prep_ctes, _selected_sql
+    feats = list(K.ALL_FEATURES)
+    fits = ", ".join(f"quantile_cont({f}, 0.5) AS c_{f}, quantile_cont({f}, 0.75) - quantile_cont({f}, 0.25) AS s_{f}" for f in feats)
+    picks = ", ".join(f"bool_or(feature = '{f}') AS p_{f}" for f in feats)
+    cols = ", ".join(f"CAST(CASE WHEN p_{f} THEN ({f} - c_{f}) / (CASE WHEN s_{f} = 0 THEN 1 ELSE s_{f} END) END AS DOUBLE) AS {f}" for f in feats)
+    inter = []
+    for name, kind, a, b in K.INTERACTIONS:
+        e = {"mul": f"{a} * {b}", "div": f"{a} / (CASE WHEN {b} <> 0 THEN {b} END + 1e-6)", "sub": f"{a} - {b}", "scaled_mul": f"{a} * {b} / 100",
+             "ratio1": f"CASE WHEN {b} + 1 = 0 THEN NULL ELSE {a} / ({b} + 1) END"}[kind]
+        inter.append(f"CAST({e} AS DOUBLE) AS {name}")
+    return round_sql(
+        _prep_ctes().rstrip("\n") + f",\nfs AS ({_fscore_sql()}),\nsel AS ({_selected_sql()}),\nfit AS (SELECT {fits} FROM imp),\n"
+        f"pick AS (SELECT {picks} FROM sel),\nprep AS (SELECT source_id, TARGET, source_dataset, {cols} FROM imp, fit, pick)\n"
+        f"SELECT *, {', '.join(inter)} FROM prep", [*feats, *[n for n, *_ in K.INTERACTIONS]])

@@ -7,6 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import catalog as K
 from ..operators import features as FE
 from ..sources import driver_roles as DR
 
@@ -58,3 +59,22 @@ def cz_features(spark, sf_dir) -> DataFrame:
 def unified(spark, sf_dir) -> DataFrame:
     return FE.unify([hc_features(spark, sf_dir), gm_features(spark, sf_dir),
                      lc_features(spark, sf_dir), cz_features(spark, sf_dir)])
+
+
+@memo_plan
+def unified_with_copies(spark, sf_dir) -> DataFrame:
+    """The unified table and further rows of the same feature vectors: every
+    row again under a later number of its source, without a label where the
+    number is divisible by 4 and else with the other label, and every third
+    once more as a row of the first source, so that rows without labels and
+    duplicates within and across sources occur."""
+    u = unified(spark, sf_dir)
+    n = FE.id_number()
+    suffix = F.expr("substring(source_id, instr(source_id, '_'))")
+    later = u.filter(n.isNotNull()).withColumns({
+        "source_id": F.concat((n + 10_000_000).cast("string"), suffix),
+        "TARGET": F.when(n % 4 != 0, 1 - F.col("TARGET"))})
+    first = u.filter(n % 3 == 0).withColumns({
+        "source_id": F.concat((n + 20_000_000).cast("string"), suffix),
+        "source_dataset": F.lit(K.SOURCE_ORDER[0])})
+    return FE.unify([u, later, first])

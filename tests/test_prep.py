@@ -26,6 +26,50 @@ def test_dedup_first_row_wins(spark):
     assert out == {"2_HC": 1, "3_GMSC": 0}    # numeric id order inside the first source; NULL label dropped
 
 
+def _plain_first(rows):
+    best = {}
+    for sid, t, src, d in rows:
+        if t is None:
+            continue
+        head = sid.split("_")[0]
+        n = int(head) if head.lstrip("-").isdigit() else None
+        rank = (K.SOURCE_ORDER.index(src) if src in K.SOURCE_ORDER else len(K.SOURCE_ORDER), n is None, n or 0, sid)
+        key = tuple((k, v) for k, v in sorted(d.items()) if v is not None)
+        key = tuple((k, v + 0.0) for k, v in key)
+        if key not in best or rank < best[key][0]:
+            best[key] = (rank, sid, t)
+    return sorted((sid, t) for _, sid, t in best.values())
+
+
+def _duplicated_rows():
+    rng = np.random.default_rng(4)
+    names = [K.ALL_FEATURES[0], K.ALL_FEATURES[1], K.ALL_FEATURES[70]]
+    rows = []
+    for i in range(700):
+        d = {f: (None if rng.random() < 0.3 else float(rng.integers(0, 4) * rng.choice([1.0, -1.0]))) for f in names}
+        src = rng.choice(K.SOURCE_ORDER)
+        rows.append((f"{rng.integers(0, 300)}_{src[:2]}" if i % 9 else f"x{i}_HC", [0, 1, None][i % 3], str(src), d))
+    rows += [("05_HC", 1, K.SOURCE_HC, {names[0]: 99.0}), ("5_HC", 0, K.SOURCE_HC, {names[0]: 99.0}), ("7_HC", 0, K.SOURCE_HC, {names[1]: 99.0}),
+             ("7_HC", 0, K.SOURCE_HC, {names[1]: 99.0}), ("8_HC", 0, "elsewhere", {names[1]: 99.0}), ("1_HC", 1, K.SOURCE_HC, {names[1]: None, names[0]: -0.0})]
+    return rows
+
+
+def test_dedup_like_a_plain_loop(spark):
+    rows = _duplicated_rows()
+    got = PR.clean(_table(spark, rows).repartition(5))
+    assert sorted((r.source_id, r.TARGET) for r in got.collect()) == _plain_first(rows)
+    assert "SortAggregate" not in got._jdf.queryExecution().toString()
+
+
+def test_dedup_keeps_vectors_that_collide(spark, monkeypatch):
+    """All rows under a handful of keys: only equal vectors are duplicates."""
+    rows = _duplicated_rows()
+    few = lambda feats: [F.when(F.col(feats[0]).isNull(), 1).otherwise(2).cast("long").alias("_k1"), F.lit(0).cast("long").alias("_k2")]
+    monkeypatch.setattr(PR, "row_keys", few)
+    got = PR.clean(_table(spark, rows).repartition(3))
+    assert sorted((r.source_id, r.TARGET) for r in got.collect()) == _plain_first(rows)
+
+
 def test_fit_prep_properties(spark):
     rng = np.random.default_rng(1)
     rows = []
