@@ -473,6 +473,55 @@ def q_stream(spark, sf_dir):
         "status", "improvement_tips")
 
 
+def _replayed_stream(spark, sf_dir, scorer=None):
+    """Requests dropped as files, some of them twice, scored once each; the sink and its base folder."""
+    import os
+
+    from ..streaming.scorer import request_stream, start_deduplicated
+    base = _scratch(spark, "stream")
+    src, sink, ck = (os.path.join(base, x) for x in ("in", "out", "ckpt"))
+    req = _requests(spark, sf_dir).withColumn("submitted_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("request_id") % 600))
+    req.repartition(4, "request_id").write.parquet(src)
+    req.filter(F.col("request_id") % 3 == 0).coalesce(1).write.mode("append").parquet(src)   # sent again
+    req.repartition(2, "request_id").write.mode("append").parquet(src)                       # replayed
+    start_deduplicated(request_stream(spark, src, req.schema, max_files_per_trigger=3), sink, ck, scorer=scorer).awaitTermination()
+    return sink, base
+
+
+_STREAM_COLUMNS = ["request_id", "p", "credit_score", "score_band", "default_probability_pct", "recommendation", "status", "improvement_tips"]
+
+
+@register("stream_score_once")
+def q_stream_once(spark, sf_dir):
+    """ST1: replayed request files change nothing; equals the batch."""
+    sink, _ = _replayed_stream(spark, sf_dir)
+    return spark.read.parquet(sink).select(*_STREAM_COLUMNS)
+
+
+@register("stream_summary")
+def q_stream_summary(spark, sf_dir):
+    """ST1 + A22: the batch summary as a running aggregate over the scored
+    stream; after the last micro-batch it equals the batch's."""
+    import os
+
+    from ..streaming.scorer import latest_summary, start_summary
+    sink, base = _replayed_stream(spark, sf_dir)
+    out = os.path.join(base, "summary")
+    start_summary(spark, sink, out, os.path.join(base, "summary-ckpt")).awaitTermination()
+    return latest_summary(spark, out)
+
+
+@register("stream_score_trained")
+def q_stream_trained(spark, sf_dir):
+    """ST1 + M13: the boosted trees and their preparation on the stream (no
+    oracle: a trained model)."""
+    from ..operators.serve import BoostScorer
+    from . import pipeline as PL
+    t = PL.boosted(spark, sf_dir)
+    sink, _ = _replayed_stream(spark, sf_dir, BoostScorer(t.model, t.prep))
+    return spark.read.parquet(sink).select(*_STREAM_COLUMNS)
+
+
 @register("request_score")
 def q_request_score(spark, sf_dir):
     """M13 + K6 + K7: the trained model and its preparation, saved, loaded and
@@ -549,6 +598,88 @@ def q_batch_csv(spark, sf_dir):
                       "default_probability_pct", "recommendation", "status")
 
 
+def _broken_batch(spark, sf_dir):
+    """The request batch as CSV lines, of which some have too few or too many
+    fields, an open quote, or an income that is no number; read and scored.
+    Returns (scored rows, rejected lines)."""
+    from ..sources import readers as RD
+    from ..streaming.scorer import score_frame
+    path = _scratch(spark, "broken-csv")
+    req = _requests(spark, sf_dir)
+    k = F.col("request_id") % 50
+    income = F.when(k == 2, F.lit("unknown")).otherwise(F.col("annual_income").cast("string"))
+    text = [F.coalesce(income if c == "annual_income" else F.col(c).cast("string"), F.lit("")) for c in req.columns]
+    line = F.concat_ws(",", *text)
+    line = (F.when(k == 0, F.concat_ws(",", *text[:5])).when(k == 1, F.concat(line, F.lit(",one,two")))
+            .when(k == 3, F.concat(F.col("request_id").cast("string"), F.lit(',"'), line)).otherwise(line))
+    # one column under the whole header's name: lines are written as they are
+    (req.select(line.alias(",".join(req.columns))).write.option("header", True).option("sep", "\u0001").option("quote", "")
+     .option("escape", "").csv(path))
+    rows, rejects = RD.read_request_batch_with_rejects(spark, path)
+    return score_frame(rows), rejects
+
+
+@register("batch_score_rejects")
+def q_batch_rejects(spark, sf_dir):
+    """S6 + M15: a batch with broken lines: each request scored, failed (an
+    income that is no number) or rejected with its line."""
+    scored, rejects = _broken_batch(spark, sf_dir)
+    ok = F.col("status") == "success"
+    rows = scored.select(F.col("request_id").cast("long").alias("request_id"), F.when(ok, F.col("p")).alias("p"), "credit_score", "score_band",
+                         "default_probability_pct", "recommendation", F.when(ok, "success").otherwise("error").alias("status"))
+    lost = rejects.select(F.regexp_extract("line", r"(\d+)", 1).cast("long").alias("request_id"), F.lit("rejected").alias("status"))
+    return rows.unionByName(lost, allowMissingColumns=True)
+
+
+@register("batch_summary_rejects")
+def q_summary_rejects(spark, sf_dir):
+    """A22 + U3 + M15: the summary of a batch of which some rows fail."""
+    scored, _ = _broken_batch(spark, sf_dir)
+    return SC.batch_summary(scored)
+
+
+@register("scored_batch_file")
+def q_scored_file(spark, sf_dir):
+    """K4 + U3: the scored batch file, written with its summary row and read back as text."""
+    from ..sources import sinks as SK
+    path = _scratch(spark, "scored-file")
+    scored, _ = _broken_batch(spark, sf_dir)
+    cols = ["request_id", "credit_score", "score_band", "default_probability_pct", "recommendation", "status"]
+    SK.write_scored_batch(scored.select(*cols[:-1], F.when(F.col("status") == "success", "success").otherwise("error").alias("status")), path)
+    return spark.read.option("header", True).csv(path).select(*cols)
+
+
+@register("published_table")
+def q_published(spark, sf_dir):
+    """K1 + S5: the unified table published as a checked version, twice, and read back."""
+    from ..sources import sinks as SK
+    root = _scratch(spark, "published")
+    u = _u(spark, sf_dir)
+    SK.publish(u.filter(F.col("TARGET") == 0), root)
+    SK.publish(u, root)
+    return SK.read_published(spark, root).select(*u.columns)
+
+
+@register("percent_fields")
+def q_percent(spark, sf_dir):
+    """Request fields entered in percent, as fractions."""
+    req = _requests(spark, sf_dir)
+    entered = req.withColumns({f: F.col(f) * 100 for f in SC.PERCENT_FIELDS})
+    return SC.percent_to_fraction(entered).select("request_id", *SC.PERCENT_FIELDS)
+
+
+@register("feature_list_file")
+def q_feature_list(spark, sf_dir):
+    """K2: the selected-feature list, written as a table and as names, and read back."""
+    import os
+
+    from ..sources import sinks as SK
+    path = _scratch(spark, "features")
+    SK.write_feature_list(PR.select_features(_imputed(spark, sf_dir)), path)
+    names = spark.read.text(os.path.join(path, "names")).select(F.col("value").alias("feature"))
+    return spark.read.parquet(os.path.join(path, "table")).join(names, "feature").select("rank", "feature", "forced")
+
+
 @register("eda_report")
 def q_report_lines(spark, sf_dir):
     """K3: the profile summary report as text lines (no oracle)."""
@@ -604,7 +735,29 @@ def source_oracles(existing: dict[str, str]) -> dict[str, str]:
     audit = "\nUNION ALL\n".join(
         f"SELECT '{n}' AS table_name, (SELECT count(*) FROM {n}) AS n_rows, "
         f"(SELECT count(*) FROM (DESCRIBE SELECT * FROM {n})) AS n_columns, true AS present" for n in names)
-    return {"source_audit": audit, "lc_features_csv": feature_oracles()["lc_features"],
+    once = (f"SELECT s.*, t.improvement_tips FROM ({existing['score_from_prob']}) s JOIN ({existing['tips_and_metrics']}) t USING (request_id)")
+    ok = "request_id % 50 <> 2"
+    out = ["credit_score", "score_band", "default_probability_pct"]
+    broken = (f"SELECT request_id, CASE WHEN {ok} THEN p END AS p, {', '.join(f'CASE WHEN {ok} THEN {c} END AS {c}' for c in out)}, "
+              f"CASE WHEN {ok} THEN recommendation ELSE 'Error' END AS recommendation, CASE WHEN {ok} THEN 'success' ELSE 'error' END AS status "
+              f"FROM ({existing['score_from_prob']}) s WHERE request_id % 50 NOT IN (0, 1, 3)")
+    summary = existing["batch_summary"]
+    from_scored = summary.rindex("FROM scored")
+    summary_broken = (summary[:from_scored] + "FROM (SELECT * REPLACE (CASE WHEN request_id % 50 = 2 THEN 'error' ELSE status END AS status) FROM scored "
+                      "WHERE request_id % 50 NOT IN (0, 1, 3)) scored" + summary[from_scored + len("FROM scored"):])
+    text = (f"SELECT CAST(request_id AS VARCHAR) AS request_id, CAST(credit_score AS VARCHAR) AS credit_score, score_band, "
+            f"CAST(default_probability_pct AS VARCHAR) AS default_probability_pct, recommendation, status FROM ({broken}) b "
+            f"UNION ALL SELECT NULL, summary_line, summary_score, summary_probability, summary_recommendations, NULL FROM ({summary_broken}) m")
+    fields = ["cc_utilization", "late_payment_rate", "approval_rate", "docs_rate"]
+    from .oracle_features import round_sql
+    from .roles_sql import with_roles
+    return {"stream_score_once": once, "stream_summary": summary, "batch_summary_rejects": summary_broken, "scored_batch_file": text,
+            "batch_score_rejects": broken + " UNION ALL SELECT request_id, NULL, NULL, NULL, NULL, NULL, 'rejected' FROM "
+                                            f"({existing['score_from_prob']}) s WHERE request_id % 50 IN (0, 1, 3)",
+            "published_table": feature_oracles()["unify_sources"],
+            "feature_list_file": f"SELECT rank, feature, forced FROM ({existing['select_topk']}) s",
+            "percent_fields": round_sql(with_roles("score_requests") + f"SELECT request_id, {', '.join(fields)} FROM score_requests", fields),
+            "source_audit": audit, "lc_features_csv": feature_oracles()["lc_features"],
             "batch_score_csv": existing["score_from_prob"],
             "stream_score": f"SELECT s.*, t.improvement_tips FROM ({existing['score_from_prob']}) s "
                             f"JOIN ({existing['tips_and_metrics']}) t USING (request_id)"}

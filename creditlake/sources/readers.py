@@ -113,6 +113,10 @@ def read_source(spark: SparkSession, key: str, path: str, tolerant: bool = True)
                           prefixes=SOURCE_PREFIXES.get(key))
 
 
+#: Column of the lines that can't be read.
+_CORRUPT = "_corrupt_line"
+
+
 def with_ids(df: DataFrame, col: str = "id") -> DataFrame:
     """Ids for a source file that has none. They are given once, at
     ingest, and written with the rows, so every later read sees the same."""
@@ -150,6 +154,28 @@ def read_request_batch(spark: SparkSession, path: str, max_rows: int | None = No
     return df
 
 
+def read_lines_with_rejects(spark: SparkSession, path: str, sep: str = ",") -> tuple[DataFrame, DataFrame]:
+    """A delimited file with a header as (rows, rejects): all columns of the
+    well-formed lines as text, and the lines with too few or too many fields or
+    a quote that doesn't close, as (file, line). The lines are parsed once and
+    written, so both sides are counted from the same read."""
+    names = spark.read.option("header", True).option("sep", sep).option("escape", "\"").csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _CORRUPT]])
+    raw = (spark.read.schema(schema).option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option("escape", "\"")
+           .option("columnNameOfCorruptRecord", _CORRUPT).csv(path).withColumn("_file", F.col("_metadata.file_path")))
+    raw = cut_lineage(raw, "parsed-lines")
+    bad = F.col(_CORRUPT).isNotNull()
+    return raw.filter(~bad).select(*[F.col(f"`{n}`") for n in names]), raw.filter(bad).select(F.col("_file").alias("file"), F.col(_CORRUPT).alias("line"))
+
+
+def read_request_batch_with_rejects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """S6 with a channel for what can't be read: the batch as ``read_request_batch``
+    gives it, and its rejected lines, where the former fails on the first."""
+    rows, rejects = read_lines_with_rejects(spark, path)
+    rows = normalise_headers(rows)
+    return rows.select(*[null_tokens(F.col(f"`{c}`")).alias(c) if c != "request_id" else F.col(c) for c in rows.columns]), rejects
+
+
 def audit(spark: SparkSession, tables: dict[str, str], expected: dict[str, T.StructType] | None = None) -> DataFrame:
     """Per table: rows, columns, expected columns that are missing, bytes,
     and whether it is there at all (an absent one has NULL counts). Row counts
