@@ -32,6 +32,8 @@ KEY_FEATURES = ["credit_to_income", "age_years", "inst_late_payment_rate", "ext_
                 "bureau_debt_to_credit_ratio"]
 KEY_STAT_FEATURES = ["age_years", "credit_to_income", "inst_late_payment_rate", "ext_source_mean"]
 CORR_FEATURE_COUNT = 30
+# Signals shown only where enough applicants have them.
+GUARDED_SIGNALS = ["has_savings", "checking_account_ordinal", "employment_stability"]
 
 
 def features_of(df: DataFrame) -> list[str]:
@@ -87,11 +89,19 @@ def profile_keys(df: DataFrame, include_zero_late: bool = True) -> dict[str, Col
     }
 
 
-def default_rate_by_key(df: DataFrame, include_zero_late: bool = True) -> DataFrame:
-    """A10: default rate for every key in one pass (an Expand of the rows into
+def alternative_signals(df: DataFrame, min_present: int = 100) -> DataFrame:
+    """A10 + F4: default rates by the signals for applicants without a credit
+    history; a signal with ``min_present`` values or fewer is left out."""
+    known = df.agg(*[F.count(f).alias(f) for f in GUARDED_SIGNALS]).first()  # a few numbers
+    return default_rate_by_key(df, keys=[f for f in GUARDED_SIGNALS if known[f] > min_present] + ["late_bucket"])
+
+
+def default_rate_by_key(df: DataFrame, include_zero_late: bool = True, keys: list[str] | None = None) -> DataFrame:
+    """A10: default rate for every key (or those named) in one pass (an Expand of the rows into
     one (dimension, key) pair per key, partial-aggregated before the shuffle,
     i.e. grouping sets). Rows whose key is missing are dropped per key."""
-    keys = profile_keys(df, include_zero_late)
+    every = profile_keys(df, include_zero_late)
+    keys = {k: e for k, e in every.items() if keys is None or k in keys}
     pairs = F.array(*[F.struct(F.lit(k).alias("dimension"), e.cast("string").alias("key"))
                       for k, e in keys.items()])
     x = df.select(F.col("TARGET"), F.explode(pairs).alias("p")).select("p.dimension", "p.key", "TARGET")
@@ -429,14 +439,45 @@ def key_stats(df: DataFrame, features=KEY_STAT_FEATURES) -> DataFrame:
 
 
 # ------------------------------------------------------------------- A17
+def histogram(df: DataFrame, features: list[str], bins: int = 40) -> DataFrame:
+    """Counts of each feature's values in ``bins`` equal bins from its least
+    to its greatest value (NULLs skipped): (feature, bin, bin_lo, bin_hi, count).
+
+    Two wide passes: one aggregate for the ranges, then one that counts all bins of
+    a feature in each task (an array of ``bins`` numbers a feature), so rows are neither
+    exploded nor shuffled."""
+    feats = [f for f in features if f in df.columns]
+    v = {f: F.col(f).cast("double") for f in feats}
+    ends = df.agg(*[x for f in feats for x in (F.min(v[f]).alias(f"a_{f}"), F.max(v[f]).alias(f"b_{f}"))]).first()  # two numbers a feature
+    feats = [f for f in feats if ends[f"a_{f}"] is not None]
+    rows, aggs = [], []
+    for f in feats:
+        lo, hi = ends[f"a_{f}"], ends[f"b_{f}"]
+        if lo == hi:
+            lo, hi = lo - 0.5, hi + 0.5
+        width = (hi - lo) / bins
+        b = F.least(F.floor((v[f] - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))
+        for k in range(bins):
+            aggs.append(F.count_if(b == k).alias(f"c{len(rows)}"))
+            rows.append((f, k, lo + k * width, lo + (k + 1) * width))
+    schema = "feature string, bin int, bin_lo double, bin_hi double, count long"
+    got: list = []
+    for at in range(0, len(aggs), 40 * bins):  # a bounded number of counters a pass
+        got += list(df.agg(*aggs[at:at + 40 * bins]).first())
+    return df.sparkSession.createDataFrame([(*r, n) for r, n in zip(rows, got, strict=True)], schema)
+
+
 def class_histogram(df: DataFrame, features=KEY_FEATURES, bins: int = 50,
-                    min_present: int = 100) -> DataFrame:
+                    min_present: int = 100, cap: bool = True) -> DataFrame:
     """Class-conditional density histograms, values capped above at the
-    feature's 99th percentile; each class gets its own [min, max] range."""
+    feature's 99th percentile (unless ``cap`` is off); each class gets its own [min, max] range."""
     feats = [f for f in features if f in df.columns]
     lf = long_form(df, feats, keep=["TARGET"]).filter(F.col("value").isNotNull())
-    present = lf.groupBy("feature").agg(F.count(F.lit(1)).alias("_n")).join(
-        quantiles(df, feats, probs=(0.99,)).withColumnRenamed("q99", "cap"), "feature")
+    present = lf.groupBy("feature").agg(F.count(F.lit(1)).alias("_n"))
+    if cap:
+        present = present.join(quantiles(df, feats, probs=(0.99,)).withColumnRenamed("q99", "cap"), "feature")
+    else:
+        present = present.withColumn("cap", F.lit(float("inf")))
     lf = lf.join(F.broadcast(present.filter(F.col("_n") > min_present)), "feature")
     lf = lf.filter(F.col("TARGET").isNotNull()).withColumn("x", F.least("value", "cap"))
     rng = lf.groupBy("feature", "TARGET").agg(F.min("x").alias("lo"), F.max("x").alias("hi"),

@@ -687,6 +687,42 @@ def q_report_lines(spark, sf_dir):
     return SK.report_lines(_u(spark, sf_dir))
 
 
+@register("eda_report_full")
+def q_report_full(spark, sf_dir):
+    """K3 + F4: the whole summary report, line by line."""
+    from ..session import cut_lineage
+    from ..sources import sinks as SK
+    return SK.full_report(cut_lineage(_u(spark, sf_dir), "report-input"))
+
+
+@register("alternative_signals")
+def q_signals(spark, sf_dir):
+    """A10 + F4: guarded default rates of the alternative signals."""
+    return P.alternative_signals(_u(spark, sf_dir))
+
+
+@register("ext_score_histogram")
+def q_ext_histogram(spark, sf_dir):
+    """A17 + F4: external score by class in 40 bins, uncapped."""
+    return P.class_histogram(_u(spark, sf_dir), ["ext_source_mean"], bins=40, cap=False)
+
+
+@register("scaling_histograms")
+def q_scaling_histograms(spark, sf_dir):
+    """A17 + F4: 40-bin counts before (clipped to the 1st and 99th percentiles) and
+    after scaling, of the first three features with more than 1000 values."""
+    from ..functions import catalog as K
+    from ..session import cut_lineage
+    c = _cleaned_ckpt(spark, sf_dir)
+    after = cut_lineage(PR.fit_prep(c).transform(c), "scaled")
+    feats = [f for f in K.ALL_FEATURES if f in after.columns]
+    known = c.agg(*[F.count(f).alias(f) for f in feats]).first()  # a number a feature
+    feats = [f for f in feats if known[f] > 1000][:3]
+    ends = {r["feature"]: r for r in P.quantiles(c, feats, probs=(0.01, 0.99), materialize=False).collect()} if feats else {}
+    before = c.select(*[F.when(F.col(f).isNotNull(), F.least(F.greatest(F.col(f), F.lit(ends[f]["q01"])), F.lit(ends[f]["q99"]))).alias(f) for f in feats])
+    return P.histogram(before, feats).withColumn("stage", F.lit("before")).unionByName(P.histogram(after, feats).withColumn("stage", F.lit("after")))
+
+
 def oracles() -> dict[str, str]:
     from .oracle_prep import prep_oracles, profile_oracles
     from .oracle_score import score_oracles
@@ -698,6 +734,7 @@ def oracles() -> dict[str, str]:
     out.update(source_oracles(out))
     out.update(prep_extra_oracles())
     out.update(rules_oracle())
+    out.update(report_oracles(out))
     return out
 
 
@@ -864,3 +901,77 @@ def _prepared_sql() -> str:
         _prep_ctes().rstrip("\n") + f",\nfs AS ({_fscore_sql()}),\nsel AS ({_selected_sql()}),\nfit AS (SELECT {fits} FROM imp),\n"
         f"pick AS (SELECT {picks} FROM sel),\nprep AS (SELECT source_id, TARGET, source_dataset, {cols} FROM imp, fit, pick)\n"
         f"SELECT *, {', '.join(inter)} FROM prep", [*feats, *[n for n, *_ in K.INTERACTIONS]])
+
+
+def report_oracles(existing: dict[str, str]) -> dict[str, str]:
+    from ..functions import catalog as K
+    from .oracle_features import round_sql, unified_sql
+    feats = list(K.ALL_FEATURES)
+    pct = lambda x, n: f"printf('%.{n}f%%', {x} * 100)"
+    key = ["age_years", "credit_to_income", "inst_late_payment_rate", "ext_source_mean"]
+    rates = " UNION ALL ".join(f"SELECT {i} AS o, '{f}' AS feature, mr_{f} AS r FROM mr" for i, f in enumerate(feats))
+    sources = " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(K.SOURCE_ORDER))
+    heads = ["[1] DATASET OVERVIEW", "[2] CLASS IMBALANCE", "[3] NEW USER ANALYSIS", "[4] TOP 15 MOST MISSING FEATURES", "[5] FEATURES WITH 0% MISSING (COMPLETE)",
+             "[6] KEY STATISTICS"]
+    lines = [(0, 0, f"SELECT '{'=' * 60}' AS t"), (0, 1, "SELECT 'ALTERNATIVE CREDIT SCORING — EDA SUMMARY REPORT' AS t"), (0, 2, f"SELECT '{'=' * 60}' AS t")]
+    for i, h in enumerate(heads, 1):
+        lines += [(i, 0, "SELECT '' AS t"), (i, 1, f"SELECT '{h}' AS t")]
+    parts = [f"SELECT {s} AS s, {k} AS k, t FROM ({q}) x" for s, k, q in lines]
+    parts.append(f"SELECT 1, 2 + (CASE source_dataset {sources} END), printf('  %-30s %s rows  default=%s', source_dataset, lpad(printf('%,d', count(*)), 8, ' '), "
+                 f"{pct('avg(TARGET)', 2)}) FROM u GROUP BY source_dataset")
+    parts.append("SELECT 1, 90, ''")
+    parts.append(f"SELECT 1, 91, printf('  TOTAL: %,d rows | Default rate: %s', count(*), {pct('avg(TARGET)', 2)}) FROM u")
+    parts.append(f"SELECT 1, 92, '  Features available: {len(feats)}/80'")
+    for k, (label, v) in enumerate((("No Default: ", 0), ("Default:    ", 1)), 2):
+        parts.append(f"SELECT 2, {k}, printf('  {label}%,d (%s)', count(*) FILTER (WHERE TARGET = {v}), {pct(f'count(*) FILTER (WHERE TARGET = {v}) / count(*)', 1)}) FROM u")
+    parts.append("SELECT 2, 4, printf('  Imbalance ratio: %.1f:1', count(*) FILTER (WHERE TARGET = 0) / count(*) FILTER (WHERE TARGET = 1)) FROM u")
+    new = "count(*) FILTER (WHERE has_loan_history = 0)"
+    parts.append(f"SELECT 3, 2, printf('  New users (no loan history): %,d (%s)', {new}, {pct(f'{new} / count(*)', 1)}) FROM u")
+    for k, (label, v) in enumerate((("New user", 0), ("Existing user", 1)), 3):
+        parts.append(f"SELECT 3, {k}, '  {label} default rate: ' || {pct(f'avg(TARGET) FILTER (WHERE has_loan_history = {v})', 2)} FROM u HAVING {new} > 0")
+    parts.append(f"SELECT 4, 1 + row_number() OVER (ORDER BY r DESC, o), printf('  %-45s %s  %s', feature, lpad({pct('r', 1)}, 6, ' '), "
+                 "repeat('█', CAST(floor(r * 20) AS INTEGER))) FROM rt QUALIFY row_number() OVER (ORDER BY r DESC, o) <= 15")
+    parts.append("SELECT 5, 2 + o, '   ' || feature FROM rt WHERE r = 0")
+    for i, f in enumerate(key):
+        parts += [f"SELECT 6, {2 + 3 * i}, '' FROM u HAVING count({f}) > 10", f"SELECT 6, {3 + 3 * i}, '  {f}:' FROM u HAVING count({f}) > 10",
+                  f"SELECT 6, {4 + 3 * i}, printf('    mean=%.3f | median=%.3f | std=%.3f | missing=%s', avg({f}), quantile_cont({f}, 0.5), stddev_samp({f}), "
+                  f"{pct(f'avg(CAST({f} IS NULL AS DOUBLE))', 1)}) FROM u HAVING count({f}) > 10"]
+    mr = ", ".join(f"avg(CAST({f} IS NULL AS DOUBLE)) AS mr_{f}" for f in feats)
+    report = (f"WITH u AS ({unified_sql()}),\nmr AS (SELECT {mr} FROM u),\nrt AS ({rates}),\nall_lines AS ({' UNION ALL '.join(parts)})\n"
+              "SELECT CAST(row_number() OVER (ORDER BY s, k) AS INTEGER) AS line_no, t AS text FROM all_lines")
+    signals = ["has_savings", "checking_account_ordinal", "employment_stability"]
+    guards = " OR ".join(f"(dimension = '{f}' AND (SELECT count({f}) FROM u2) > 100)" for f in signals)
+    u2 = f"WITH u2 AS ({unified_sql()})\n"
+    hist = (u2 + """, x AS (SELECT TARGET, ext_source_mean AS v FROM u2 WHERE ext_source_mean IS NOT NULL AND TARGET IS NOT NULL AND (SELECT count(ext_source_mean) FROM u2) > 100),
+r0 AS (SELECT TARGET, min(v) AS a, max(v) AS b, count(*) AS n FROM x GROUP BY TARGET),
+r AS (SELECT TARGET, n, CASE WHEN a = b THEN a - 0.5 ELSE a END AS lo, CASE WHEN a = b THEN b + 0.5 ELSE b END AS hi FROM r0),
+b AS (SELECT x.TARGET, CAST(least(floor((v - lo) / ((hi - lo) / 40)), 39) AS INTEGER) AS bin, lo, hi, n FROM x JOIN r USING (TARGET))
+SELECT 'ext_source_mean' AS feature, TARGET, bin, lo + bin * ((hi - lo) / 40) AS bin_lo, lo + (bin + 1) * ((hi - lo) / 40) AS bin_hi, count(*) AS count,
+    count(*) / (n * ((hi - lo) / 40)) AS density FROM b GROUP BY TARGET, bin, lo, hi, n""")
+    return {"eda_report_full": report,
+            "alternative_signals": u2 + f"SELECT * FROM ({existing['default_rate_by_key']}) d WHERE dimension = 'late_bucket' OR {guards}",
+            "ext_score_histogram": round_sql(hist, ["bin_lo", "bin_hi", "density"]),
+            "scaling_histograms": _scaling_sql()}
+
+
+def _scaling_sql() -> str:
+    from ..functions import catalog as K
+    from .oracle_features import round_sql
+    prepared = _prepared_sql()
+    head, body = prepared.split("WITH u AS (", 1)
+    # the CTEs of the prepared table, without the rounding around its last SELECT
+    ctes = "WITH u AS (" + body[:body.rindex("SELECT *, ")]
+    feats = list(K.ALL_FEATURES)
+    rows = []
+    for stage in ("before", "after"):
+        for f in feats:
+            table = "prep" if stage == "after" else f"(SELECT CASE WHEN {f} IS NOT NULL THEN least(greatest({f}, lo_{f}), hi_{f}) END AS {f} FROM cleaned, bw) y"
+            rows.append(f"SELECT '{stage}' AS stage, '{f}' AS feature, k AS bin, lo + k * w AS bin_lo, lo + (k + 1) * w AS bin_hi, "
+                        f"(SELECT count(*) FROM {table} WHERE CAST(least(floor(({f} - lo) / w), 39) AS INTEGER) = k) AS count FROM "
+                        f"(SELECT CASE WHEN a = b THEN a - 0.5 ELSE a END AS lo, (CASE WHEN a = b THEN 1.0 ELSE b - a END) / 40 AS w FROM "
+                        f"(SELECT min({f}) AS a, max({f}) AS b FROM {table}) e) r, (SELECT CAST(unnest(range(0, 40)) AS INTEGER) AS k) ks "
+                        f"WHERE lo IS NOT NULL AND '{f}' IN (SELECT feature FROM three)")
+    ords = " ".join(f"WHEN '{f}' THEN {i}" for i, f in enumerate(feats))
+    many = " OR ".join(f"(feature = '{f}' AND (SELECT count({f}) FROM cleaned) > 1000)" for f in feats)
+    three = f"three AS (SELECT feature FROM sel WHERE {many} ORDER BY CASE feature {ords} END LIMIT 3)"
+    return round_sql(ctes.rstrip() + f",\n{three}\n" + "\nUNION ALL\n".join(rows), ["bin_lo", "bin_hi"])

@@ -108,9 +108,11 @@ def _try_cast(c: Column, t: T.DataType) -> Column:
 
 
 def read_source(spark: SparkSession, key: str, path: str, tolerant: bool = True) -> DataFrame:
-    """Read one of the twelve credit source files by its key."""
-    return read_csv_typed(spark, path, SOURCE_SCHEMAS[key], sep=SOURCE_SEPARATOR.get(key, ","), tolerant=tolerant,
-                          prefixes=SOURCE_PREFIXES.get(key))
+    """Read one of the twelve credit source files by its key (S1-S4). Loans of
+    the peer-lending source get ids if the file has none (P3, D7)."""
+    df = read_csv_typed(spark, path, SOURCE_SCHEMAS[key], sep=SOURCE_SEPARATOR.get(key, ","), tolerant=tolerant,
+                        prefixes=SOURCE_PREFIXES.get(key))
+    return with_ids(df) if key == "lc" else df
 
 
 #: Column of the lines that can't be read.
