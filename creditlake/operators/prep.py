@@ -10,9 +10,9 @@ leaves the executors.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,15 +24,28 @@ from .profile import features_of, missing_rates, quantiles
 
 
 # ------------------------------------------------------------------ M1/U2
-def row_keys(features: list[str]) -> list[Column]:
-    """128 bits of a feature vector. Hashes skip NULLs, so which features are
-    NULL goes in as bits; -0.0 counts as 0.0."""
-    nulls = []
-    for k in range(0, len(features), 60):
-        bits = [F.when(F.col(f).isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, f in enumerate(features[k:k + 60])]
-        nulls.append(reduce(lambda x, y: x.bitwiseOR(y), bits))
-    values = [F.col(f) + F.lit(0.0) for f in features]
-    return [F.xxhash64(*nulls, *values).alias("_k1"), F.xxhash64(F.lit(1), *values, *nulls).alias("_k2")]
+def row_keys(rows: DataFrame, features: list[str]) -> DataFrame:
+    """(_uid, _k1, _k2): 128 bits of each row's feature vector, two polynomials over
+    the values' mixed bits. NULL counts as a value of its own, -0.0 as 0.0.
+    (A JVM hash of 84 columns is one method too large to be compiled; a batch of
+    columns at a time takes a fraction of that.)"""
+    def mixed(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    def run(batches):
+        for b in batches:
+            keys = [np.zeros(b.num_rows, np.uint64) for _ in range(2)]
+            for c in b.columns[1:]:
+                v = c.cast(pa.float64())
+                bits = (v.fill_null(0.0).to_numpy(zero_copy_only=False) + 0.0).view(np.uint64) + np.uint64(1)
+                bits[v.is_null().to_numpy(zero_copy_only=False)] = 0
+                for k, base in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
+                    keys[k] = mixed(keys[k] * np.uint64(base) + mixed(bits + np.uint64(base)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(k.view(np.int64)) for k in keys)], ["_uid", "_k1", "_k2"])
+
+    return rows.select("_uid", *features).mapInArrow(run, "_uid long, _k1 long, _k2 long")
 
 
 def dedup_keep_first(df: DataFrame, features: list[str] | None = None) -> DataFrame:
@@ -40,39 +53,25 @@ def dedup_keep_first(df: DataFrame, features: list[str] | None = None) -> DataFr
     the first row in (source order, numeric id, id) order wins; ids without
     a number come last in their source.
 
-    Rows are written once with a 128-bit key of their vector. A count by key
-    (16 bytes a row to shuffle) tells which keys repeat; only rows of these
-    are looked at again. Their winners come from per-source minima, which
-    combine before the shuffle, so a vector repeated across a third of the table
-    never lands in one task whole. The same aggregate compares the vectors:
-    if any feature differs inside a key, the hash has collided, and these rows
-    alone are grouped by their full vectors. Losers are removed by row number;
-    without repeated keys the written rows are the result."""
+    Rows are written once and numbered, and get a 128-bit key of their vector. A
+    count by key (16 bytes a row to shuffle) tells which keys repeat; only rows of
+    these are grouped by their full vectors, so vectors whose keys collide stay
+    apart. That is an aggregate (min_by), not a window: it combines before the
+    shuffle, so a vector repeated across a third of the table never lands in one
+    task whole. Losers are removed by row number; without repeated keys the
+    written rows are the result."""
     feats = features or features_of(df)
     key = ["_k1", "_k2"]
-    t = cut_lineage(df.select("*", *row_keys(feats), F.monotonically_increasing_id().alias("_uid")), "dedup-rows")
-    repeated = cut_lineage(t.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "dedup-keys")
+    t = cut_lineage(df.withColumn("_uid", F.monotonically_increasing_id()), "dedup-rows")
+    keys = cut_lineage(row_keys(t, feats), "dedup-keys")
+    repeated = keys.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    twice = cut_lineage(keys.join(repeated, key, "left_semi").select("_uid"), "dedup-repeated")
     out = [F.col(c) for c in ("source_id", "TARGET", "source_dataset", *feats)]
-    if repeated.isEmpty():
+    if twice.isEmpty():
         return t.select(*out)
-    d = t.join(repeated, key, "left_semi").withColumn("_o", source_ordinal()).withColumn("_i", id_number())
-    sources = range(len(K.SOURCE_ORDER) + 1)
-    firsts = [x for k in sources for x in (F.count_if(F.col("_o") == k).alias(f"_n{k}"), F.min(F.when(F.col("_o") == k, F.col("_i"))).alias(f"_i{k}"))]
-    same = [x for i, f in enumerate(feats) for x in (F.min(f).alias(f"_a{i}"), F.max(f).alias(f"_b{i}"), F.count(f).alias(f"_c{i}"))]
-    g = d.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *firsts, *same)
-    differs = reduce(lambda x, y: x | y, [F.coalesce(F.col(f"_a{i}") != F.col(f"_b{i}"), F.lit(False)) | ((F.col(f"_c{i}") > 0) & (F.col(f"_c{i}") < F.col("n")))
-                                          for i in range(len(feats))])
-    best_o, best_i = (F.coalesce(*[F.when(F.col(f"_n{k}") > 0, x(k)) for k in sources]) for x in (F.lit, lambda k: F.struct(F.col(f"_i{k}").alias("i"))))
-    g = cut_lineage(g.select(*key, differs.alias("_differs"), best_o.alias("_bo"), best_i["i"].alias("_bi")), "dedup-groups")
-    first = d.join(g.filter(~F.col("_differs")), key).filter((F.col("_o") == F.col("_bo")) & F.col("_i").eqNullSafe(F.col("_bi")))
-    # one source and number, several ids (5_HC and 05_HC): a handful at most; equal ids are one entry
-    by_id = first.groupBy(*key, "source_id").agg(F.min("_uid").alias("_uid"))
-    won = by_id.groupBy(*key).agg(F.array_min(F.collect_set(F.struct("source_id", "_uid"))).alias("w")).select(F.col("w._uid").alias("_uid"))
-    collided = g.filter("_differs").select(*key)
-    if not collided.isEmpty():
-        order = F.struct(F.col("_o").alias("o"), F.col("_i").isNull().alias("n"), F.col("_i").alias("i"), F.col("source_id").alias("s"), F.col("_uid").alias("u"))
-        won = won.unionByName(d.join(collided, key, "left_semi").groupBy(*feats).agg(F.min_by("_uid", order).alias("_uid")).select("_uid"))
-    lost = cut_lineage(d.select("_uid").join(won, "_uid", "left_anti"), "dedup-losers")
+    order = F.struct(source_ordinal().alias("o"), id_number().isNull().alias("n"), id_number().alias("i"), F.col("source_id").alias("s"), F.col("_uid").alias("u"))
+    won = t.join(twice, "_uid", "left_semi").groupBy(*feats).agg(F.min_by("_uid", order).alias("_uid")).select("_uid")
+    lost = cut_lineage(twice.join(won, "_uid", "left_anti"), "dedup-losers")
     return t.join(lost, "_uid", "left_anti").select(*out)
 
 

@@ -64,7 +64,7 @@ def test_dedup_like_a_plain_loop(spark):
 def test_dedup_keeps_vectors_that_collide(spark, monkeypatch):
     """All rows under a handful of keys: only equal vectors are duplicates."""
     rows = _duplicated_rows()
-    few = lambda feats: [F.when(F.col(feats[0]).isNull(), 1).otherwise(2).cast("long").alias("_k1"), F.lit(0).cast("long").alias("_k2")]
+    few = lambda rows, feats: rows.select("_uid", F.when(F.col(feats[0]).isNull(), 1).otherwise(2).cast("long").alias("_k1"), F.lit(0).cast("long").alias("_k2"))
     monkeypatch.setattr(PR, "row_keys", few)
     got = PR.clean(_table(spark, rows).repartition(3))
     assert sorted((r.source_id, r.TARGET) for r in got.collect()) == _plain_first(rows)
