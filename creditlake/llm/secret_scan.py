@@ -4,9 +4,10 @@ Beside the patterns (``assign``, ``access``, ``hex``), every run of at least a
 class's window of characters is scanned for windows of high Shannon entropy.
 Counts are updated by the character that enters and the one that leaves, so a
 run costs time in proportion to its length.  Windows over the class's threshold
-that overlap or touch become one span of kind ``entropy``.  What the allow-list
-knows (words without digits, numbers and dates, UUIDs, parts of URLs,
-placeholders) is suppressed; it never suppresses the patterns.
+that overlap or touch become one span of kind ``entropy``.  The allow-list
+suppresses windows, not runs: those that overlap a placeholder or a UUID are left
+out, and so are found stretches that are words, numbers or dates, or that stand in
+a URL's host or path.  It never suppresses the patterns.
 
 One pass (``mapInArrow``), no shuffle.  Defined results: null texts are empty;
 whole texts are scanned, a row at a time; repeated rows get a row each; an empty
@@ -46,19 +47,28 @@ class CharClass(NamedTuple):
     bits: float
 
 
-#: A random window has about 3.4 bits (hex of 24) or 4.1 (base 64 of 20); words have fewer, and no digits.
+#: A random window has about 3.4 bits (hex of 24), 3.9 (small letters and digits) or 4.1 (base 64 of 20); the allow-list knows words.
 CLASSES = (
     CharClass("hex", re.compile(r"[0-9A-Fa-f]{24,}"), 24, 3.0),
     CharClass("upper", re.compile(r"[A-Z0-9]{16,}"), 16, 3.2),
-    CharClass("base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.7),
+    CharClass("base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.4),
 )
-ALLOW = tuple(map(re.compile, (
-    r"[^0-9]*",                                                          # words, paths of words
-    r"[0-9_/+=-]*",                                                      # numbers, dates
-    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # UUIDs
-    r"(?i).*(example|placeholder|changeme|xxxx|0000|1234567).*",
-)))
-URL = re.compile(r"[a-z][a-z0-9+.-]*://\S*$|www\.\S*$", re.IGNORECASE)
+#: Windows that overlap one of these are left out.
+KNOWN = re.compile(r"(?i:example|placeholder|changeme|xxxx|0000|1234567)"
+                   r"|(?<![A-Za-z0-9])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![A-Za-z0-9])")
+#: Numbers and dates.
+NUMBERS = re.compile(r"[0-9_/+=-]*")
+#: What stands before a part of a URL's user, host or path (query and fragment are no such part).
+URL = re.compile(r"(?:[a-z][a-z0-9+.-]*://|www\.)([^\s?#]*)$", re.IGNORECASE)
+#: The rest of a URL's user part, with its end.
+USER = re.compile(r"[^\s/?#@]*@")
+#: Words have at most one letter in so many that is a capital inside a word and starts none.
+CAPITALS = 8
+#: ... and their parts of one case or with a capital first have this many letters on average.
+PART_LETTERS = 3
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: A capital behind a letter, without two small letters behind it.
+INNER = re.compile(r"(?<=[A-Za-z])[A-Z](?![a-z][a-z])")
 _CLOG = [0.0, *(c * log2(c) for c in range(1, 64))]
 
 
@@ -93,9 +103,33 @@ def hot_windows(s: str, window: int, bits: float) -> list[tuple[int, int]]:
     return out
 
 
+def wordlike(s: str) -> bool:
+    """No digits, and no letters of random case."""
+    if any(c.isdigit() for c in s):
+        return False
+    letters = sum(c.isalpha() for c in s)
+    return s.upper() == s or (len(INNER.findall(s)) * CAPITALS <= letters and len(PART.findall(s)) * PART_LETTERS <= letters)
+
+
 def allowed(text: str, start: int, end: int) -> bool:
+    """Is the stretch made of words or numbers, or part of a URL's host or path?"""
     s = text[start:end]
-    return any(p.fullmatch(s) for p in ALLOW) or bool(URL.search(text, max(0, start - 300), start))
+    if wordlike(s) or NUMBERS.fullmatch(s):
+        return True
+    s = s.lstrip("/")
+    start = end - len(s)
+    url = URL.search(text, max(0, start - 300), start)
+    # before the first slash, what an @ follows is the user part
+    return bool(url) and ("/" in url[1] + s or not USER.match(text, end, end + 300))
+
+
+def unknown(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The parts of a run between what ``KNOWN`` matches: windows inside them overlap none of it."""
+    at = start
+    for m in KNOWN.finditer(text, start, end):
+        yield at, m.start()
+        at = m.end()
+    yield at, end
 
 
 def base_spans(text: str) -> list[Span]:
@@ -115,10 +149,9 @@ def entropy_spans(text: str) -> list[Span]:
     for run in RUN.finditer(text):
         for cls in CLASSES:
             for m in cls.chars.finditer(text, run.start(), run.end()):
-                if allowed(text, m.start(), m.end()):
-                    continue
-                hot = hot_windows(m[0], cls.window, cls.bits)
-                found += [(m.start() + a, m.start() + b) for a, b in hot if not allowed(text, m.start() + a, m.start() + b)]
+                for lo, hi in unknown(text, m.start(), m.end()):
+                    hot = hot_windows(text[lo:hi], cls.window, cls.bits)
+                    found += [(lo + a, lo + b) for a, b in hot if not allowed(text, lo + a, lo + b)]
     out: list[Span] = []
     for a, b in sorted(found):
         if out and a <= out[-1].end:

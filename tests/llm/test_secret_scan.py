@@ -48,8 +48,24 @@ def test_windows_equal_brute_force():
 def test_entropy_and_allow_list():
     found = lambda t: [t[s.start:s.end] for s in S.entropy_spans(t)]
     assert found(f"key {KEY} end") == [KEY]
-    for t in (TEXTS[13], TEXTS[15], TEXTS[16], TEXTS[17], "some/path/to/some/file_of_words-and-more", "EXAMPLE" + KEY + "EXAMPLE"):
+    for t in (TEXTS[13], TEXTS[15], TEXTS[16], TEXTS[17], "some/path/to/some/file_of_words-and-more", "aLongNameOfSomeVariableInCode", "SOME_CONSTANT_WITH_A_LONG_NAME"):
         assert found(t) == [], t
+    uuid = "123e4567-e89b-42d3-a456-426614174000"
+    for t in (f"EXAMPLE{KEY}EXAMPLE", f"https://h.org/p?key={KEY}", f"https://h.org/p#{KEY}", f"https://user:{KEY}@h.org/p", f"https://{KEY}@h.org", f"{uuid} {KEY}"):
+        assert found(t) and KEY in found(t)[0], t
+    assert found(f"https://{KEY}/p") == found(f"https://h.org/{KEY}/p@x") == found(uuid) == []
+
+
+def test_random_keys_are_found():
+    rng, n = np.random.default_rng(5), 10_000
+    wrap = ("key {} end", "https://h.org/p?q={}&x=1", "EXAMPLE{}", "{}xxxx", "ftp://me:{}@h.org/")
+    lost = Counter()
+    for k in range(n):
+        key = "".join(rng.choice(list(B64[:52] if k % 2 else B64), rng.integers(20, 41)))
+        t = wrap[k % len(wrap)].format(key)
+        at = t.index(key)
+        lost[k % 2] += not any(s.start <= at + 2 and s.end >= at + len(key) - 2 for s in S.entropy_spans(t))
+    assert sum(lost.values()) <= n // 100, lost
 
 
 def test_mask():
