@@ -2,8 +2,8 @@
 
 Each input partition is a shard; its documents keep their order and form one
 token stream.  Cuts are allowed at document ends (free), at sentence ends (a
-small penalty) and, where these are further apart, at fixed steps between them (a
-larger penalty).  The dynamic programme minimises padding plus penalties over
+small penalty) and, only where a stretch without any of these is longer than an
+eighth of a window, at fixed steps inside it (a larger penalty).  The dynamic programme minimises padding plus penalties over
 windows of at most ``max_len`` tokens.  Because a window's padding is linear in
 its two ends, the best predecessor is a sliding-window minimum kept in a
 monotone queue.  A shard is solved in blocks of ``block_windows`` windows, each
@@ -38,10 +38,11 @@ from creditlake.llm.common import map_texts
 
 MAX_LEN = 4096
 END_ID = 2
-#: What a cut inside a document costs, in padding tokens: at a sentence's end, or between, at steps of so many tokens.
+#: What a cut inside a document costs, in padding tokens: at a sentence's end, or, in longer stretches than max_len / STRETCH, at steps of so many tokens.
 SENTENCE_PENALTY = 8
 STEP_PENALTY = 24
 STEP = 32
+STRETCH = 8
 #: Text tokenised at a time.
 TEXT_BYTES = 2_000_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -201,7 +202,8 @@ class Packer:
         ends = np.asarray(self.ends)
         marks = np.union1d(np.concatenate(self.marks), ends)
         marks = marks[marks > self.done]
-        steps = (np.diff(marks, prepend=self.done) - 1) // STEP
+        gaps = np.diff(marks, prepend=self.done)
+        steps = np.where(gaps > self.max_len // STRETCH, (gaps - 1) // STEP, 0)
         first = np.concatenate(([self.done], marks[:-1]))
         inner = np.repeat(first, steps) + STEP * (np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps) + 1)
         pos = np.concatenate((marks, inner))

@@ -108,6 +108,23 @@ def test_pack_small_table(spark):
     assert pad < 0.01 * total
 
 
+def test_cuts_are_document_or_sentence_ends():
+    """Inside a sentence only where it is longer than an eighth of a window, or in the shard's remainder."""
+    rng, L = random.Random(4), 256
+    pk, at, ok, long_ = PK.Packer(L, 0, block_windows=4), 0, set(), []
+    for i in range(300):
+        sizes = [rng.choice([3, 5, 9, 14, 22, 90 if i % 50 == 0 else 7]) for _ in range(rng.randint(1, 40))]
+        stops = np.cumsum(sizes)
+        ok |= {at + int(x) for x in stops}
+        long_ += [(at + int(e) - n, at + int(e)) for e, n in zip(stops, sizes, strict=True) if n > L // PK.STRETCH]
+        pk.add(i, np.arange(stops[-1], dtype="<u4").tobytes(), stops[:-1])
+        at += int(stops[-1])
+    pk.finish()
+    ends = np.cumsum([r[2] for r in pk.rows])
+    inside = [e for e in ends.tolist() if e not in ok and e < at - L and not any(a < e < b for a, b in long_)]
+    assert ends[-1] == at and not inside
+
+
 def test_empty_table(spark):
     assert PK.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
 
