@@ -103,8 +103,11 @@ def test_queries_have_the_contract_columns(spark):
         "op4_language_id": ["doc_id", "held_out", "lang_pred", "score"],
         "op6_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
         "op7_secret_scan": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
-        "op10_warc": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]}
+        "op10_warc": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
+        "op11_piecewise_fingerprints": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+        "op12_fill_in_middle": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
+        "op13_prefix_trie": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]}
     qs = Q.queries()
-    assert {int(k[2:].split("_")[0]) for k in qs} == set(range(1, 11))
-    for k in random.Random(1).sample(sorted(first), 3):
+    assert {int(k[2:].split("_")[0]) for k in qs} == set(range(1, 14))
+    for k in [*random.Random(1).sample(sorted(first)[4:], 3), *sorted(first)[1:4]]:
         assert qs[k](spark, SF).columns[:len(first[k])] == first[k]
