@@ -88,6 +88,18 @@ def test_replayed_files_and_a_restart_change_nothing(spark, tmp_path):
     assert got["n_total"] == want["n_total"] and got["summary_line"] == want["summary_line"] and abs(got["mean_score"] - want["mean_score"]) < 1e-9
 
 
+def test_no_task_prepares_all_requests(spark):
+    """Every file drop is dealt behind a shuffle; none collapses the plan before it into one task."""
+    from creditlake.plans import more_queries as Q
+    req = requests(spark)
+    drops = Q._drops(req)
+    plans = [d._jdf.queryExecution().executedPlan().toString() for d in drops]
+    assert not [p for p in plans if "Coalesce " in p] and all("REPARTITION_BY_NUM" in p for p in plans)
+    ids = [sorted(r.request_id for r in d.select("request_id").collect()) for d in drops]
+    every = sorted(r.request_id for r in req.select("request_id").collect())
+    assert ids == [every, [i for i in every if i % 3 == 0], every]
+
+
 def test_boosted_trees_score_stream_and_batch_alike(spark, tmp_path):
     req = requests(spark).limit(60)
     feats = ["income_total", "credit_to_income", "inst_late_payment_rate", "cc_utilization_mean"]
