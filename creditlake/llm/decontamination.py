@@ -7,8 +7,11 @@ All on the main path is DataFrame expressions:
    five-word shingle hashes; an item of fewer words has one shingle, all its
    words, and documents then give shingles of that width too.  A window that
    shares no shingle with an item has similarity zero to it, so windows are taken
-   where a document shares a shingle with an item: as long as the item, and
-   placed so that the two shingles meet (cut at the text's ends).
+   where a document shares a shingle with an item.  Those placed so that the two
+   shingles meet are all taken, as long as the item and cut at the text's ends; of
+   all other windows as long as the item (a shorter text: the whole of it) those
+   that hold enough shared shingles to be a match (``dense``; a bound, so none
+   that matches is left out).
 2. A window's SimHash is summed from its shingles, each weighted with its
    number of occurrences: 32 sums of two 32-bit counters each.
 3. ``MAX_BITS + 1`` blocks of the 64 bits: two fingerprints at most ``MAX_BITS``
@@ -100,11 +103,33 @@ def _blocks(max_bits: int) -> Column:
                      for b, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))])
 
 
+def dense(hits: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(key, n, item, item_size, start): all starts of windows inside the text, as long as the item, that
+    may be as similar as ``similarity``, from the ``hits`` of items of more than ``width`` words.
+
+    An item of m shingles shares at least similarity * m of them with such a window,
+    so this many hits (t) lie in m successive places.  Windows that hold the hits
+    i to i + t - 1 start from the last one's place - (m - 1) to the first one's; those that the hit
+    before lies in as well are its own."""
+    held = hits.groupBy("key", "n", "item", "item_size").agg(F.sort_array(F.collect_set("p")).alias("at"))
+    held = held.withColumn("m", F.col("item_size") - (width - 1)).withColumn("t", F.ceil(F.lit(similarity) * F.col("m") - 1e-9).cast("int"))
+
+    def starts(i: Column) -> Column:
+        first = F.get("at", i + F.col("t") - 1) - (F.col("m") - 1)
+        first = F.greatest(first, F.when(i > 0, F.get("at", i - 1) + 1), F.lit(0))
+        last = F.least(F.get("at", i), F.greatest(F.col("n") - F.col("item_size"), F.lit(0)))
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+    some = held.where(F.size("at") >= F.col("t")).select(
+        "key", "n", "item", "item_size", F.flatten(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("t")), starts)).alias("starts"))
+    return some.select("key", "n", "item", "item_size", F.explode_outer("starts").alias("start")).where("start is not null")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
             item_text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, row_key, item_id, start_word, n_words, similarity, bits): the best window
-    of each document and item with at least ``similarity``; the earliest of equals.  Words are
-    counted as in step 1."""
+    of each document and item with at least ``similarity``; of equals one where a shingle meets its
+    own in the item, then the earliest.  Words are counted as in step 1."""
     items = _worded(_keyed(benchmark, item_col, item_text_col).dropDuplicates(["key"]))
     # outer, here and below: from an inner explode the optimizer infers filters that make the array again, for each element
     place = cut_lineage(_union([
@@ -118,17 +143,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
     keyed = _keyed(docs, id_col, text_col)
     anchors = place.select("h", "q", "item_size", "item", F.col("width").alias("k"))
-    links = []
-    for k, a in _shingles(_worded(keyed), widths):
-        hits = a.select("key", "n", F.posexplode_outer("h").alias("p", "h")).join(anchors.where(F.col("k") == k), "h")
-        begin = F.greatest(F.col("p") - F.col("q"), F.lit(0))
-        end = F.least(F.col("p") - F.col("q") + F.col("item_size"), F.col("n"))
-        links.append(hits.select("key", begin.alias("begin"), (end - begin).alias("size"), "item_size", "item"))
-    links = cut_lineage(_union(links).distinct(), "benchmark-windows")
+    hits = cut_lineage(_union([
+        a.select("key", "n", F.posexplode_outer("h").alias("p", "h")).join(anchors.where(F.col("k") == k), "h").select("key", "n", "p", "q", "item_size", "item")
+        for k, a in _shingles(_worded(keyed), widths)]).distinct(), "benchmark-hits")
+    starts = hits.select("key", "n", "item", "item_size", (F.col("p") - F.col("q")).alias("start"), F.lit(True).alias("meets")).unionByName(
+        dense(hits.where(F.col("item_size") > width), width, similarity).withColumn("meets", F.lit(False)))
+    begin = F.greatest("start", F.lit(0))
+    end = F.least(F.col("start") + F.col("item_size"), F.col("n"))
+    links = cut_lineage(starts.select("key", begin.alias("begin"), (end - begin).alias("size"), "item_size", "item", "meets").groupBy(*WINDOW, "item").agg(
+        F.max("meets").alias("meets")), "benchmark-windows")
     windows = links.select(*WINDOW).distinct()
 
     # only the texts that hold a window are split again
-    again = keyed.join(windows.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    # (their keys are written: a table of keys is broadcast where one of all windows would make the texts be shuffled)
+    holders = cut_lineage(links.select("key").distinct(), "benchmark-holders")
+    again = keyed.join(holders, "key", "left_semi").dropDuplicates(["key"])
     inside = []
     for k, a in _shingles(_worded(again), widths):
         mine = windows.where(F.col("item_size") >= k if k == width else F.col("item_size") == k)
@@ -137,17 +166,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     counted = cut_lineage(_union(inside).where("h is not null").groupBy("id", *WINDOW, "h").agg(F.count("*").alias("c")), "window-shingles")
     prints = _fingerprint(counted, WINDOW)
 
-    w = links.join(prints, WINDOW).select(*WINDOW, "item", "total", "fp", F.inline(_blocks(max_bits)))
+    w = links.join(prints, WINDOW).select(*WINDOW, "item", "meets", "total", "fp", F.inline(_blocks(max_bits)))
     i = item_prints.select("item_id", "item", F.col("total").alias("item_total"), F.col("fp").alias("item_fp"), F.inline(_blocks(max_bits)))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     pairs = w.join(i, ["item", "block", "bits"]).where(near <= max_bits).select(
-        *WINDOW, "total", "item_id", "item", "item_total", near.alias("bits")).distinct()
+        *WINDOW, "meets", "total", "item_id", "item", "item_total", near.alias("bits")).distinct()
     ic = item_counts.select("item", "h", F.col("c").alias("ic"))
-    shared = pairs.join(counted, WINDOW).join(ic, ["item", "h"]).groupBy("id", *WINDOW, "total", "item_id", "item", "item_total", "bits").agg(
+    shared = pairs.join(counted, WINDOW).join(ic, ["item", "h"]).groupBy("id", *WINDOW, "meets", "total", "item_id", "item", "item_total", "bits").agg(
         F.sum(F.least("c", "ic")).alias("shared"))
     scored = shared.withColumn("sim", F.col("shared") / (F.col("total") + F.col("item_total") - F.col("shared")))
     best = scored.where(F.col("sim") >= similarity).groupBy("id", "key", "item_id", "item").agg(
-        F.max(F.struct("sim", (-F.col("begin")).alias("b"), "size", "bits")).alias("m"))
+        F.max(F.struct("sim", "meets", (-F.col("begin")).alias("b"), "size", "bits")).alias("m"))
     return best.select(F.col("id").alias("doc_id"), F.col("key").alias("row_key"), "item_id", (-F.col("m.b")).cast("long").alias("start_word"),
                        F.col("m.size").cast("long").alias("n_words"), F.col("m.sim").alias("similarity"), F.col("m.bits").cast("int").alias("bits"))
 

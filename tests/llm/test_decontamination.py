@@ -126,6 +126,41 @@ def test_short_clipped_and_repeated_items(spark):
     assert set(c.sql(D.oracle()).fetchall()) == got
 
 
+def every_window(docs, items, width=5):
+    """Brute force over all windows as long as an item, and the aligned ones at the ends: (doc, item, best similarity)."""
+    out, cut = set(), {(i, j): s for i, j, _, _, s in plain(docs, items)}
+    for i, t in docs:
+        w = split(t)
+        for j, u in items:
+            v = split(u)
+            b, best = Counter(shingles(v, width)), cut.get((i, j), 0.0)
+            for s in range(max(len(w) - len(v), 0) + 1):
+                a = Counter(shingles(w[s:s + len(v)], width))
+                both = sum((a & b).values())
+                best = max(best, both / max(sum(a.values()) + sum(b.values()) - both, 1))
+            if best >= 0.8:
+                out.add((i, j, round(best, 9)))
+    return out
+
+
+def test_windows_between_aligned_ones(spark):
+    """Items whose parts a document has in another order, or with words between them, at its ends and inside: the best
+    window is none of those that a shared shingle aligns."""
+    rng = random.Random(5)
+    items, docs = [], []
+    for j in range(60):
+        w = [f"{j}x{k}" for k in range(rng.randint(50, 110))]
+        items.append((j, " ".join(w)))
+        a, b = sorted(rng.sample(range(8, len(w) - 8), 2))
+        moved = [w[a:] + w[:a], w[b:] + w[a:b] + w[:a], w[:a] + ["new"] * rng.randint(1, 3) + w[a:], w[a:b] + w[:a] + w[b:]][j % 4]
+        around = [["lead"] * 7, []][j % 3 == 0], [["tail"] * 7, []][j % 3 == 1]
+        docs.append((j, " ".join([*around[0], *moved, *around[1]])))
+    dd, bb = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, round(r.similarity, 9)) for r in D.matches(dd, bb).collect()}
+    want = every_window(docs, items)
+    assert got == want and len(want) > 40 and want - {(i, j, round(s, 9)) for i, j, _, _, s in plain(docs, items)}
+
+
 def test_very_long_text(spark):
     """An item in the middle of a text of 300,000 words."""
     w = [f"v{k % 9973}q{k % 7}" for k in range(300_000)]
