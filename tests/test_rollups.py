@@ -57,3 +57,30 @@ def test_txn_rollup(spark):
     out = {r.account_id: r for r in R.txn_rollup(t).collect()}
     assert out[7].total_credit == 15.0 and out[7].neg_bal_count == 1 and out[7].neg_balance_rate == 1 / 3
     assert out[8].total_credit == 0.0 and out[8].std_balance is None and out[8].balance_consistency is None
+
+
+def test_one_aggregate_over_lines_gives_the_three_rollups(spark, tmp_path):
+    from creditlake.operators import rollups as R
+    from creditlake.plans import sources as S
+    from creditlake.sources import driver_roles as DR
+    d = str(tmp_path)
+    spark.createDataFrame([(k, f"c{k}", k % 25, 10.0 * k - 20, "BUILDING") for k in range(6)],
+                          "c_custkey long, c_name string, c_nationkey long, c_acctbal double, c_mktsegment string").write.parquet(f"{d}/customer.parquet")
+    spark.createDataFrame([(k, None if k == 3 else k % 4, "OFP"[k % 3], 100.0 + k, f"2001-0{1 + k % 9}-11", "1-URGENT") for k in range(20)],
+                          "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate string, o_orderpriority string") \
+        .selectExpr("* except(o_orderdate)", "cast(o_orderdate as timestamp) o_orderdate").write.parquet(f"{d}/orders.parquet")
+    spark.createDataFrame([(k % 22, k % 5, float(k % 9), None if k % 13 == 0 else 10.0 + k, 0.01 * (k % 7), 0.02 * (k % 3), "RNA"[k % 3], "OF"[k % 2],
+                            f"2001-0{1 + k % 9}-15") for k in range(120)],
+                          "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                          "l_returnflag string, l_linestatus string, l_shipdate string") \
+        .selectExpr("* except(l_shipdate)", "cast(l_shipdate as timestamp) l_shipdate").write.parquet(f"{d}/lineitem.parquet")
+    got = {r["SK_ID_CURR"]: r for r in R.line_rollup(DR.lines(spark, d)).collect()}
+    assert len(got) == 5 and None in got
+    for roll in (R.installment_rollup(DR.installments(spark, d)), R.pos_rollup(DR.pos_cash(spark, d)), R.card_rollup(DR.card_balance(spark, d))):
+        for r in roll.collect():
+            for c, v in r.asDict().items():
+                w = got[r["SK_ID_CURR"]][c]
+                assert (v is None) == (w is None) and (v is None or abs(v - w) <= 1e-9 * max(1, abs(v))), (r["SK_ID_CURR"], c)
+    # the line items are read for the lines and for the monthly status, not once a rollup
+    plan = S.hc_features(spark, d)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey") and sum("lineitem" in x or "l_orderkey" in x for x in plan.splitlines() if "Relation" in x) == 2
