@@ -169,3 +169,61 @@ def test_selected_ranks_do_not_depend_on_partitions(spark):
         df = _table(spark, [rows[j] for j in order]).select("source_id", "TARGET", "source_dataset", *feats).repartition(k + 1)
         ranks.add(tuple((r["rank"], r["feature"]) for r in PR.select_features(df).orderBy("rank").collect()))
     assert len(ranks) == 1
+
+
+def _odd_values(spark, n=700):
+    import random
+    from creditlake.functions import catalog as K
+    from pyspark.sql import functions as F
+    rng = random.Random(5)
+    feats = K.ALL_FEATURES[:8]
+
+    def row(i):
+        g = rng.gauss(0, 1)
+        return (f"{i}_HC", i % 2, K.SOURCE_ORDER[0], g, None if i % 3 else g * 100, None if i % 50 else g, float(i % 4), None if i % 7 else 1.0,
+                -1.0 if i < 3 else 0.0, None if i % 2 else float(round(g)), None)
+    df = spark.createDataFrame([row(i) for i in range(n)], "source_id string, TARGET int, source_dataset string, " + ", ".join(f"{f} double" for f in feats))
+    return df.withColumn("split", F.lit("train")), feats
+
+
+def test_one_selection_serves_bounds_fills_and_scales(spark, monkeypatch):
+    df, feats = _odd_values(spark)
+    stats = PR.order_stats(df)
+    plain = [r.asDict() for r in PR.winsor_bounds(df).collect()]
+    assert [r.asDict() for r in PR.winsor_bounds(df, stats=stats).collect()] == plain
+    w = PR.apply_winsor(df, plain)
+    rows = lambda x: sorted((r.asDict() for r in x.collect()), key=lambda r: r["feature"])
+    fills = rows(PR.impute_params(w))
+    assert rows(PR.impute_params(w, stats=stats)) == fills
+    assert {r["status"] for r in fills} == {"complete", "partial", "empty"}
+    imp = PR.apply_impute(w, fills)
+    assert rows(PR.robust_params(imp, feats, stats=stats)) == rows(PR.robust_params(imp, feats))
+    from creditlake.operators import prep, profile
+    calls = []
+    real = profile.radix_select
+    for m in (prep, profile):
+        monkeypatch.setattr(m, "radix_select", lambda *a, **k: calls.append(1) or real(*a, **k), raising=False)
+    pm = PR.fit_prep(df)
+    assert len(calls) == 1 and pm.bounds == plain
+
+
+def test_nan_and_infinite_values_take_the_steps_own_selections(spark):
+    from pyspark.sql import functions as F
+    df, feats = _odd_values(spark, 200)
+    for odd in ("NaN", "Infinity", "-Infinity"):
+        x = df.withColumn(feats[0], F.when(F.col("source_id") == "7_HC", F.lit(odd).cast("double")).otherwise(F.col(feats[0])))
+        assert PR.order_stats(x) is None
+        assert len(PR.fit_prep(x).bounds) == len(feats) - 1
+    assert PR.order_stats(df.limit(0)) is None
+
+
+def test_cleaned_rows_are_written_once(spark, monkeypatch):
+    from creditlake.operators import prep
+    names = []
+    real = prep.cut_lineage
+    monkeypatch.setattr(prep, "cut_lineage", lambda df, name="stage": names.append(name) or real(df, name))
+    df, _ = _odd_values(spark, 60)
+    assert PR.clean(df.drop("split"), written=True).count() and "dedup-kept" not in names
+    names.clear()
+    twice = df.drop("split").unionByName(df.drop("split"))
+    assert PR.clean(twice, written=True).count() == PR.clean(df.drop("split")).count() and "dedup-kept" in names
