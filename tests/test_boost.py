@@ -95,6 +95,25 @@ def test_distributed_training_gives_the_local_trees(spark):
     assert max(len([v for v in t.left if v < 0]) for t in local.trees) <= 9
 
 
+def test_a_level_is_one_job_and_sums_may_be_added_up_anywhere(spark):
+    x, y, w, val = table(1500, 9)
+    df = frame(spark, x, y, w, val).repartition(4)
+    p = B.BoostParams(rounds=6, max_depth=3, max_leaves=8, min_rows=20, bins=20, keep=4, seed=5, local_rows=0)
+    edges = B.bin_edges(df.where("not is_val"), NAMES, p.bins)
+    blocks = B.to_blocks(df, NAMES, edges, "TARGET", "weight", "is_val")
+    sc = spark.sparkContext
+    try:
+        sc.setJobGroup("boost-jobs", "")
+        near = B.fit_blocks(blocks, NAMES, edges, p)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    # rows, dealing, first sums, one rewriting of margins, last loss
+    assert len(sc.statusTracker().getJobIdsForGroup("boost-jobs")) <= 6 * 3 + 8
+    far = B.fit_blocks(blocks, NAMES, edges, B.BoostParams(**{**asdict(p), "driver_bytes": 0}))
+    assert [(t.feat, t.cut, t.cover, t.value) for t in near.trees] == [(t.feat, t.cut, t.cover, t.value) for t in far.trees]
+    assert len(near.trees) == 6 and near.history == far.history
+
+
 def test_learns_and_stops_early(spark):
     x, y, w, val = table(2500, 7)
     df = frame(spark, x, y, w, val)
