@@ -114,6 +114,64 @@ def test_a_level_is_one_job_and_sums_may_be_added_up_anywhere(spark):
     assert len(near.trees) == 6 and near.history == far.history
 
 
+def test_features_counted_together_have_the_sums_of_each():
+    rng = np.random.default_rng(2)
+    edges = [np.arange(k, dtype=float) for k in (1, 1, 2, 8, 40, 0, 5)]
+    bins = np.stack([rng.integers(0, len(e) + 1, 5000) for e in edges]).astype(np.uint8)
+    bins[1, rng.random(5000) < 0.3] = bins[4, rng.random(5000) < 0.1] = B.MISSING
+    missing = [f in (1, 4) for f in range(7)]
+    slot, g, h = rng.integers(0, 3, 5000), rng.normal(size=5000), rng.random(5000)
+    fs = [0, 1, 2, 3, 4, 6]
+    packs = B.packed(fs, [len(e) + 1 + m for e, m in zip(edges, missing, strict=True)], B.JOINT)
+    assert len(packs) < 4 and sorted(f for pack in packs for f in pack) == fs
+    lay = B.Layout(packs, edges, missing)
+    got = B.histogram(bins.__getitem__, slot, g, h, 3, lay)
+    codes = [lay.code(pack, bins.__getitem__) for pack in packs]
+    part = B.Layout(packs, edges, missing, [1, 4])
+    for f in part.features:
+        a, b, n = part.start[f], lay.start[f], lay.size[f]
+        assert np.allclose(B.histogram(bins.__getitem__, slot, g, h, 3, part, codes.__getitem__)[:, :, a:a + n], got[:, :, b:b + n], atol=1e-9)
+    for f in lay.features:
+        part = got[:, :, lay.start[f]:lay.start[f] + lay.size[f]]
+        for s in range(3):
+            for place in range(lay.size[f]):
+                rows = (slot == s) & (bins[f] == (B.MISSING if place == lay.size[f] - 1 else place))
+                assert np.allclose(part[s, :, place], [g[rows].sum(), h[rows].sum(), rows.sum()], atol=1e-9)
+    assert np.array_equal(B.histogram(lambda f: bins[f, :0], slot[:0], g[:0], h[:0], 2, lay), np.zeros((2, 3, lay.width)))
+
+
+def test_of_features_that_split_alike_the_first_is_taken():
+    """However their sums were added up."""
+    rng = np.random.default_rng(3)
+    b = rng.integers(0, 9, 6000).astype(np.uint8)
+    bins = np.stack([rng.integers(0, 3, 6000).astype(np.uint8), rng.integers(0, 50, 6000).astype(np.uint8), b, b, b])
+    edges = [np.arange(k, dtype=float) for k in (2, 49, 8, 8, 8)]
+    y = (rng.random(6000) < 0.1 + 0.08 * b).astype(float)
+    p = B.BoostParams(rounds=12, feature_fraction=1.0, max_depth=4)
+    m = B.train_arrays([(0, bins, y, np.ones(6000), np.zeros(6000, bool))], list("abcde"), edges, p)
+    assert {f for t in m.trees for f in t.feat} <= {-1, 0, 1, 2}
+
+
+def test_of_two_children_the_smaller_one_is_counted(monkeypatch):
+    x, y, w, _ = table(4000, 6)
+    x = np.nan_to_num(x)
+    edges = [np.unique(np.quantile(x[:, f], np.arange(1, 16) / 16)) for f in range(6)]
+    block = (0, B.to_bins(x, edges), y.astype(float), w, np.zeros(4000, bool))
+    seen, real = [], B.histogram
+    monkeypatch.setattr(B, "histogram", lambda column, slot, *a: seen.append(len(slot)) or real(column, slot, *a))
+    p = B.BoostParams(rounds=1, max_depth=5, max_leaves=31, min_rows=20, bagging_fraction=1.0)
+    t = B.train_arrays([block], NAMES, edges, p).trees[0]
+    assert len(seen) == 5 and seen[0] == 4000 and all(n <= 2000 for n in seen[1:])
+    growing = B.Growing(p, edges)
+    growing.tree, growing.depth, growing.open = t, 1, [t.left[0], t.right[0]]
+    counted, _ = growing.halves(B._known(growing))
+    row = {"block": 0, "n": 4000, "y": y.astype(np.float32).tobytes(), "w": w.tobytes(), "val": bytes(4000), "bins": block[1].tobytes(),
+           "margin": np.zeros(4000).tobytes()}
+    seen.clear()
+    B._summed([row], [], growing, counted, 0.0, [B.Layout(B.packed(list(range(6)), [len(e) + 2 for e in edges], B.JOINT), edges)], p, 0, 6)
+    assert len(counted) == 1 and sum(seen) <= 2000
+
+
 def test_learns_and_stops_early(spark):
     x, y, w, val = table(2500, 7)
     df = frame(spark, x, y, w, val)
@@ -175,3 +233,17 @@ def test_shapley_values_like_all_subsets(spark):
         each = [plain_shapley(t, x[i]) for t in m.trees]
         assert np.allclose(got[i].attributions, sum(e[0] for e in each), atol=1e-12)
         assert abs(got[i].base - m.init - sum(e[1] for e in each)) < 1e-12
+
+
+def test_patterns_of_a_leaf_are_worked_out_once(monkeypatch):
+    x, y, w, _ = table(3000, 12)
+    edges = [np.unique(np.nanquantile(x[:, f], np.arange(1, 16) / 16)) if f < 5 else np.zeros(0) for f in range(6)]
+    m = B.train_arrays([(0, B.to_bins(x, edges), y.astype(float), w, np.zeros(3000, bool))], NAMES, edges, B.BoostParams(rounds=5, min_rows=10))
+    calls, real = [], S.pattern_values
+    monkeypatch.setattr(S, "pattern_values", lambda *a: calls.append(1) or real(*a))
+    explain = S.Explainer(m)
+    got = np.vstack([explain.values(x[k:k + 500]) for k in range(0, 3000, 500)])
+    assert len(calls) <= sum(len(ps) for ps in explain.paths)
+    monkeypatch.setattr(S, "TABLED", 0)
+    assert np.allclose(got, S.Explainer(m).values(x), atol=1e-12)
+    assert np.allclose(got.sum(axis=1) + explain.base, m.margin(x), atol=1e-9)
