@@ -229,15 +229,18 @@ def test_cleaned_rows_are_written_once(spark, monkeypatch):
     assert PR.clean(twice, written=True).count() == PR.clean(df.drop("split")).count() and "dedup-kept" in names
 
 
-def test_duplicates_are_removed_by_one_aggregate(spark, monkeypatch):
+def test_many_duplicates_are_removed_by_one_aggregate(spark, monkeypatch):
     """Rows are written once numbered and once without duplicates, and nothing else is."""
     from creditlake.operators import prep
     names = []
     real = prep.cut_lineage
     monkeypatch.setattr(prep, "cut_lineage", lambda df, name="stage": names.append(name) or real(df, name))
     rows = _duplicated_rows()
-    got = PR.clean(_table(spark, rows).repartition(3))
+    labelled = _table(spark, rows).repartition(3).filter("TARGET IS NOT NULL")
+    got = PR.dedup_keep_first(labelled, few=10)
     assert names == ["dedup-rows", "dedup-kept"] and sorted((r.source_id, r.TARGET) for r in got.collect()) == _plain_first(rows)
     feats = {r.source_id: r.asDict() for r in got.collect()}
     by_id = {sid: d for sid, _, _, d in rows if sid[0] == "x"}
     assert all(feats[sid].get(f) == v for sid, d in by_id.items() if sid in feats for f, v in d.items())
+    few = PR.dedup_keep_first(labelled)
+    assert few.columns == got.columns and not few.exceptAll(got).count() and not got.exceptAll(few).count()
